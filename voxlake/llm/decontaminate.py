@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, WORD_ANY_CASE, grams, saved, small, table, words
@@ -56,6 +56,17 @@ def _windows(benchmark: DataFrame, window: int) -> DataFrame:
     ).select("item_id", "len", F.concat_ws(" ", F.slice("w", F.col("p") + 1, F.col("len"))).alias("win")).distinct()
 
 
+def _whole(w: Column, n: int) -> Column:
+    """Fingerprints (pos, len, fp) of every n consecutive words, for items of n words."""
+    at = F.transform(
+        F.sequence(F.lit(0), F.size(w) - n),
+        lambda i: F.struct(
+            i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.concat_ws(" ", F.slice(w, i + 1, n))).alias("fp")
+        ),
+    )
+    return F.when(F.size(w) >= n, at).otherwise(F.array().cast("array<struct<pos:int,len:int,fp:bigint>>"))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -99,19 +110,7 @@ def contamination(
         lambda s: F.struct(s["pos"].alias("pos"), F.lit(window).alias("len"), s["fp"].alias("fp")),
     )
     kinds = [marks] if window in lengths else []
-    for short in (x for x in lengths if x < window):
-        at = F.when(
-            F.size("w") >= short,
-            F.transform(
-                F.sequence(F.lit(0), F.size("w") - short),
-                lambda i, short=short: F.struct(
-                    i.alias("pos"),
-                    F.lit(short).alias("len"),
-                    F.xxhash64(F.concat_ws(" ", F.slice("w", i + 1, short))).alias("fp"),
-                ),
-            ),
-        ).otherwise(F.array().cast("array<struct<pos:int,len:int,fp:bigint>>"))
-        kinds.append(at)
+    kinds += [_whole(F.col("w"), short) for short in lengths if short < window]
     found = F.concat(*kinds) if kinds else F.array().cast("array<struct<pos:int,len:int,fp:bigint>>")
     prints = prints.select(*key, "w", found.alias("found"))
     # the words around a fingerprint that any window holding it can reach
@@ -167,11 +166,11 @@ def contamination(
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
-    both = hits.join(items, [hits[c].eqNullSafe(items[c]) for c in key], "left").select(
-        *[hits[c].alias(f"_{c}") for c in key], "hits", "n_hit", "items"
-    )
+    items = items.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_j"), "items")
+    both = hits.join(items, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_j")), "left")
+    both = both.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "hits", "n_hit", "items")
     out = base.select(*id_, F.regexp_count("text", F.lit(WORD_ANY_CASE)).alias("n"))
-    out = out.join(both, [out[c].eqNullSafe(both[f"_{c}"]) for c in key], "left")
+    out = out.join(both, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")), "left")
     none = F.array().cast("array<string>")
     return out.select(
         *key,
