@@ -93,7 +93,8 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
     placed = saved(placed, "placed")
     # slots, by thousands first, so that a large source is dealt over all tasks
     head = t.where("slots > 0").select("sid", "nb", "slots", "c", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / 1000))).alias("k"))
-    head = head.repartition("sid", "k")
+    # a stated number of partitions: by bytes these few rows look like work for one task
+    head = head.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "k")
     slot = F.sequence(F.col("k") * 1000, F.least(F.col("k") * 1000 + 999, F.col("slots") - 1))
     slots = head.select("sid", "nb", "c", F.explode(slot).alias("slot"))
     total = t.agg(F.greatest(F.ceil(F.sum("slots") / shard_slots), F.lit(1)).alias("shards"))
@@ -112,7 +113,8 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((to - 1) / block))).alias("block"),
     )
     low = F.greatest(F.col("block") * block, F.col("start"))
-    pieces = pieces.join(draws, ["sid", "block"]).select(
+    # merge: rows that explode makes are not in the size estimate, which would have all draws broadcast
+    pieces = pieces.join(draws.hint("merge"), ["sid", "block"]).select(
         "doc_id", "text_hash", "sid", "start", "draws",
         (low - F.col("start")).alias("from"), (F.least((F.col("block") + 1) * block, to) - low).alias("len"),
     )
@@ -159,7 +161,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH b AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size,
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
          ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:7])::BIGINT % {RUNS} AS run FROM documents),
 p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY run, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start FROM b),
 s AS (
