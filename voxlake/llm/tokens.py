@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -89,31 +91,66 @@ def crc32_join(first: int, second: int, length: int) -> int:
 _known: dict[str, tuple] = {}
 
 
+def _word_ends(tokenizer) -> np.ndarray | None:
+    """Which ids end a word, if the tokenizer drops white space and marks the ends of words; else None."""
+    spec = json.loads(tokenizer.to_str())
+    suffix, before = spec["model"].get("end_of_word_suffix"), spec.get("pre_tokenizer") or {}
+    splits = [x for x in before.get("pretokenizers", [before]) if x.get("type") == "Split"]
+    if not suffix or not any(x["behavior"] == "Removed" and x["invert"] for x in splits):
+        return None
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    return ends
+
+
+def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _word_ids(tokenizer, ends: np.ndarray, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """The ids of each word, as bytes.
+
+    Words of letters alone are encoded as one text and parted at the word ends:
+    each gives one at least, so equal counts mean one for each. Others, and all
+    if a letter was taken apart, are encoded one by one.
+    """
+    letters = [w for w in words if w.isalpha()]
+    ids = _ids(tokenizer, [" ".join(letters)])[0]
+    stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+    if len(stops) == len(letters):
+        raw = ids.tobytes()
+        yield from ((w, raw[i:k]) for w, i, k in zip(letters, [0, *stops], stops, strict=False))
+        words = [w for w in words if not w.isalpha()]
+    yield from ((w, x.tobytes()) for w, x in zip(words, _ids(tokenizer, words), strict=True))
+
+
 def _encoder(path: str):
     """text -> ids as little-endian bytes; equal to encoding the whole text.
 
-    The tokenizer never joins characters over white space, so words between
-    plain blanks are encoded one by one and remembered.
+    A tokenizer that drops white space never joins characters over it: words
+    between plain blanks are then encoded apart and remembered. With any other
+    tokenizer whole texts are encoded.
     """
     if path not in _known:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {})
-    tokenizer, ids = _known[path]
+        tokenizer = Tokenizer.from_file(path)
+        _known[path] = (tokenizer, _word_ends(tokenizer), {})
+    tokenizer, ends, ids = _known[path]
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         for text in texts:
+            if ends is None:
+                yield _ids(tokenizer, [text])[0].tobytes()
+                continue
             chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             missing = list(set(chunks).difference(ids))
             if missing:
                 if len(ids) + len(missing) > CACHED_WORDS:
                     ids.clear()
                     missing = list(set(chunks))
-                for word, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                    ids[word] = np.array(e.ids, dtype="<u4").tobytes()
+                ids.update(_word_ids(tokenizer, ends, missing))
             yield b"".join(map(ids.__getitem__, chunks))
 
     return encode
