@@ -109,6 +109,20 @@ def test_tokens_match_whole_text_encoding(spark, docs, empty):
     assert tokens.tokenised(empty, path).count() == 0
 
 
+ODD = ["", "\n\n a  b\t", "a\x0bb\x0cc", "\x85 x", "A1 b2_c", "don't  stop s 't", "\u05e9\u05c1 xy", "\ufb2a ab", "\ufb01 \u0130I", "a<|endoftext|> b"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    plain, encode = Tokenizer.from_file(path), tokens._encoder(path)
+    for text, got in zip([*ODD, " ".join(ODD)], encode([*ODD, " ".join(ODD)]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_sharding(spark, docs, empty):
     owners = np.bincount(sharding.lookup())
     assert owners.max() - owners.min() <= 1
@@ -204,6 +218,23 @@ def test_embeddings_recall(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_base_spans_equal_the_patterns():
+    def brute(text):
+        at = lambda kind, pattern, ok: [(kind, *m.span()) for m in re.finditer(pattern, text) if ok(m[0])]
+        n = lambda t: sum(c in "0123456789" for c in t)
+        return (
+            at("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True)
+            + at("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(x) <= 255 for x in t.split(".")))
+            + at("card", r"[0-9]([\x20-]?[0-9])+", lambda t: 16 <= n(t) <= 19 and pii.luhn(re.sub("[ -]", "", t)))
+            + at("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 8 <= n(t) <= 15)
+        )
+
+    r = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(r.choice("a@.+-1 2(3)%\u00e9" + "90" * 8) for _ in range(r.randrange(80)))
+        assert pii.base_spans(text) == brute(text)
+
+
 def test_personal_data(spark, docs, empty):
     text = "a@b a.b@c.d.e! x@y.z 1.2.3.4 300.1.1.1 4111 1111-1111 1111 4111 1111 1111 1112 +1 (456) 555-2186 end"
     found = pii.base_spans(text)
