@@ -164,11 +164,15 @@ def test_marginals_equal_a_plain_chain():
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 60)])
 @pytest.mark.parametrize("hot", [64, 2])
 def test_ngram_join_is_brute_force(spark, docs, k, percent, hot):
+    check_ngram_join(docs, make(), k, percent, hot)
+
+
+def check_ngram_join(docs, rows, k, percent, hot):
     def own(text):
         w = lower(text).split()
         return {tuple(w[i : i + k]) for i in range(max(len(w) - k, 0) + 1)} if w else set()
 
-    sets = [(r[0], own(r[1])) for r in make()]
+    sets = [(r[0], own(r[1])) for r in rows]
     parent = {i: i for i, _ in sets}
 
     def root(i):
@@ -187,6 +191,25 @@ def test_ngram_join_is_brute_force(spark, docs, k, percent, hot):
     assert sorted([tuple(r) for r in got], key=key) == want
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_ngram_join_of_a_crowd_at_the_threshold(spark, monkeypatch, k, percent):
+    """Copies of one text with few to many edits, from one group or two: some link, most nearly do."""
+    r, rows = random.Random(k), []
+    for base in range(2):
+        text = [f"w{base}{r.randrange(900)}" for _ in range(130)]
+        for i in range(150):
+            copy = list(text)
+            for _ in range(r.choice([1, 2, 3, 4, 5, 6, 8, 12])):
+                copy[r.randrange(len(copy))] = r.choice(["new", f"x{r.randrange(10**6)}"])
+            rows.append((base * 1000 + i, " ".join(copy[: r.choice([130, 130, 126, 118])] + ["one", "shared", "line", "of", "words"] * 3)))
+    r.shuffle(rows)
+    crowds, inner = [], ngram_join._centred
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    monkeypatch.setattr(ngram_join, "_centred", lambda *a: crowds.append(1) or inner(*a))
+    check_ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), rows, k, percent, 4)
+    assert crowds
+
+
 def test_ngram_join_edges(docs, empty):
     assert ngram_join.similar(empty)[0].count() == 0
     assert ngram_join.one_of_each(docs).columns == docs.columns

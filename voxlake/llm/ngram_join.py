@@ -14,7 +14,12 @@ bucket for each. A pair needs the guarantee of one of its sets only:
 
 Candidates are verified exactly. No bucket is expanded into all pairs: its
 members meet one pivot first, and only members that are then in different
-components meet each other.
+components meet each other. Where these are many (a group of copies that differ
+by about as much as the threshold allows), sets are rewritten as their
+differences from the shingles that most of the group hold. That keeps what two
+sets differ in, and leaves short sets of rare elements, of which two that link
+share one of the rarest (prefix filter), or both are so short that both link
+with the shortest.
 """
 
 from __future__ import annotations
@@ -33,8 +38,10 @@ from .common import components, hinted, map_pandas, saved, table
 K, PERCENT = 3, 90
 #: Sets of a bucket beyond which it is skipped where the guarantee holds without it.
 HOT = 64
-#: Rounds with another pivot before all remaining cross pairs of a bucket are tried.
-PIVOTS = 3
+#: Cross pairs per member up to which the components of a bucket meet directly.
+FEW = 8
+#: Families whose centres (each at most twice as long as its mean set) are broadcast.
+CENTRES = 1_000
 CACHED_WORDS = 500_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -168,6 +175,44 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 
+def _centred(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (x, y) among `crowd` (bucket, id, c): all that are needed to join its components c.
+
+    A family is what buckets of the crowd connect; B are the shingles that more
+    than half of it hold. With x' = x ^ B, |x ^ y| = |x' ^ y'|, so x and y link if
+    x' and y' share at least (k(x) + k(y)) / 2 elements, where
+    k(x) = |x'| - (1 - t) / (1 + t) |x|. Where that is 0 or less they link
+    unseen, and both link with the family's least k. Else they share an element
+    among the rarest |x'| - need + 1 of x' and |y'| - need + 1 of y'.
+    """
+    whole, less = 100 + percent, 100 - percent  # k is kept times `whole`, as an integer
+    pivot = crowd.groupBy("bucket").agg(F.min("id").alias("y"))
+    family = components(_pairs(crowd.join(pivot, "bucket").select(F.col("id").alias("x"), "y")))
+    base = crowd.select("id", "c").distinct().join(family.withColumnRenamed("component_id", "fam"), "id")
+    base = saved(base.join(sets, "id"), "family")
+    members = base.groupBy("fam").agg(F.count("*").alias("members"))
+    held = base.select("fam", F.explode("s").alias("e")).groupBy("fam", "e").agg(F.count("*").alias("f"))
+    centre = held.join(members, "fam").where("2 * f > members").groupBy("fam").agg(F.collect_list("e").alias("centre"))
+    rel = base.join(hinted(saved(centre, "centres"), CENTRES), "fam", "left")
+    centre = F.coalesce("centre", F.array().cast("array<bigint>"))
+    x = F.concat(F.array_except("s", centre), F.array_except(centre, "s"))
+    rel = rel.select("fam", "id", "c", x.alias("e"), (F.size(x) * whole - F.size("s") * less).alias("k"))
+    rel = saved(rel, "differences")
+    least = rel.groupBy("fam").agg(F.min(F.struct("k", "id", "c")).alias("z"))
+    rel = rel.join(hinted(least), "fam").withColumn("near", F.expr("k + z.k <= 0"))
+    star = rel.where("near AND c <> z.c").select(F.col("id").alias("x"), F.col("z.id").alias("y"))
+    need = F.ceil((F.col("k") + F.col("z.k")) / (2 * whole))
+    last = F.size("e") - F.greatest(need, F.lit(1)) + 1
+    flat = rel.select("fam", "id", F.when(F.col("near"), F.col("z.c")).otherwise(F.col("c")).alias("c"), "k", F.size("e").alias("n"), last.alias("last"), F.explode("e").alias("e"))
+    rare = flat.groupBy("fam", "e").agg(F.count("*").alias("f"))
+    flat = flat.join(rare, ["fam", "e"]).withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("f", "e")))
+    flat = saved(flat.where("at <= last AND f > 1").select("fam", "e", "id", "c", "k", (F.col("n") - F.col("at") + 1).alias("room")), "prefixes")
+    other = flat.select("fam", "e", F.col("id").alias("y"), F.col("c").alias("d"), F.col("k").alias("l"), F.col("room").alias("place"))
+    need = F.greatest(F.ceil((F.col("k") + F.col("l")) / (2 * whole)), F.lit(1))
+    near = (F.col("id") < F.col("y")) & (F.col("c") != F.col("d")) & (F.least("room", "place") >= need)
+    return star.unionByName(flat.join(other, ["fam", "e"]).where(near).select(F.col("id").alias("x"), "y"))
+
+
 def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(rows, links): doc_id, n_shingles, component_id per row; the verified links between representatives.
 
@@ -216,32 +261,21 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT)
     tried = saved(_pairs(rows.join(pivot, "bucket").select(F.col("id").alias("x"), "y")), "pairs")
     links = saved(verified(tried), "links")
     found = saved(components(links), "components")
-    for turn in range(1, PIVOTS + 2):
-        own = rows.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
-        open_ = own.groupBy("bucket").agg(F.min("c").alias("l"), F.max("c").alias("h"), F.count("*").alias("size"))
-        open_ = open_.where("l < h AND size > 2").select("bucket")  # of two, both have met
-        rows_open = saved(own.join(open_, "bucket", "left_semi"), "open")
-        per = rows_open.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        per = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        members, cross = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()
-        if not cross:
-            break
-        last = turn > PIVOTS or cross <= 8 * members
-        if last:
-            other = rows_open.select("bucket", F.col("id").alias("y"), F.col("c").alias("d"))
-            met = rows_open.join(other, "bucket").where("c < d").select(F.col("id").alias("x"), "y")
-        else:
-            order = F.xxhash64(F.lit(turn), "id")
-            pivot = rows_open.groupBy("bucket").agg(F.min_by(F.struct("id", "c"), order).alias("p"))
-            met = rows_open.join(pivot, "bucket").where("c <> p.c").select(F.col("id").alias("x"), F.col("p.id").alias("y"))
-        fresh = saved(_pairs(met).join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = saved(verified(fresh), "links")
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            found = saved(components(links), "components")
-        if last:
-            break
-        tried = tried.unionByName(fresh)
+    own = saved(rows.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c")), "own")
+    per = own.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket")
+    per = per.agg(F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"))
+    # where two sets share a bucket, they have met; elsewhere the members of different components have not
+    per = saved(per.where("cross > 0 AND n > 2").select("bucket", (F.col("cross") > FEW * F.col("n")).alias("crowded")), "open")
+    one_c, two_c = own.select("bucket", F.col("id").alias("x"), "c"), own.select("bucket", F.col("id").alias("y"), F.col("c").alias("d"))
+    met = one_c.join(per.where("NOT crowded").select("bucket"), "bucket").join(two_c, "bucket").where("c < d").select("x", "y")
+    if per.where("crowded").limit(1).count():
+        crowd = saved(own.join(per.where("crowded").select("bucket"), "bucket", "left_semi"), "crowd")
+        met = met.unionByName(_centred(crowd, sets, percent))
+    fresh = saved(_pairs(met).join(tried, ["a", "b"], "left_anti"), "pairs")
+    new = saved(verified(fresh), "links")
+    if new.limit(1).count():
+        links = links.unionByName(new)
+        found = saved(components(links), "components")
     home = reps.join(found, reps.rep == found.id, "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"))
     out = index.select("id", "k1", "k2", "n").join(home, ["k1", "k2", "n"]).select("id", "n", "component_id")
     # a doc_id with several texts belongs to one component
