@@ -310,3 +310,17 @@ def test_pipeline_stages_keep_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in c.STAGES[:-1]:
         assert stage(spark, docs.limit(40), "/root/testdata/sf0.001").columns == docs.columns
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body class='single no-sidebar'><article>a<p>b</article></body>", "a\nb"),
+        ("<body class=sidebar><div id=page class='banner wide'><article class='post has-comments'><p>a</p><p class=share-price>9</p></article></div></body>", "a\n9"),
+        ("<body><form id=all><nav>n</nav><main class=widget><p>a</p></main></form></body>", "a"),
+        ("<body><article>a<div class=comments><article class=comment>c</article></div></article><div class=comments><article class=comment>d</article></div></body>", "a"),
+        ("<body><aside><article>teaser</article></aside><article>a<div class='ad big'>buy</div></article></body>", "a"),
+    ],
+)
+def test_class_names_never_drop_the_article(page, want):
+    assert pages.extract(page, []) == want
