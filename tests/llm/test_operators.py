@@ -324,3 +324,15 @@ def test_pipeline_stages_keep_columns(spark):
 )
 def test_class_names_never_drop_the_article(page, want):
     assert pages.extract(page, []) == want
+
+
+def test_wrappers_cover_every_page_of_a_host(spark):
+    """Two layouts, of which a sample of few pages may show one; an author that many pages share stays."""
+    rows, want = [], {}
+    for i in range(60):
+        own, author = f"own {i}", f"by author {i % 3}"
+        rare = "<section>rare notice</section>" if i % 20 == 0 else ""
+        rows.append((i, f"https://c.org/{i}", f"<body><div>menu {i % 15 == 0}</div><h2>{author}</h2><p>{own}</p>{rare}</body>"))
+        want[i] = f"{'menu True' + chr(10) if i % 15 == 0 else ''}{author}\n{own}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in pages.main_text(df).collect()} == want
