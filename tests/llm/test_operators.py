@@ -336,3 +336,13 @@ def test_wrappers_cover_every_page_of_a_host(spark):
         want[i] = f"{'menu True' + chr(10) if i % 15 == 0 else ''}{author}\n{own}"
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in pages.main_text(df).collect()} == want
+
+
+def test_wrappers_decide_inside_the_article(spark):
+    """Notices inside the article that repeat over the host go; slots, and articles copied as a whole, stay."""
+    page = "<body><article><h1>Head {0}</h1><div>Read our terms</div><p>own text of page {0}</p><ul><li>Like</li><li>Print</li></ul></article></body>"
+    copy = "<body><main><h2>copied head</h2><section>a copied article of some length</section><b>{}</b></main></body>"
+    rows = [(i, "https://d.org/x", page.format(i)) for i in range(9)] + [(10 + i, "https://e.org/x", copy.format(i)) for i in range(4)]
+    want = {i: f"Head {i}\nown text of page {i}" for i in range(9)} | {10 + i: f"copied head\na copied article of some length\n{i}" for i in range(4)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in pages.main_text(df).collect()} == want
