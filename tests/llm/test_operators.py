@@ -346,3 +346,26 @@ def test_wrappers_decide_inside_the_article(spark):
     want = {i: f"Head {i}\nown text of page {i}" for i in range(9)} | {10 + i: f"copied head\na copied article of some length\n{i}" for i in range(4)}
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in pages.main_text(df).collect()} == want
+
+
+@pytest.mark.parametrize(("shard", "chunk"), [(400, 4000), (100, 300), (5000, 4000)])
+def test_links_of_a_dense_group_are_brute_force(spark, shard, chunk):
+    """One group of different vectors, almost all near each other, and others beside it, with copies."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(40, 64))
+    v = np.r_[base[0] + r.normal(size=(2500, 64)) * 0.11 * r.uniform(0.6, 1.4, (2500, 1)), base[r.integers(0, 40, 800)] + r.normal(size=(800, 64)) * 0.12]
+    v = np.r_[v, v[::50]]
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {x["vec_id"]: x for x in embeddings.near_duplicates(df, shard=shard, chunk=chunk).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = u @ u.T >= 0.98
+    np.fill_diagonal(link, False)
+    root = np.arange(len(v))
+    while True:
+        new = np.minimum(root, np.where(link, root, len(v)).min(1))
+        if (new == root).all():
+            break
+        root = new
+    ours = np.array([got[i]["n_links"] for i in range(len(v))])
+    assert (ours == link.sum(1)).all()
+    assert [got[i]["component_id"] for i in range(len(v))] == root.tolist()

@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by robust-pruned graphs built on overlapping cluster shards."""
+"""Near-duplicate vectors, exactly: cells of crowded groups are compared with those that a link may reach."""
 
 from __future__ import annotations
 
@@ -12,93 +12,12 @@ from pyspark.sql import functions as F
 from .common import components, hinted, saved, ship, table
 
 THRESHOLD = 0.98
-#: Vectors of a shard on average; shards of more than twice that are split again, LEVELS times at most.
-SHARD, LEVELS = 1_000, 3
+#: Vectors of a cell on average; groups of more than twice that are split into cells, CELLS at most.
+SHARD, CELLS = 1_000, 256
 #: Vectors that the centroids of one split are fitted on, about (those of least hash), and steps.
 FIT, FIT_STEPS = 4_000, 8
-#: Shards that a vector joins at most: those whose centroids are nearest.
-OVERLAP = 3
-#: Out-degree, candidates and slack of the robust prune; the range kept open during search.
-DEGREE, NEAREST, ALPHA, SLACK = 24, 64, 1.2, 0.04
-
-
-# ---- inside one shard ----------------------------------------------------------------------------
-
-
-def pruned_graph(v: np.ndarray, degree: int = DEGREE, nearest: int = NEAREST, alpha: float = ALPHA) -> np.ndarray:
-    """Out-neighbours (-1: none) of unit vectors: of the nearest, those not closer to one already kept.
-
-    Places left over are filled with the nearest of the pruned ones, without
-    which groups of all but equal vectors fall apart.
-    """
-    n = len(v)
-    out = np.full((n, degree), -1)
-    take = min(nearest, n - 1)
-    if take < 1:
-        return out
-    for low in range(0, n, 256):
-        sims = v[low : low + 256] @ v.T
-        rows = np.arange(len(sims))
-        sims[rows, rows + low] = -2
-        near = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-        own = np.take_along_axis(sims, near, 1)
-        order = np.argsort(-own, axis=1, kind="stable")
-        near, own = np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
-        far = 1 - own
-        among = 1 - np.einsum("bid,bjd->bij", v[near], v[near])
-        alive, kept = np.ones_like(near, bool), np.zeros_like(near, bool)
-        for k in range(degree):
-            some = alive.any(1)
-            first = alive.argmax(1)
-            kept[rows[some], first[some]] = True
-            alive &= ~(alpha * among[rows, first] <= far) | ~some[:, None]
-            alive[rows, first] = False
-            if not alive.any():
-                break
-        first = np.argsort(~kept, axis=1, kind="stable")[:, :degree]  # kept ones, then the nearest others
-        out[low : low + len(sims), : first.shape[1]] = np.take_along_axis(near, first, 1)
-    return out
-
-
-def range_search(v: np.ndarray, graph: np.ndarray, threshold: float, slack: float = SLACK) -> np.ndarray:
-    """Boolean matrix: pairs found with cosine >= threshold, by search for every vector of the shard.
-
-    Each search walks greedily from the medoid, then expands through all nodes
-    within the range less a slack. Recall is audited on the spot: a query that
-    the walk doesn't find in the graph (itself) is searched again from there.
-    """
-    n = len(v)
-    at = np.full(n, int(np.argmax(v @ v.mean(0))))
-    best = np.einsum("nd,nd->n", v, v[at])
-    for _ in range(n):
-        step = graph[at]
-        sims = np.where(step >= 0, np.einsum("nd,nkd->nk", v, v[step]), -2)
-        k = sims.argmax(1)
-        top = sims[np.arange(n), k]
-        move = top > best
-        if not move.any():
-            break
-        at[move], best[move] = step[move, k[move]], top[move]
-    seen = np.zeros((n, n), bool)
-    found = np.zeros((n, n), bool)
-    missed = at != np.arange(n)
-    q = np.r_[np.arange(n), np.flatnonzero(missed)]
-    x = np.r_[at, np.flatnonzero(missed)]
-    while len(q):
-        key = np.unique(q * n + x)
-        q, x = key // n, key % n
-        new = ~seen[q, x]
-        q, x = q[new], x[new]
-        seen[q, x] = True
-        sims = np.concatenate([np.einsum("nd,nd->n", v[q[i : i + 65536]], v[x[i : i + 65536]]) for i in range(0, len(q), 65536)] or [np.zeros(0)])
-        found[q, x] |= sims >= threshold
-        go = sims >= threshold - slack
-        q, x = q[go], x[go]
-        step = graph[x]
-        ok = step >= 0
-        q, x = np.repeat(q, ok.sum(1)), step[ok]
-    np.fill_diagonal(found, False)
-    return found | found.T
+#: Vectors on either side of a comparison; larger cells are compared in parts of that size.
+CHUNK = 4_000
 
 
 def _unit(group: pd.DataFrame) -> np.ndarray:
@@ -106,57 +25,62 @@ def _unit(group: pd.DataFrame) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _built(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("id", ignore_index=True)
-    graph, ids = pruned_graph(_unit(group)), group["id"].to_numpy()
-    src, k = np.nonzero(graph >= 0)
-    return pd.DataFrame({"src": ids[src], "dst": ids[graph[src, k]]})
+FOUND = "id long, links long, root long"
 
 
-def _searcher(threshold: float):
-    def run(group: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "links", "root"]
-        if group.empty:
-            return pd.DataFrame([], columns=names)
-        group = group.sort_values("id", ignore_index=True)
-        ids, own = group["id"].to_numpy(), group["shard"].iloc[0]
-        place = {x: i for i, x in enumerate(ids)}
-        near: list[list[int]] = [[] for _ in ids]
-        for src, dsts in zip(lists["src"], lists["dsts"], strict=True):
-            near[place[src]] = sorted(place[d] for d in dsts if d in place)
-        graph = np.full((len(ids), max(1, *map(len, near))), -1)
-        for i, d in enumerate(near):
-            graph[i, : len(d)] = d
-        found = range_search(_unit(group), graph, threshold)
-        # a pair is counted in the first of the shards that hold both
-        names_of = sorted({s for shards in group["shards"] for s in shards})
-        member = np.zeros((len(ids), len(names_of)), bool)
-        for i, shards in enumerate(group["shards"]):
-            member[i, [names_of.index(s) for s in shards]] = True
-        earlier = member[:, : names_of.index(own)].astype(np.float32)
-        counted = found & (earlier @ earlier.T == 0) if earlier.shape[1] else found
-        links = counted @ group["copies"].to_numpy(float)
-        root = np.arange(len(ids))
-        while True:  # least member of each component inside the shard
-            least = np.where(found.any(1), np.where(found, root, len(ids)).min(1), root)
-            new = np.minimum(root, least)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        return pd.DataFrame({"id": ids, "links": links.round().astype(np.int64), "root": ids[root]})
+def _counted(ids: np.ndarray, copies: np.ndarray, found: np.ndarray) -> pd.DataFrame:
+    """Links of each vector that has any, and one member of its component here.
+
+    found is square, or holds the pairs of the first vectors with the others.
+    """
+    n, n_first = len(ids), len(found)
+    other = slice(n_first if n_first < n else 0, n)
+    cuts = [slice(low, min(low + 256, n_first)) for low in range(0, n_first, 256)]
+    links, root = np.zeros(n), np.arange(n)
+    for c in cuts:
+        part = found[c].astype(float)
+        links[c] += part @ copies[other]
+        if other.start:
+            links[other] += copies[c] @ part
+    while True:
+        new = root.copy()
+        for c in cuts:
+            new[c] = np.minimum(new[c], np.where(found[c], root[None, other], n).min(1, initial=n))
+            new[other] = np.minimum(new[other], np.where(found[c], root[c, None], n).min(0, initial=n))
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    keep = (links > 0) | (root != np.arange(n))
+    return pd.DataFrame({"id": ids[keep], "links": links[keep].round().astype(np.int64), "root": ids[root[keep]]})
+
+
+def _comparer(threshold: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["side", "id"], ignore_index=True)
+        v, n_first = _unit(group), int((group["side"] == 0).sum())
+        within = n_first == len(v)
+        if within and group["pair"].iloc[0] or not n_first:  # one side is empty
+            return pd.DataFrame({"id": [], "links": [], "root": []}).astype(np.int64)
+        a, b = v[:n_first], v if within else v[n_first:]
+        found = np.zeros((len(a), len(b)), bool)
+        for low in range(0, len(a), 256):
+            found[low : low + 256] = a[low : low + 256] @ b.T >= threshold
+        if within:
+            np.fill_diagonal(found, False)
+        return _counted(group["id"].to_numpy(), group["copies"].to_numpy(float), found)
 
     return run
 
 
-# ---- shards --------------------------------------------------------------------------------------
+# ---- cells of crowded groups ---------------------------------------------------------------------
 
 
 def _fitter(shard: int):
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", ignore_index=True)
         v, size = _unit(group), int(group["size"].iloc[0])
-        k = min(math.ceil(size / shard), len(v), 256)
+        k = min(math.ceil(size / shard), len(v), CELLS)
         c = v[np.linspace(0, len(v) - 1, k).astype(int)]
         for _ in range(FIT_STEPS):
             near = (v @ c.T).argmax(1)
@@ -164,49 +88,68 @@ def _fitter(shard: int):
                 mean = v[near == j].sum(0)
                 if norm := np.linalg.norm(mean):
                     c[j] = mean / norm
-        return pd.DataFrame({"shard": [key[0]], "centroids": [c.astype(np.float32).ravel().tolist()]})
+        return pd.DataFrame({"shard": [key[0]], "centroids": [c.ravel().tolist()]})
 
     return run
 
 
-def _nearest(overlap: int):
+def _cells(threshold: float):
+    """The cell of a vector, that of the nearest centroid c, and the later cells that may hold a link of it.
+
+    If w of cell j links with v, then v (c - c_j) <= |v - w| |c - c_j|, as w is no
+    nearer to c than to c_j; and |v - w| is sqrt(2 - 2 threshold) at most. The same
+    holds from w to v, so looking from the earlier cell alone finds every pair once.
+    """
+    reach = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6
+
     def run(vectors: pd.Series, shards: pd.Series, centroids: pd.Series) -> pd.Series:
         out: list = [None] * len(vectors)
-        for shard, rows in shards.groupby(shards).groups.items():
-            rows = list(rows)
-            v = np.stack(vectors.loc[rows].to_numpy()).astype(float)
-            c = np.asarray(centroids.loc[rows[0]], float).reshape(-1, v.shape[1])
-            top = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :overlap]
-            for r, t in zip(rows, top, strict=True):
-                out[r] = [f"{shard}/{j}" for j in sorted(t)]
-        return pd.Series(out)
+        for shard, at in shards.groupby(shards).indices.items():
+            v = np.stack([vectors.iloc[i] for i in at]).astype(float)
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            c = np.asarray(centroids.iloc[at[0]], float).reshape(-1, v.shape[1])
+            sims = v @ c.T
+            home = sims.argmax(1)
+            apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+            near = sims[np.arange(len(v)), home][:, None] - sims <= reach * apart[home] + 1e-9
+            near &= np.arange(len(c)) > home[:, None]
+            for i, h, row in zip(at, home, near, strict=True):
+                out[i] = [{"cell": f"{shard}/{h}", "visit": False}, *({"cell": f"{shard}/{j}", "visit": True} for j in np.flatnonzero(row))]
+        return pd.Series(out, dtype=object)
 
     return run
 
 
-def _shards(vectors: DataFrame, shard: int, overlap: int) -> DataFrame:
-    """(id, v, copies, shard): each vector in its nearest shards; crowded shards are split again."""
-    spark, rows = vectors.sparkSession, vectors
-    ship(spark)
-    for _ in range(LEVELS):
-        sizes = rows.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > 2 * shard)
-        sizes = saved(sizes, "sizes")
-        if not sizes.limit(1).count():
-            break
-        crowded = rows.join(hinted(sizes), "shard")
-        part = F.pmod(F.xxhash64("id", "shard"), F.lit(1 << 20)) < F.col("size").cast("double") ** -1 * FIT * (1 << 20)
-        sample = crowded.where(part)
-        fitted = sample.groupBy("shard").applyInPandas(_fitter(shard), "shard string, centroids array<float>")
-        fitted = saved(fitted, "centroids")
-        split = crowded.join(hinted(fitted, 1000), "shard")  # 1000 x 256 centroids at most, else a shuffle
-        near = F.pandas_udf(_nearest(overlap), "array<string>")("v", "shard", "centroids")
-        split = split.select("id", "v", "copies", F.explode(near).alias("shard")).dropDuplicates(["id", "shard"])
-        rest = rows.join(hinted(sizes.select("shard")), "shard", "left_anti")
-        rows = saved(rest.select("id", "v", "copies", "shard").unionByName(split), "shards")
-    return rows
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
+def _compared(rows: DataFrame, threshold: float, shard: int, chunk: int) -> DataFrame:
+    """FOUND of the vectors (id, v, copies, shard, size) of crowded groups: every pair of links, once."""
+    part = F.pmod(F.xxhash64("id", "shard"), F.lit(1 << 20)) < F.col("size").cast("double") ** -1 * FIT * (1 << 20)
+    fitted = rows.where(part).groupBy("shard").applyInPandas(_fitter(shard), "shard string, centroids array<double>")
+    fitted = saved(fitted, "centroids")
+    cells = F.pandas_udf(_cells(threshold), "array<struct<cell: string, visit: boolean>>")("v", "shard", "centroids")
+    split = rows.join(hinted(fitted, 1000), "shard").select("id", "v", "copies", F.explode(cells).alias("_c"))
+    split = saved(split.select("id", "v", "copies", "_c.*"), "cells")
+    parts = lambda visit: F.ceil(F.count(F.when(F.col("visit") == visit, 1)) / chunk)
+    sizes = split.groupBy("cell").agg(parts(False).alias("own"), parts(True).alias("visitors"))
+    split = split.join(hinted(saved(sizes, "sizes")), "cell")
+    n = F.when(F.col("visit"), F.col("visitors")).otherwise(F.col("own"))
+    split = split.withColumn("part", F.pmod(F.xxhash64("id", "cell"), n))
+    # a comparison is (own part, kind, other part): kind 0 with an own part not before it, 1 with visitors
+    unit = lambda a, kind, b, side: F.struct(a.alias("a"), F.lit(kind).alias("kind"), b.alias("b"), F.lit(side).alias("side"))
+    p, none = F.col("part"), F.array().cast("array<bigint>")
+    upto = lambda low, high: F.when(high > low, F.sequence(low, high - 1)).otherwise(none)
+    zero = F.lit(0).cast("bigint")
+    own = F.concat(
+        F.transform(upto(p, F.col("own")), lambda b: unit(p, 0, b, 0)),
+        F.transform(upto(zero, p), lambda a: unit(a, 0, p, 1)),
+        F.transform(upto(zero, F.col("visitors")), lambda b: unit(p, 1, b, 0)),
+    )
+    visit = F.transform(upto(zero, F.col("own")), lambda a: unit(a, 1, p, 1))
+    units = split.select("id", "v", "copies", "cell", F.explode(F.when(F.col("visit"), visit).otherwise(own)).alias("_u"))
+    units = units.select("id", "v", "copies", "cell", "_u.*").withColumn("pair", (F.col("kind") == 1) | (F.col("a") != F.col("b")))
+    return units.groupBy("cell", "a", "kind", "b").applyInPandas(_comparer(threshold), FOUND)
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label).
 
     Vectors are compared by cosine when their labels and widths are equal; those
@@ -214,13 +157,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     vec_id or label, link with nothing. Equal vectors are one node that counts
     its copies. Other columns are ignored; an empty table gives no rows.
 
-    Graphs are built per shard, their adjacency lists united over the shards, and
-    searched per shard for every vector, so a link across shards is found where
-    they overlap. Found pairs are verified in double precision: none is false,
-    and the tests hold recall against brute force. Tasks return counts and one
-    tree of links per shard, never all pairs.
+    Groups of equal label and width of at most 2 x shard vectors are compared as
+    a whole. Larger ones are split into cells, and every vector is compared with
+    its cell and each cell that a link of it may stand in, so no link is lost
+    at any density, up to the rounding of doubles. Tasks return counts and one
+    tree of links per comparison, never all pairs.
     """
-    spark = vectors.sparkSession
+    ship(vectors.sparkSession)
     fine = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
         & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -234,13 +177,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     )
     nodes = saved(nodes, "vectors")
     start = nodes.select("id", "v", "copies", F.concat_ws(":", "label", F.size("v")).alias("shard"))
-    rows = saved(_shards(start, shard, overlap), "shards")
-    of = rows.groupBy("id").agg(F.array_sort(F.collect_set("shard")).alias("shards"))  # overlap^levels at most
-    rows = saved(rows.join(of, "id"), "members")
-    built = rows.select("id", "v", "shard").groupBy("shard").applyInPandas(_built, "src long, dst long")
-    lists = built.groupBy("src").agg(F.collect_set("dst").alias("dsts"))  # a bounded number of lists of DEGREE
-    lists = saved(rows.select("shard", F.col("id").alias("src")).join(lists, "src"), "lists")
-    found = rows.groupBy("shard").cogroup(lists.groupBy("shard")).applyInPandas(_searcher(threshold), "id long, links long, root long")
+    sizes = saved(start.groupBy("shard").agg(F.count("*").alias("size")), "sizes")
+    start = start.join(hinted(sizes), "shard")
+    crowded = start.where(F.col("size") > 2 * shard)
+    alone = start.where(F.col("size") <= 2 * shard).withColumns({"side": F.lit(0), "pair": F.lit(False)})
+    found = alone.groupBy("shard").applyInPandas(_comparer(threshold), FOUND)
+    if sizes.where(F.col("size") > 2 * shard).limit(1).count():
+        found = found.unionByName(_compared(crowded, threshold, shard, chunk))
     found = saved(found, "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     trees = found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b")
