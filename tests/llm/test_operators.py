@@ -369,3 +369,17 @@ def test_links_of_a_dense_group_are_brute_force(spark, shard, chunk):
     ours = np.array([got[i]["n_links"] for i in range(len(v))])
     assert (ours == link.sum(1)).all()
     assert [got[i]["component_id"] for i in range(len(v))] == root.tolist()
+
+
+def test_terms_disclose_one_entity_everywhere(spark):
+    """A name that shares documents with one address goes wherever it stands, far from it or without it; common words stay."""
+    far = " some plain words" * 9
+    rows = [(i, f"plain words some {i % 7}") for i in range(60)]
+    rows += [(100 + i, f"Zanthorpe lives here{far} z@x.org") for i in range(3)] + [(200, f"Zanthorpe was seen{far}"), (201, f"Quill{far} q@x.org")]
+    df = spark.createDataFrame([(i, t + " here lives was seen" * (i < 60)) for i, t in rows], "doc_id long, text string")
+    for limit in (1000, 0):  # broadcast terms, joined terms
+        got = {r["doc_id"]: r for r in pii.personal_data(df, broadcast_terms=limit).collect()}
+        assert got[200]["sanitised"] == f"[term] was seen{far}" and got[200]["spans"] == "term:0:9"
+        assert got[100]["sanitised"] == f"[term] lives here{far} [email]"
+        assert got[201]["sanitised"] == f"[term]{far} [email]"
+        assert all("term" not in got[i]["spans"] for i in range(60))
