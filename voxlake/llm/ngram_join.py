@@ -214,7 +214,10 @@ def _centred(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): doc_id, n_shingles, component_id per row; the verified links between representatives.
+    """(rows, links): doc_id, n_shingles, component_id per row; verified links that span the components.
+
+    The links are a subset: pairs of a component that are known to be connected
+    are not compared, so they give components, not the number of links of a document.
 
     A null doc_id links with nothing and has no component; null, empty and blank
     texts have no shingles and are components of their own. Equal sets are one
