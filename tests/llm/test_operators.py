@@ -112,6 +112,36 @@ def test_tokens_match_whole_text_encoding(spark, docs, empty):
 ODD = ["", "\n\n a  b\t", "a\x0bb\x0cc", "\x85 x", "A1 b2_c", "don't  stop s 't", "\u05e9\u05c1 xy", "\ufb2a ab", "\ufb01 \u0130I", "a<|endoftext|> b"]
 
 
+def test_token_files_are_read_by_their_index(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, folder = tokens.tokenizer_path(), str(tmp_path / "ids")
+    long = spark.createDataFrame([(9_000, "word, Wörter! " * 20_000)], "doc_id long, text string")
+    tokens.write(docs.select("doc_id", "text").unionByName(long), folder, path, block_ids=64, plane="bit")
+    index = spark.read.parquet(f"{folder}/index").orderBy("start").collect()
+    assert [r["start"] for r in index[1:]] == list(np.cumsum([r["n_ids"] for r in index])[:-1])
+    described = tokens.decode_documents(spark.read.parquet(f"{folder}/blocks")).collect()
+    last = max(described, key=lambda r: r["start"])
+    ids = [*Tokenizer.from_file(path).encode("word, Wörter! " * 20_000, add_special_tokens=False).ids, 2]
+    assert (last["doc_id"], last["n_tokens"], last["ids_crc32"]) == (9_000, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    for low, high in ((0, 7), (60, 200), (3, 3)):
+        at = last["start"]
+        assert tokens.ids_between(spark, folder, at + low, at + high).tolist() == ids[low:high]
+
+
+def test_encoder_takes_marks_and_unusual_letters_as_the_tokenizer_does():
+    import random as r_
+
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(tokens.tokenizer_path()), tokens._encoder(tokens.tokenizer_path())
+    letters = "abÉéΣσİı'.,;:!?%$\"#  \n\tţ́ ²３中1_-()\x1f\x85\u3000ﬀक़"
+    texts = ["".join(r_.Random(i).choices(letters, k=120)) for i in range(300)]
+    for text, got in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_tokenizer(name):
     import public_tokenizers

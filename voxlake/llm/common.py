@@ -6,6 +6,7 @@ import shutil
 import string
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,22 +52,62 @@ def grams(hashes: Column, k: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+#: The setting by which Spark drops the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; `/tmp/checkpoints` where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine serves a local master (tests);
+    on a cluster executors would not see it, so that is an error.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        given = f"{tempfile.gettempdir()}/checkpoints"
+    return given.rstrip("/")
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place, system = _folder(spark, path)
+    system.deleteOnExit(place)
+    return path
 
 
 def saved(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there.
 
-    The files go when the JVM ends. A lost executor costs only the tasks it ran.
+    The files go with `discard`, or when the JVM ends; the shuffle files that the
+    write needed go at once. A lost executor costs only the tasks it ran.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete the files of saved steps that nothing reads any more."""
+    for step in steps:
+        place, system = _folder(step.sparkSession, _places.pop(step))
+        system.delete(place, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -91,6 +132,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = saved(edges.where("u <> v").distinct(), "links")
     before = None
     while True:
+        last = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # large star: greater neighbours move to the least of the neighbourhood
@@ -101,6 +143,7 @@ def components(links: DataFrame) -> DataFrame:
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = least.select("u", F.col("m").alias("v"))
         edges = saved(moved.unionByName(own).where("u <> v").distinct(), "links")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, hinted, map_pandas, saved, table
+from .common import components, discard, hinted, map_pandas, saved, table
 
 K, PERCENT = 3, 90
 #: Sets of a bucket beyond which it is skipped where the guarantee holds without it.
 HOT = 64
 #: Cross pairs per member up to which the components of a bucket meet directly.
 FEW = 8
+#: Parts that the shingles of a family are dealt to when its size is joined to them.
+SALTS = 64
 #: Families whose centres (each at most twice as long as its mean set) are broadcast.
 CENTRES = 1_000
 CACHED_WORDS = 500_000
@@ -191,13 +193,17 @@ def _centred(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     base = crowd.select("id", "c").distinct().join(family.withColumnRenamed("component_id", "fam"), "id")
     base = saved(base.join(sets, "id"), "family")
     members = base.groupBy("fam").agg(F.count("*").alias("members"))
+    members = members.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     held = base.select("fam", F.explode("s").alias("e")).groupBy("fam", "e").agg(F.count("*").alias("f"))
-    centre = held.join(members, "fam").where("2 * f > members").groupBy("fam").agg(F.collect_list("e").alias("centre"))
-    rel = base.join(hinted(saved(centre, "centres"), CENTRES), "fam", "left")
-    centre = F.coalesce("centre", F.array().cast("array<bigint>"))
-    x = F.concat(F.array_except("s", centre), F.array_except(centre, "s"))
+    held = held.withColumn("salt", F.pmod("e", F.lit(SALTS)))
+    centre = held.join(members, ["fam", "salt"]).where("2 * f > members").groupBy("fam").agg(F.collect_list("e").alias("centre"))
+    centre = saved(centre, "centres")
+    rel = base.join(hinted(centre, CENTRES), "fam", "left")
+    own = F.coalesce("centre", F.array().cast("array<bigint>"))
+    x = F.concat(F.array_except("s", own), F.array_except(own, "s"))
     rel = rel.select("fam", "id", "c", x.alias("e"), (F.size(x) * whole - F.size("s") * less).alias("k"))
     rel = saved(rel, "differences")
+    discard(base, centre)
     least = rel.groupBy("fam").agg(F.min(F.struct("k", "id", "c")).alias("z"))
     rel = rel.join(hinted(least), "fam").withColumn("near", F.expr("k + z.k <= 0"))
     star = rel.where("near AND c <> z.c").select(F.col("id").alias("x"), F.col("z.id").alias("y"))
@@ -230,6 +236,7 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT)
     index = saved(map_pandas(known, _indexer(k, percent), INDEX), "index")
     reps = index.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
     reps = saved(reps, "representatives")
+    heads = saved(index.drop("buckets", "extra"), "heads")
     nodes = index.join(reps.select(F.col("rep").alias("id"), "k1"), ["id", "k1"], "left_semi")
     every = F.concat(F.col("buckets"), F.col("extra"))
     rows = nodes.select("id", "n_own", "n_up", "need_own", "need_up", F.posexplode(every).alias("at", "bucket"))
@@ -238,7 +245,9 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT)
     rows = rows.select("bucket", "id", scheme.cast("byte").alias("scheme"))
     by = Window.partitionBy("bucket")
     rows = rows.select("*", F.count("*").over(by).alias("size"), F.min("id").over(by).alias("low"), F.max("id").over(by).alias("high"))
-    rows = saved(rows.where("low < high").select("bucket", "id", "scheme", "size"), "buckets")
+    found = saved(rows.where("low < high").select("bucket", "id", "scheme", "size"), "buckets")
+    discard(index)
+    rows, nodes = found, heads.join(reps.select(F.col("rep").alias("id"), "k1"), ["id", "k1"], "left_semi")
     full = rows.where(F.col("size") > hot)
     if full.limit(1).count():
         skipped = full.where("scheme < 2").groupBy("id", "scheme").agg(F.count("*").alias("hot"))
@@ -247,9 +256,9 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT)
         need = F.when(F.col("scheme") == 0, F.col("need_own")).otherwise(F.col("need_up"))
         hard = left.where(total - F.col("hot") < need).select("id", "scheme").distinct()
         kept = full.join(hard, ["id", "scheme"], "left_semi").unionByName(full.where("scheme = 2"))
-        rows = saved(rows.where(F.col("size") <= hot).unionByName(kept).select("bucket", "id").distinct(), "kept")
-    else:
-        rows = rows.select("bucket", "id").distinct()
+        rows = rows.where(F.col("size") <= hot).unionByName(kept)
+    rows = saved(rows.select("bucket", "id").distinct(), "kept")
+    discard(found)
     wanted = saved(rows.select("id").distinct(), "ids")
     sets = saved(map_pandas(known.join(hinted(wanted), "id", "left_semi"), _sets(k), "id long, s array<long>"), "sets")
     one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -262,9 +271,14 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT)
 
     pivot = rows.groupBy("bucket").agg(F.min("id").alias("y"))
     tried = saved(_pairs(rows.join(pivot, "bucket").select(F.col("id").alias("x"), "y")), "pairs")
-    links = saved(verified(tried), "links")
-    found = saved(components(links), "components")
-    own = saved(rows.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c")), "own")
+    # rows that repeat a doc_id with other texts tie the groups of these
+    repeated = heads.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    repeated = heads.join(repeated, "id", "left_semi").join(reps, ["k1", "k2", "n"])
+    tied = repeated.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    links = saved(verified(tried).unionByName(tied), "links")
+    grouped = saved(components(links), "components")
+    own = saved(rows.join(grouped, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c")), "own")
+    discard(rows)
     per = own.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket")
     per = per.agg(F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"))
     # where two sets share a bucket, they have met; elsewhere the members of different components have not
@@ -278,10 +292,11 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT)
     new = saved(verified(fresh), "links")
     if new.limit(1).count():
         links = links.unionByName(new)
-        found = saved(components(links), "components")
-    home = reps.join(found, reps.rep == found.id, "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"))
-    out = index.select("id", "k1", "k2", "n").join(home, ["k1", "k2", "n"]).select("id", "n", "component_id")
-    # a doc_id with several texts belongs to one component
+        grouped = saved(components(links), "components")
+    discard(own, sets, tried)
+    home = reps.join(grouped, reps.rep == grouped.id, "left").select("k1", "k2", "n", F.coalesce("component_id", "rep").alias("component_id"))
+    out = heads.select("id", "k1", "k2", "n").join(home, ["k1", "k2", "n"]).select("id", "n", "component_id")
+    # blank texts and rows without an id are components of their own
     rest = base.where("id IS NULL OR NOT text RLIKE '[^ \\\\x09-\\\\x0D]'")
     rest = map_pandas(rest.select(F.col("id").cast("string").alias("id"), "text"), _sizes(k), "id string, n long")
     rest = rest.select(F.col("id").cast("long").alias("id"), "n", F.col("id").cast("long").alias("component_id"))

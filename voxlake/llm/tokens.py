@@ -1,10 +1,21 @@
-"""Token-ID output in compressed byte or bit planes."""
+"""Token-ID output in compressed byte or bit planes.
+
+The format: a folder of Parquet files, so that Spark's commit protocol keeps a
+lost executor's half-written files out and any shared store will do.
+
+* `blocks`: a row per block of ids: shard, chunk, first, n_ids, data (the planes,
+  each compressed with zstandard, after a header with their sizes) and which
+  documents lie where in it. A shard is a range of doc_ids, in order.
+* `index`: the chunk index, a row per block: shard, chunk, start (ids of all
+  blocks before it), n_ids, n_bytes and n_docs. `ids_between` reads by it.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -15,13 +26,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_pandas, saved, ship, table
+from .common import column_udf, map_pandas, scratch, table
 
 #: Ids of a block; the last block of a shard is shorter.
 BLOCK_IDS = 32_768
 END_ID = 2
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHED_WORDS = 400_000
+#: Words of one generation of a worker's memory; the last generation is kept beside the new one.
+CACHED_WORDS = 300_000
+#: Characters of texts whose unknown words are encoded together, about.
+TOGETHER = 1 << 20
+#: Words of a text that is parted again at the word ends.
+PARTED = 1_000
+#: Runs of these are words of their own to a tokenizer that splits off letters (an apostrophe may start one).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"IDP1"
 
 # ---- one block -----------------------------------------------------------------------------------
@@ -88,9 +105,6 @@ def crc32_join(first: int, second: int, length: int) -> int:
 
 # ---- encoding ------------------------------------------------------------------------------------
 
-_known: dict[str, tuple] = {}
-
-
 def _word_ends(tokenizer) -> np.ndarray | None:
     """Which ids end a word, if the tokenizer drops white space and marks the ends of words; else None."""
     spec = json.loads(tokenizer.to_str())
@@ -107,53 +121,95 @@ def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _word_ids(tokenizer, ends: np.ndarray, words: list[str]) -> Iterator[tuple[str, bytes]]:
-    """The ids of each word, as bytes.
+def _letter_ids(tokenizer, ends: np.ndarray, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """The ids of words of letters alone, as bytes.
 
-    Words of letters alone are encoded as one text and parted at the word ends:
-    each gives one at least, so equal counts mean one for each. Others, and all
-    if a letter was taken apart, are encoded one by one.
+    They are encoded as one text and parted at the word ends: each gives one at
+    least, so equal counts mean one for each. If a word was taken apart, those
+    encoded along with it are encoded one by one.
     """
-    letters = [w for w in words if w.isalpha()]
-    ids = _ids(tokenizer, [" ".join(letters)])[0]
-    stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
-    if len(stops) == len(letters):
-        raw = ids.tobytes()
-        yield from ((w, raw[i:k]) for w, i, k in zip(letters, [0, *stops], stops, strict=False))
-        words = [w for w in words if not w.isalpha()]
-    yield from ((w, x.tobytes()) for w, x in zip(words, _ids(tokenizer, words), strict=True))
+    for low in range(0, len(words), PARTED):
+        some = words[low : low + PARTED]
+        ids = _ids(tokenizer, [" ".join(some)])[0]
+        stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(stops) == len(some):
+            raw = ids.tobytes()
+            yield from ((w, raw[i:k]) for w, i, k in zip(some, [0, *stops], stops, strict=False))
+        else:
+            yield from ((w, x.tobytes()) for w, x in zip(some, _ids(tokenizer, some), strict=True))
+
 
+def _all_letters(word: str) -> bool:
+    """Whether a word is of letters alone, once composed and in lower case too."""
+    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
 
-def _encoder(path: str):
-    """text -> ids as little-endian bytes; equal to encoding the whole text.
+
+class _Encoder:
+    """Texts -> ids as little-endian bytes; equal to encoding the whole texts.
 
     A tokenizer that drops white space never joins characters over it: words
-    between plain blanks are then encoded apart and remembered. With any other
-    tokenizer whole texts are encoded.
+    between plain blanks are then encoded apart and remembered, for two
+    generations of CACHED_WORDS words at most. With any other tokenizer whole
+    texts are encoded.
     """
-    if path not in _known:
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        _known[path] = (tokenizer, _word_ends(tokenizer), {})
-    tokenizer, ends, ids = _known[path]
-
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if ends is None:
-                yield _ids(tokenizer, [text])[0].tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = _word_ends(self.tokenizer)
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _learn(self, missing: set[str]) -> None:
+        known, before = self.known, self.before
+        for w in [w for w in missing if w in before]:
+            known[w] = before[w]
+            missing.discard(w)
+        letters, marked, others = set(), [], {""}
+        for w in missing:
+            if w.isalpha():
+                letters.add(w)
+            elif (core := w.strip(MARKS)) and _all_letters(core):  # marks, letters, marks
+                at = w.index(core)
+                parts = w[:at], core, w[at + len(core) :]
+                marked.append((w, parts))
+                letters.add(core)
+                others.update(parts[::2])
+            else:
+                others.add(w)
+        known.update(_letter_ids(self.tokenizer, self.ends, list(letters.difference(known))))
+        rest = list(others.difference(known))
+        known.update((w, x.tobytes()) for w, x in zip(rest, _ids(self.tokenizer, rest), strict=True))
+        known.update((w, known[a] + known[b] + known[c]) for w, (a, b, c) in marked)
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        low = 0
+        while low < len(texts):
+            high, size = low + 1, len(texts[low])
+            while high < len(texts) and size + len(texts[high]) <= TOGETHER:
+                size += len(texts[high])
+                high += 1
+            some, low = texts[low:high], high
+            if self.ends is None:
+                yield from (x.tobytes() for x in _ids(self.tokenizer, some))
                 continue
-            chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            missing = list(set(chunks).difference(ids))
-            if missing:
-                if len(ids) + len(missing) > CACHED_WORDS:
-                    ids.clear()
-                    missing = list(set(chunks))
-                ids.update(_word_ids(tokenizer, ends, missing))
-            yield b"".join(map(ids.__getitem__, chunks))
+            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in some]
+            words = set().union(*split)
+            if len(self.known) >= CACHED_WORDS:
+                self.known, self.before = {}, self.known
+            self._learn(words.difference(self.known))
+            yield from (b"".join(map(self.known.__getitem__, chunks)) for chunks in split)
 
-    return encode
+
+_known: dict[str, _Encoder] = {}
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _known:
+        _known[path] = _Encoder(path)
+    return _known[path]
 
 
 BLOCKS = (
@@ -207,15 +263,16 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID, plane: st
 
     A row is a block: shard, chunk, the place of its first id within the shard,
     the number of ids, the encoded planes, and which documents lie where: their
-    order, doc_id, first id and number of ids here. shard, chunk and first are
-    the chunk index. A shard is a range of doc_ids; write() keeps it in a file.
-    Null texts are empty and give the end id alone; null doc_ids come first;
-    repeated rows are all written. Blocks hold `block_ids` ids, so no task holds
-    more than a batch of texts and a block.
+    order, doc_id, first id and number of ids here. Null texts are empty and give
+    the end id alone; null doc_ids come first; repeated rows are all written, and
+    rows of one doc_id are ordered by a hash of their texts. An empty table gives
+    no blocks; other columns are ignored. Blocks hold `block_ids` ids, and a long
+    text goes on over several, so no task holds more than a batch of texts, the
+    longest text and a block.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas makes integers with nulls floats
     return map_pandas(rows, _blocks(path, end_id, plane, block_ids), BLOCKS)
 
@@ -231,34 +288,68 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["shard", "seq", "doc_id", "first", "n", "crc"])
 
 
-def _joined(parts):
-    crc = parts[0]["crc"]
-    for p in parts[1:]:
-        crc = crc32_join(crc, p["crc"], 4 * p["n"])
-    return crc
+def _joined(parts: pd.Series) -> pd.Series:
+    out = []
+    for own in parts:
+        crc = own[0]["crc"]
+        for p in own[1:]:
+            crc = crc32_join(crc, p["crc"], 4 * int(p["n"]))
+        out.append(crc)
+    return pd.Series(out, dtype="int64")
+
+
+def _bases(blocks: DataFrame) -> DataFrame:
+    """(shard, base): ids of all shards before; a row per shard."""
+    ends = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
 def decode_documents(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from blocks as read back."""
-    ends = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row per shard
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    blocks = blocks.withColumn("doc_id", F.array_join("doc_id", ",", ""))
-    pieces = map_pandas(blocks, _pieces, "shard int, seq long, doc_id string, first long, n long, crc long")
+    named = blocks.withColumn("doc_id", F.array_join("doc_id", ",", ""))
+    pieces = map_pandas(named, _pieces, "shard int, seq long, doc_id string, first long, n long, crc long")
     whole = pieces.groupBy("shard", "seq").agg(
         F.min("doc_id").cast("long").alias("doc_id"),
         F.min("first").alias("first"),
         F.sum("n").alias("n_tokens"),
         F.array_sort(F.collect_list(F.struct("first", "n", "crc"))).alias("parts"),  # a document's own blocks
     )
-    ship(blocks.sparkSession)
-    crc = F.when(F.size("parts") == 1, F.col("parts")[0]["crc"]).otherwise(F.udf(_joined, "long")("parts"))
-    return whole.join(ends, "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", crc.alias("ids_crc32"))
+    whole = whole.join(_bases(blocks), "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "parts")
+    several = F.size("parts") > 1  # only documents that straddle blocks leave the JVM
+    crc = column_udf(blocks.sparkSession, _joined, "long", "parts")
+    one = whole.where(~several).withColumn("ids_crc32", F.col("parts")[0]["crc"])
+    return one.unionByName(whole.where(several).withColumn("ids_crc32", crc)).drop("parts")
+
+
+def write(docs: DataFrame, folder: str, path: str, **how) -> None:
+    """Write the token ids of `docs` to `folder`, which must not exist; `path` is the tokenizer's file."""
+    encode_documents(docs, path, **how).write.parquet(f"{folder}/blocks")
+    blocks = docs.sparkSession.read.parquet(f"{folder}/blocks")
+    index = blocks.select("shard", "chunk", "first", "n_ids", F.octet_length("data").alias("n_bytes"), F.size("doc_seq").alias("n_docs"))
+    index = index.join(_bases(blocks), "shard").withColumn("start", F.col("base") + F.col("first"))
+    index.select("shard", "chunk", "start", "n_ids", "n_bytes", "n_docs").write.parquet(f"{folder}/index")
+
+
+def ids_between(spark: SparkSession, folder: str, start: int, stop: int) -> np.ndarray:
+    """The ids start..stop of the whole output; only the blocks that the index names are read."""
+    index = spark.read.parquet(f"{folder}/index").where((F.col("start") < stop) & (F.col("start") + F.col("n_ids") > start))
+    wanted = index.orderBy("start").collect()  # stop - start ids at most
+    if not wanted:
+        return np.zeros(0, "<u4")
+    found = F.struct("shard", "chunk").isin([F.struct(F.lit(r["shard"]), F.lit(r["chunk"])) for r in wanted])
+    blocks = spark.read.parquet(f"{folder}/blocks").where(F.col("shard").isin([r["shard"] for r in wanted]) & found)
+    data = {(r["shard"], r["chunk"]): bytes(r["data"]) for r in blocks.select("shard", "chunk", "data").collect()}
+    ids = np.concatenate([decode_block(data[r["shard"], r["chunk"]]) for r in wanted])
+    return ids[max(start - wanted[0]["start"], 0) : stop - wanted[0]["start"]]
 
 
 def tokenised(docs: DataFrame, path: str, **how) -> DataFrame:
-    """Encode, write the blocks to the shared folder, read them back and describe each document."""
-    return decode_documents(saved(encode_documents(docs, path, **how), "token-ids"))
+    """Write the token ids to the shared folder, read them back and describe each document."""
+    spark = docs.sparkSession
+    folder = scratch(spark, "token-ids")
+    write(docs, folder, path, **how)
+    return decode_documents(spark.read.parquet(f"{folder}/blocks"))
 
 
 def tokenizer_path() -> str:
