@@ -302,6 +302,35 @@ def test_personal_data(spark, docs, empty):
     assert pii.personal_data(docs).count() == docs.count() and pii.personal_data(empty).count() == 0
 
 
+def test_block_permutations(spark):
+    small = spark.createDataFrame([(n, s, k) for n in (1, 2, 3, 7, 50, 1000) for k in ("0|0", "0|1", "1|0") for s in range(n)], "n long, s long, k string")
+    got = mixing.permuted(small, F.col("s"), F.col("n"), F.col("k"), "to").toPandas()
+    for (n, _), g in got.groupby(["n", "k"]):
+        assert sorted(g.to) == list(range(n))
+    of = {k: list(g.sort_values("s").to) for k, g in got[got.n == 1000].groupby("k")}
+    assert of["0|0"] != of["0|1"] and of["0|0"] != of["1|0"]
+    away = np.abs(np.diff(of["0|0"]))  # neighbours are no longer so
+    assert np.median(away) > 100
+    large = spark.createDataFrame([(n, n - 1 - s, "5|0") for n in (10**12, 3 * 10**15 + 1) for s in range(500)], "n long, s long, k string")
+    got = mixing.permuted(large, F.col("s"), F.col("n"), F.col("k"), "to").toPandas()
+    for n, g in got.groupby("n"):
+        assert g.to.nunique() == 500 and g.to.between(0, n - 1).all() and abs(g.to.mean() / n - 0.5) < 0.1
+
+
+def test_shards_draw_multinomial_counts(spark):
+    t = spark.createDataFrame([(0, 900, 1000), (1, 5000, 3000), (2, 10, 0)], "sid int, nb long, slots long")
+    got = mixing.draw_counts(t, 100).toPandas().sort_values(["sid", "shard"])
+    assert got.groupby("sid").n.sum().to_dict() == {0: 1000, 1: 3000} and got.shard.between(0, 39).all()
+    for _, g in got.groupby("sid"):  # each shard's slots are the next ones, and counts vary as multinomial ones do
+        assert list(g["first"]) == list(np.cumsum(g.n) - g.n)
+        assert 0.4 < g.n.var() / g.n.mean() < 2
+    out = mixing.plan(spark.createDataFrame([(i, "w " * 90, f"s{i % 2}") for i in range(300)], "doc_id long, text string, source string"), shard_slots=64)
+    slots = out[1].toPandas()
+    assert len(slots) == len(slots[["sid", "slot"]].drop_duplicates()) == len(slots[["sid", "pass", "block"]].drop_duplicates())
+    drawn, rows = slots.groupby(["sid", "block"]).size(), out[0].toPandas()
+    assert rows.taken.sum() == sum(min(32, 90 * 150 - 32 * b) * n for (_, b), n in drawn.items()) and (rows.shards > 0).any()
+
+
 def test_mixing(spark, docs, empty):
     out, _ = mixing.plan(docs, block=4, runs=8)
     got = out.toPandas()

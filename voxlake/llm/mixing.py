@@ -17,13 +17,74 @@ SHARE, REPEAT = 1.5, 2
 RUNS = 4096
 #: Slots of an output shard, on average.
 SHARD_SLOTS = 4096
-#: A prime beyond any number of blocks: it steps through the blocks of a source in a full cycle.
-STEP = 2_147_483_647
+#: Steps of a walk back into the blocks; see `permuted`.
+WALK = 40
+#: Slots that one row is exploded into at most.
+DEALT = 1_000
 
 
 def _part(*cols: Column) -> Column:
-    """28 bits of md5, as a long; SQL engines agree on it."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 7), 16, 10).cast("long")
+    """60 bits of md5, as a long; SQL engines agree on it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 15), 16, 10).cast("long")
+
+
+def _rounds(x: Column, a: Column, b: Column, key: Column) -> Column:
+    """A keyed permutation of 0..a*b: four Feistel rounds on the two digits of x, which stay below a and b."""
+    div = lambda p, q: F.call_function("div", p, q)  # noqa: E731  of longs, exact
+    turn = lambda digit, by, k, size: (digit + _part(key, F.lit(k), by) % size) % size
+    left, right = div(x, b), x % b
+    left = turn(left, right, 1, a)
+    right = turn(right, left, 2, b)
+    left = turn(left, right, 3, a)
+    right = turn(right, left, 4, b)
+    return left * b + right
+
+
+def permuted(rows: DataFrame, slot: Column, n: Column, key: Column, name: str) -> DataFrame:
+    """`rows` with the column `name`: where a keyed permutation of 0..n puts slot, 0 <= slot < n.
+
+    With a = ceil(sqrt(n)) and b = ceil(n / a), a*b exceeds n by less than a, so
+    a step leaves 0..n with a chance below 1/sqrt(n); it is then repeated until
+    it is back, which takes at most a*b - n + 1 steps. WALK steps are enough
+    for n <= WALK^2 in any case; beyond, more are needed with a chance below
+    WALK^-WALK, and would raise an error. Longs suffice to 2^62 blocks.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    rows = rows.select("*", slot.alias("_x"), n.alias("_n"), key.alias("_key"), a.alias("_a"))
+    rows = rows.select("*", F.call_function("div", F.col("_n") + F.col("_a") - 1, F.col("_a")).alias("_b"))
+    step = lambda x: _rounds(x, F.col("_a"), F.col("_b"), F.col("_key"))
+    rows = rows.select("*", step(F.col("_x")).alias("_y"))
+    inside = lambda y: y < F.col("_n")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.col("_y"), lambda y, _: F.when(inside(y), y).otherwise(step(y)))
+    rows = rows.select("*", F.when(inside(F.col("_y")), F.col("_y")).otherwise(walked).alias("_z"))
+    lost = F.raise_error(F.lit("a walk of the permutation did not end")).cast("long")
+    return rows.select("*", F.when(inside(F.col("_z")), F.col("_z")).otherwise(lost).alias(name)).drop("_x", "_n", "_key", "_a", "_b", "_y", "_z")
+
+
+def draw_counts(t: DataFrame, shard_slots: int) -> DataFrame:
+    """(sid, nb, shard, first, n): how many of a source's slots each output shard draws, and from which on.
+
+    Every slot falls into a shard at random, so the counts of a source are
+    multinomial given its total, and those of a shard are so nearly, with the
+    sources' shares as chances. Slots are counted where they are made: what is
+    shuffled are the counts.
+    """
+    total = F.greatest(F.ceil(F.sum("slots") / shard_slots), F.lit(1)).cast("long")
+    shards = t.agg(total.alias("shards"))  # one row
+    head = t.where("slots > 0").select("sid", "nb", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(slots - 1) div %d" % DEALT))).alias("k"))
+    # a stated number of partitions: by bytes these few rows look like work for one task
+    head = head.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "k")
+    low = F.col("k") * DEALT
+    slots = head.select("sid", "nb", F.explode(F.sequence(low, F.least(low + DEALT, F.col("slots")) - 1)).alias("slot"))
+    fall = _part(F.lit("shard"), F.col("sid"), F.col("slot")) % F.col("shards")
+    counts = slots.crossJoin(F.broadcast(shards)).groupBy("sid", "nb", fall.alias("shard")).agg(F.count("*").alias("n"))
+    # first slots by running sums, over groups of shards and then within them
+    counts = counts.withColumn("part", F.expr("shard div 4096"))
+    by = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("sid", "part").agg(F.sum("n").alias("all")).select("sid", "part", F.coalesce(F.sum("all").over(by), F.lit(0)).alias("before"))
+    by = Window.partitionBy("sid", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("*", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("within")).join(parts, ["sid", "part"])
+    return counts.select("sid", "nb", "shard", (F.col("before") + F.col("within")).alias("first"), "n")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
@@ -53,13 +114,16 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
 
     documents: doc_id, text_hash, source, size, source_size, target, taken and
     pieces, an array of (from, len, draws): words from..from+len of the text are
-    drawn `draws` times. slots: shard, sid, slot, block, pass.
+    drawn `draws` times; shards counts the output shards that hold any of them.
+    slots: shard, sid, slot, block, pass - the layout of the output shards.
 
     A source's documents form one stream, cut into `runs` by a hash of doc_id,
-    and the stream is cut into blocks. Output shards draw their slots at random,
-    given the sources' totals (multinomial counts per shard); slot j of a source
-    takes block (STEP x j + c) mod blocks, a permutation, so no block is drawn
-    twice before all are drawn once. Slots meet blocks in a join by index.
+    and the stream is cut into blocks. Each output shard draws how many slots it
+    has of each source (multinomial counts, given the sources' totals, so that
+    every source meets its target within a block); its slots are the next ones
+    of the source, and slot j takes the block where a keyed permutation of the
+    source's blocks puts j: another permutation for each pass, so no block is
+    drawn twice before all are drawn once. Slots meet blocks in a join by index.
 
     Null text has size 0; a null source is a source of its own, the last; a null
     doc_id is an id like others; repeated rows are mixed one by one. An empty
@@ -70,7 +134,8 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
         "source",
         F.xxhash64("text").alias("text_hash"),
         F.coalesce(F.regexp_count("text", F.lit(CHUNK)), F.lit(0)).cast("long").alias("size"),
-        (_part(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % runs).alias("run"),
+        # rows without an id are dealt by their texts
+        (_part(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))) % runs).alias("run"),
     )
     base = saved(base, "sizes")
     by_run = base.groupBy("source", "run").agg(F.sum("size").alias("n"))
@@ -79,8 +144,7 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
     t = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
     nb = F.ceil(F.col("source_size") / block)
     most = F.lit(how.get("repeat", REPEAT)) * nb
-    start = _part(F.coalesce("source", F.lit("")), F.lit("start"))
-    t = t.select("*", nb.alias("nb"), F.least(F.round(F.col("target") / block).cast("long"), most).alias("slots"), start.alias("c"))
+    t = t.select("*", nb.alias("nb"), F.least(F.round(F.col("target") / block).cast("long"), most).alias("slots"))
     t = saved(t, "targets")
     within = Window.partitionBy("source", "run").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.select("*", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("at"))
@@ -91,22 +155,16 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
         "doc_id", "text_hash", "source", "size", "source_size", "target", "sid", (F.col("ahead") + F.col("at")).alias("start")
     )
     placed = saved(placed, "placed")
-    # slots, by thousands first, so that a large source is dealt over all tasks
-    head = t.where("slots > 0").select("sid", "nb", "slots", "c", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / 1000))).alias("k"))
-    # a stated number of partitions: by bytes these few rows look like work for one task
-    head = head.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "k")
-    slot = F.sequence(F.col("k") * 1000, F.least(F.col("k") * 1000 + 999, F.col("slots") - 1))
-    slots = head.select("sid", "nb", "c", F.explode(slot).alias("slot"))
-    total = t.agg(F.greatest(F.ceil(F.sum("slots") / shard_slots), F.lit(1)).alias("shards"))
-    index = (F.col("slot") % F.col("nb") * F.lit(STEP) + F.col("c")) % F.col("nb")
-    slots = slots.crossJoin(F.broadcast(total)).select(  # one row: the number of shards
-        (_part(F.col("sid").cast("string"), F.col("slot").cast("string")) % F.col("shards")).alias("shard"),
-        "sid",
-        "slot",
-        index.alias("block"),
-        F.floor(F.col("slot") / F.col("nb")).alias("pass"),
-    )
-    draws = slots.groupBy("sid", "block").agg(F.count("*").alias("draws"))
+    counts = saved(draw_counts(t, shard_slots), "counts")
+    # slots of a shard, by thousands first, dealt over all tasks
+    head = counts.select("sid", "nb", "shard", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div %d" % DEALT))).alias("k"))
+    head = head.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "shard", "k")
+    low = F.col("k") * DEALT
+    slot = F.explode(F.sequence(F.col("first") + low, F.col("first") + F.least(low + DEALT, F.col("n")) - 1))
+    slots = head.select("shard", "sid", "nb", slot.alias("slot")).withColumn("pass", F.expr("slot div nb"))
+    slots = permuted(slots, F.col("slot") % F.col("nb"), F.col("nb"), F.concat_ws("|", "sid", "pass"), "block")
+    slots = slots.select("shard", "sid", "slot", "block", "pass")
+    draws = slots.groupBy("sid", "block").agg(F.count("*").alias("draws"), F.collect_set("shard").alias("to"))  # one a pass
     to = F.col("start") + F.col("size")
     pieces = placed.where("size > 0").select(
         "doc_id", "text_hash", "sid", "start", "size",
@@ -115,18 +173,19 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
     low = F.greatest(F.col("block") * block, F.col("start"))
     # merge: rows that explode makes are not in the size estimate, which would have all draws broadcast
     pieces = pieces.join(draws.hint("merge"), ["sid", "block"]).select(
-        "doc_id", "text_hash", "sid", "start", "draws",
+        "doc_id", "text_hash", "sid", "start", "draws", "to",
         (low - F.col("start")).alias("from"), (F.least((F.col("block") + 1) * block, to) - low).alias("len"),
     )
     drawn = pieces.groupBy("doc_id", "text_hash", "sid", "start").agg(
         F.sum(F.col("len") * F.col("draws")).alias("taken"),
         F.array_sort(F.collect_list(F.struct("from", "len", "draws"))).alias("pieces"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("to")))).cast("long").alias("shards"),
     )
-    d = drawn.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "sid", "start")], "taken", "pieces")
+    d = drawn.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "sid", "start")], "taken", "pieces", "shards")
     keys = [placed[c].eqNullSafe(d[f"_{c}"]) for c in ("doc_id", "text_hash", "sid", "start")]
     out = placed.join(d, (placed["size"] > 0) & keys[0] & keys[1] & keys[2] & keys[3], "left").select(
         "doc_id", "text_hash", "source", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces", F.coalesce("shards", F.lit(0)).cast("long").alias("shards"),
     )
     return out, slots
 
@@ -156,34 +215,57 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = plan(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+def _sql_part(*parts: str) -> str:
+    return "('0x' || md5(concat_ws('|', " + ", ".join(parts) + "))[1:15])::BIGINT"
+
+
+def _sql_round(digit: str, by: str, k: int, size: str) -> str:
+    return f"({digit} + {_sql_part('key', str(k), by)} % {size}) % {size}"
 
 
 SQL = rf"""
-WITH b AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0)::BIGINT AS size,
-         ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:7])::BIGINT % {RUNS} AS run FROM documents),
+WITH RECURSIVE b AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         {_sql_part("coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))")} % {RUNS} AS run FROM documents),
 p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY run, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size AS start FROM b),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2.0 * sum(size) AS cap,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM b GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][sid % 3 + 1] AS w FROM s),
+-- shares at each number of sources that stop at their cap, smallest cap per weight first; the right one gives the most
 l AS (
   SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT *, least(cap, max(level) OVER () * w)::DOUBLE AS target, ceil(source_size / {BLOCK})::BIGINT AS nb,
-             ('0x' || md5(coalesce(source, '') || '|start')[1:7])::BIGINT AS c FROM l),
-q AS (SELECT *, least(round(target / {BLOCK})::BIGINT, 2 * nb) AS slots FROM t),
+t AS (SELECT *, least(cap, max(level) OVER () * w)::DOUBLE AS target, ceil(source_size / {BLOCK})::BIGINT AS nb FROM l),
+q AS (SELECT *, least(round(target / {BLOCK})::BIGINT, 2 * nb) AS slots, ceil(sqrt(nb))::BIGINT AS a FROM t),
+j AS (
+  SELECT sid, nb, slot, a, (nb + a - 1) // a AS b, sid || '|' || (slot // nb) AS key,
+         {_sql_part("'shard'", "sid", "slot")} % greatest(ceil((SELECT sum(slots) FROM q) / {SHARD_SLOTS}.0), 1)::BIGINT AS fall
+  FROM (SELECT sid, nb, a, unnest(range(0, slots::BIGINT)) AS slot FROM q)),
+-- the shard of a slot: as many of the lowest slots go to each shard, in order, as fell into it
+c AS (SELECT sid, fall AS shard, sum(count(*)) OVER (PARTITION BY sid ORDER BY fall) AS stop FROM j GROUP BY sid, fall),
+f AS (
+  SELECT sid, nb, slot, a, b, key, slot % nb AS x, true AS going FROM j
+  UNION ALL
+  SELECT sid, nb, slot, a, b, key, y, y >= nb FROM (
+    SELECT *, l2 * b + ({_sql_round("r1", "l2", 4, "b")}) AS y FROM (
+      SELECT *, {_sql_round("l1", "r1", 3, "a")} AS l2 FROM (
+        SELECT *, {_sql_round("r0", "l1", 2, "b")} AS r1 FROM (
+          SELECT *, {_sql_round("x // b", "r0", 1, "a")} AS l1 FROM (
+            SELECT *, x % b AS r0 FROM f WHERE going)))))),
 d AS (
-  SELECT sid, ((slot % nb) * {STEP} + c) % nb AS block, count(*) AS draws
-  FROM (SELECT sid, nb, c, unnest(range(0, slots::BIGINT)) AS slot FROM q) GROUP BY ALL),
+  SELECT f.sid, f.x AS block, count(*) AS draws, list(c.shard) AS shards
+  FROM f ASOF JOIN c ON f.sid = c.sid AND f.slot < c.stop WHERE NOT going GROUP BY ALL),
 x AS (
   SELECT doc_id, size, start, sid, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block
   FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source WHERE size > 0),
 y AS (
-  SELECT doc_id, sum(draws * (least((block + 1) * {BLOCK}, start + size) - greatest(block * {BLOCK}, start))) AS taken
+  SELECT doc_id, sum(draws * (least((block + 1) * {BLOCK}, start + size) - greatest(block * {BLOCK}, start))) AS taken,
+         len(list_distinct(flatten(list(shards)))) AS shards
   FROM x JOIN d USING (sid, block) GROUP BY doc_id)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shards, 0)::BIGINT AS shards
 FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source LEFT JOIN y USING (doc_id)
 """
