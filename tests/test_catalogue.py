@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-import voxlake.plans.catalogue  # noqa: F401
+import voxlake.plans.library  # noqa: F401
 from voxlake.plans.registry import ORACLE, QUERIES
 from voxlake.plans.sql import TABLES
 

@@ -42,6 +42,77 @@ class Spark:
     def arg_max(self, x: str, by: str) -> str:
         return f"max_by({x}, {by})"
 
+    def arg_min(self, x: str, by: str) -> str:
+        return f"min_by({x}, {by})"
+
+    def like(self, x: str, pattern: str) -> str:
+        return f"regexp_like({x}, r'{pattern}')"
+
+    def first_group(self, x: str, pattern: str) -> str:
+        return f"regexp_extract({x}, r'{pattern}', 1)"
+
+    def finite(self, x: str) -> str:
+        return f"({x} IS NOT NULL AND NOT isnan({x}) AND abs({x}) < double('infinity'))"
+
+    def nan(self) -> str:
+        return "double('NaN')"
+
+    def infinity(self) -> str:
+        return "double('infinity')"
+
+    def filter(self, x: str, condition: str) -> str:
+        """Elements w of x with the condition on w."""
+        return f"filter({x}, w -> {condition})"
+
+    def map(self, x: str, expression: str) -> str:
+        return f"transform({x}, w -> {expression})"
+
+    def some(self, x: str, condition: str) -> str:
+        return f"exists({x}, w -> {condition})"
+
+    def at(self, x: str, i: str) -> str:
+        """Element i of x, from 1; null beyond it."""
+        return f"try_element_at({x}, CAST({i} AS int))"
+
+    def glued(self, x: str, by: str = " ") -> str:
+        return f"array_join({x}, '{by}')"
+
+    def split(self, x: str, by: str) -> str:
+        return f"split({x}, '{by}')"
+
+    def part(self, x: str, low: str, n: str) -> str:
+        """n elements of x from the low-th on."""
+        return f"slice({x}, CAST({low} AS int), CAST({n} AS int))"
+
+    def array(self, *x: str) -> str:
+        return f"array({', '.join(x)})"
+
+    def gathered(self, x: str, order: str) -> str:
+        """Values of x in a group, in the order of a key that is unique there."""
+        return f"transform(array_sort(collect_list(struct({order} AS k, {x} AS v))), w -> w.v)"
+
+    def distinct_sorted(self, x: str) -> str:
+        return f"array_join(array_sort(collect_set({x})), ',')"
+
+    def range(self, low: str, high: str) -> str:
+        """Integers low..high as an array; both ends are in it."""
+        return f"sequence({low}, {high})"
+
+    def bool_or(self, x: str) -> str:
+        return f"bool_or({x})"
+
+    def count_if(self, x: str) -> str:
+        return f"count_if({x})"
+
+    def median(self, x: str) -> str:
+        return f"percentile({x}, 0.5)"
+
+    def prefix(self, x: str, y: str) -> str:
+        return f"startswith({x}, {y})"
+
+    def suffix(self, x: str, y: str) -> str:
+        return f"endswith({x}, {y})"
+
 
 class Duck(Spark):
     name = "duck"
@@ -82,6 +153,69 @@ class Duck(Spark):
     def arg_max(self, x, by):
         return f"arg_max({x}, {by})"
 
+    def arg_min(self, x, by):
+        return f"arg_min({x}, {by})"
+
+    def like(self, x, pattern):
+        return f"regexp_matches({x}, '{pattern}')"
+
+    def first_group(self, x, pattern):
+        return f"regexp_extract({x}, '{pattern}', 1)"
+
+    def finite(self, x):
+        return f"({x} IS NOT NULL AND isfinite({x}))"
+
+    def nan(self):
+        return "'NaN'::DOUBLE"
+
+    def infinity(self):
+        return "'infinity'::DOUBLE"
+
+    def filter(self, x, condition):
+        return f"list_filter({x}, lambda w: {condition})"
+
+    def map(self, x, expression):
+        return f"list_transform({x}, lambda w: {expression})"
+
+    def some(self, x, condition):
+        return f"(len(list_filter({x}, lambda w: {condition})) > 0)"
+
+    def at(self, x, i):
+        return f"({x})[CAST({i} AS int)]"
+
+    def glued(self, x, by=" "):
+        return f"array_to_string({x}, '{by}')"
+
+    def split(self, x, by):
+        return f"string_split({x}, '{by}')"
+
+    def part(self, x, low, n):
+        return f"({x})[CAST({low} AS int):CAST({low} AS int) + CAST({n} AS int) - 1]"
+
+    def array(self, *x):
+        return f"[{', '.join(x)}]"
+
+    def gathered(self, x, order):
+        return f"list({x} ORDER BY {order})"
+
+    def distinct_sorted(self, x):
+        return f"string_agg(DISTINCT {x}, ',' ORDER BY {x})"
+
+    def range(self, low, high):
+        return f"range({low}, {high} + 1)"
+
+    def count_if(self, x):
+        return f"CAST(count_if({x}) AS bigint)"
+
+    def median(self, x):
+        return f"quantile_cont({x}, 0.5)"
+
+    def prefix(self, x, y):
+        return f"starts_with({x}, {y})"
+
+    def suffix(self, x, y):
+        return f"suffix({x}, {y})"
+
 
 def digest_mod(d: Spark, digest: str, chunks: int, base: int = 100) -> str:
     """Whole hex digest modulo base, folded over chunks of eight digits (2^32 mod 100 is 96)."""
