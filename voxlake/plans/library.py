@@ -1,3 +1,3 @@
 """All query modules: importing this fills the registry."""
 
-from voxlake.plans import alignment, catalogue, predicates  # noqa: F401
+from voxlake.plans import alignment, catalogue, folds, predicates  # noqa: F401
