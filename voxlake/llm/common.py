@@ -54,6 +54,8 @@ def grams(hashes: Column, k: int) -> Column:
 
 #: The setting by which Spark drops the shuffle files of a query when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch while a step is written: texts are long, and two batches of each worker are in memory.
+ARROW_ROWS = 2_000
 _places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -92,12 +94,15 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    how = {SHUFFLE_CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS)}
+    before = {k: spark.conf.get(k) for k in how}
     try:
+        for k, v in how.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
     return out
