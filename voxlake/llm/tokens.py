@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -41,6 +42,11 @@ PARTED = 1_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"IDP1"
 
+#: Letters that stay letters when composed and in lower case, so that a mark after one is a run of its own.
+PLAIN = "A-Za-z0-9\u00C0-\u012F\u0131-\u024F\u0386-\u03CE\u0400-\u0481\u048A-\u052F"
+#: Where a mark is not alone: after anything but plain letters and white space, or before another mark or symbol.
+_CROWDED = re.compile(rf"[^{PLAIN}\s][{re.escape(MARKS)}]|[{re.escape(MARKS)}](?:[^\w\s]|_)")
+
 # ---- one block -----------------------------------------------------------------------------------
 
 
@@ -184,6 +190,14 @@ class _Encoder:
         known.update((w, x.tobytes()) for w, x in zip(rest, _ids(self.tokenizer, rest), strict=True))
         known.update((w, known[a] + known[b] + known[c]) for w, (a, b, c) in marked)
 
+    def _chunks(self, text: str) -> list[str]:
+        """Words between white space; where all marks of a text stand alone, these are words too."""
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if not _CROWDED.search(text):
+            for mark in MARKS:
+                text = text.replace(mark, f" {mark} ")
+        return text.split(" ")
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         low = 0
         while low < len(texts):
@@ -195,7 +209,7 @@ class _Encoder:
             if self.ends is None:
                 yield from (x.tobytes() for x in _ids(self.tokenizer, some))
                 continue
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in some]
+            split = [self._chunks(t) for t in some]
             words = set().union(*split)
             if len(self.known) >= CACHED_WORDS:
                 self.known, self.before = {}, self.known
