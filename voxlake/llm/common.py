@@ -7,6 +7,7 @@ import string
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,6 +159,18 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(roots)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """A worker's memory of words belongs to one operator at a time: those of others are cleared, as workers outlive steps."""
+    if owner not in _held:
+        for other in _held.values():
+            other()
+        _held.clear()
+        _held[owner] = clear
+
+
 _shipped: set[str] = set()
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, hinted, map_pandas, saved, table
+from .common import components, discard, hinted, hold, map_pandas, saved, table
 
 K, PERCENT = 3, 90
 #: Sets of a bucket beyond which it is skipped where the guarantee holds without it.
@@ -141,6 +141,7 @@ INDEX = (
 
 def _indexer(k: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("shingles", _words.clear)
         part, names = Partition(percent), [x.split()[0] for x in INDEX.split(", ")]
         for batch in batches:
             rows = []
@@ -158,6 +159,7 @@ def _indexer(k: int, percent: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("shingles", _words.clear)
         for batch in batches:
             sets = [shingles(t, k).view(np.int64) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "s": sets})

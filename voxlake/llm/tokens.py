@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column_udf, map_pandas, scratch, table
+from .common import column_udf, hold, map_pandas, scratch, table
 
 #: Ids of a block; the last block of a shard is shorter.
 BLOCK_IDS = 32_768
 END_ID = 2
 #: Words of one generation of a worker's memory; the last generation is kept beside the new one.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: Characters of texts whose unknown words are encoded together, about.
 TOGETHER = 1 << 20
 #: Words of a text that is parted again at the word ends.
@@ -221,6 +221,7 @@ _known: dict[str, _Encoder] = {}
 
 
 def _encoder(path: str) -> _Encoder:
+    hold("tokens", _known.clear)
     if path not in _known:
         _known[path] = _Encoder(path)
     return _known[path]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_udf, table
+from .common import column_udf, hold, table
 
 #: Labelled documents that the model is fitted on at most, of each label (those of least hash).
 FIT_DOCS = 2_500
@@ -21,11 +21,16 @@ LEAST_DOCS = 4
 #: ... and its smoothed odds there are so many times those elsewhere.
 ODDS = 12.0
 PREFIXES = (4, 5, 6)
-#: Tokens of a training window, training windows, steps.
-WINDOW, WINDOWS, STEPS = 32, 6_000, 120
+#: Bounds of the fit, as it is on a sample: features of highest odds, windows of a document, windows in all.
+FEATURES, OWN_WINDOWS, WINDOWS = 20_000, 4, 6_000
+#: Tokens of a training window, steps.
+WINDOW, STEPS = 32, 120
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
+
+#: Largest evidence of a token, in nats: e to it is still far from the largest double.
+MOST_EVIDENCE = 300.0
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -58,8 +63,16 @@ class Model:
 
         def hop(steps: int) -> tuple:
             if steps not in self._hops:
-                m = np.linalg.matrix_power(plain / plain.sum(), min(steps, 400))
-                self._hops[steps] = tuple((m / m.sum()).ravel())
+                if len(self._hops) >= CACHED_WORDS:
+                    self._hops.clear()
+                m, square, left = np.eye(2), plain / plain.sum(), steps
+                while left:  # squares are scaled to a sum of 1, so none vanishes
+                    if left & 1:
+                        m = m @ square
+                        m /= m.sum()
+                    square = square @ square
+                    square, left = square / square.sum(), left >> 1
+                self._hops[steps] = tuple(m.ravel())
             return self._hops[steps]
 
         (t00, t01), (t10, t11) = t.tolist()
@@ -68,7 +81,7 @@ class Model:
             if (gap := i - last - 1) > 0:
                 a, c, d, f = hop(gap)
                 x, y = x * a + y * d, x * c + y * f
-            x, y = x * t00 + y * t10, (x * t01 + y * t11) * b * math.exp(min(e, 30.0))
+            x, y = x * t00 + y * t10, (x * t01 + y * t11) * b * math.exp(min(e, MOST_EVIDENCE))
             s = x + y
             x, y, last = x / s, y / s, i
             ahead.append((x, y))
@@ -78,7 +91,7 @@ class Model:
                 a, c, d, f = hop(gap)
                 x, y = a * x + c * y, d * x + f * y
             out.append(fy * y / (fx * x + fy * y))
-            wy = b * math.exp(min(e, 30.0)) * y
+            wy = b * math.exp(min(e, MOST_EVIDENCE)) * y
             x, y = t00 * x + t01 * wy, t10 * x + t11 * wy
             s = x + y
             x, y, nxt = x / s, y / s, i
@@ -130,7 +143,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
     odds = {f: ((k + 0.5) / (n1 + 1)) / ((count[0][f] + 0.5) / (n0 + 1)) for f, k in count[1].items() if k >= LEAST_DOCS}
     # single letters and stems that clean documents share tell nothing; only strong marks are features
-    known = sorted((f for f, o in odds.items() if o >= ODDS / 2), key=lambda f: (-odds[f], f))[:20_000]
+    known = sorted((f for f, o in odds.items() if o >= ODDS / 2), key=lambda f: (-odds[f], f))[:FEATURES]
     index = {f: i for i, f in enumerate(known)}
     marks = {f for f in known if odds[f] >= ODDS}
     rows, labels = [], []
@@ -139,7 +152,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         words = docs[d]
         own = [[index[f] for f in features(w) if f in index] for w in words]
         tag = [int(bool(toxic[d]) and any(f in marks for f in features(w))) for w in words]
-        hits = [i for i, o in enumerate(own) if o][:4]
+        hits = [i for i, o in enumerate(own) if o][:OWN_WINDOWS]
         for i in hits or ([int(rng.integers(len(words)))] if words else []):
             low = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
             rows.append((own[low : low + WINDOW], WINDOW))
@@ -227,9 +240,11 @@ def _tagger(model: Model, with_spans: bool):
         return score, [[m.start(), m.end()] for i, m in enumerate(TOKEN.finditer(low)) if i in marked] if marked else []
 
     def scores(texts: pd.Series) -> pd.Series:
+        hold("toxicity", cache.clear)
         return pd.Series([one(t)[0] for t in texts], dtype=float)
 
     def spans(texts: pd.Series) -> pd.DataFrame:
+        hold("toxicity", cache.clear)
         return pd.DataFrame([one(t) for t in texts], columns=["score", "spans"])
 
     return spans if with_spans else scores
