@@ -132,24 +132,11 @@ add("hash_topk_per_group", lambda d: f"""
 SELECT lang, source, doc_id, r FROM (
   SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY {d.sha('cast(doc_id AS string)')}, doc_id) AS r
   FROM documents) x WHERE r <= 3""")
-add("class_balance", lambda d: f"""
-WITH x AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {d.sha('cast(doc_id AS string)')}, doc_id) AS r FROM labels)
-SELECT doc_id, toxic FROM x WHERE r <= (SELECT count(*) FROM labels WHERE toxic = 1)""")
-add("quantile_sample", lambda d: f"""
-SELECT bucket, doc_id FROM (
-  SELECT bucket, doc_id, row_number() OVER (PARTITION BY bucket ORDER BY {d.sha('cast(doc_id AS string)')}, doc_id) AS r FROM (
-    SELECT doc_id, ntile(20) OVER (ORDER BY n_chars, doc_id) AS bucket FROM documents) b) x WHERE r = 1""")
 add("stratified_round_robin", lambda d: f"""
 SELECT channel, session_id, pair_id, place FROM (
   SELECT channel, session_id, pair_id, row_number() OVER (PARTITION BY channel ORDER BY r, session_id, pair_id) AS place FROM (
     SELECT channel, session_id, pair_id, row_number() OVER (PARTITION BY channel, session_id ORDER BY {d.sha('cast(pair_id AS string)')}, pair_id) AS r
     FROM ({PAIRS}) p) x) y WHERE place <= 50""")
-add("panel_two_stage", lambda d: f"""
-SELECT session_id, utt_id, stage FROM (
-  SELECT session_id, utt_id, CASE WHEN s <= 5 THEN 1 ELSE 2 END AS stage,
-         row_number() OVER (PARTITION BY session_id ORDER BY {d.sha('cast(utt_id AS string)')}, utt_id) AS r FROM (
-    SELECT session_id, utt_id, dense_rank() OVER (ORDER BY {d.sha('session_id')}) AS s FROM ({UTTERANCES}) u) x WHERE s <= 10) y WHERE r <= 4""")
-
 # ---- joins ---------------------------------------------------------------------------------------
 
 add("qa_apply", lambda d: """
@@ -247,10 +234,6 @@ SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round({d.pct('va
 add("latency_inf_late", lambda d: f"""
 SELECT event_type, count(*) AS n, count(v) AS finite, round({d.pct("coalesce(v, 1e12)", 0.9)}, 6) AS p90 FROM (
   SELECT event_type, CASE WHEN event_id % 17 <> 0 THEN value END AS v FROM events) x GROUP BY event_type""")
-add("percentile_lower", lambda d: """
-SELECT event_type, round(min(value), 6) AS p90_lower FROM (
-  SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n
-  FROM events) x WHERE i = floor(0.9e0 * (n - 1)) GROUP BY event_type""")
 CONFUSION = """c AS (
   SELECT CAST(sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END) AS bigint) AS tp, CAST(sum(CASE WHEN y = 0 AND p = 1 THEN 1 ELSE 0 END) AS bigint) AS fp,
          CAST(sum(CASE WHEN y = 1 AND p = 0 THEN 1 ELSE 0 END) AS bigint) AS fn, CAST(sum(CASE WHEN y = 0 AND p = 0 THEN 1 ELSE 0 END) AS bigint) AS tn FROM (
@@ -273,10 +256,6 @@ SELECT source, n, k, round((p + z / (2 * n) - m) / (1 + z / n), 6) AS low, round
 add("normal_ci", lambda d: """
 SELECT event_type, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean - 1.96e0 * sd / sqrt(n), 6) AS low, round(mean + 1.96e0 * sd / sqrt(n), 6) AS high
 FROM (SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM events GROUP BY event_type) x""")
-add("spearman_midrank", lambda d: """
-WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2e0 AS a,
-                  rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2e0 AS b FROM lineitem)
-SELECT round(corr(a, b), 6) AS rho FROM r""")
 add("two_level_peak", lambda d: f"""
 WITH s AS (SELECT {d.hour('ts')} AS stamp, event_type AS role, sum(value) AS v FROM events GROUP BY {d.hour('ts')}, event_type)
 SELECT role, round(max(v), 4) AS peak, count(*) AS stamps FROM s GROUP BY role""")
@@ -305,16 +284,3 @@ add("delta_features", lambda d: """
 SELECT event_id, round(value - coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), value), 6) AS delta FROM events""")
 add("tumbling_counts", lambda d: f"""
 SELECT {d.hour('ts')} AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY {d.hour('ts')}, event_type""")
-add("session_gap", lambda d: f"""
-WITH a AS (SELECT event_type, event_id, {d.seconds('ts')} AS s FROM events),
-b AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY event_type ORDER BY s, event_id) < 1800 THEN 0 ELSE 1 END AS fresh FROM a),
-c AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY event_type ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS bigint) AS session FROM b)
-SELECT event_type, session, count(*) AS n, round(max(s) - min(s), 3) AS seconds FROM c GROUP BY event_type, session""")
-add("trailing_range", lambda d: f"""
-WITH a AS (SELECT event_id, event_type, {d.seconds('ts')} AS s, value FROM events)
-SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM a""")
-add("debounce_runs", lambda d: f"""
-WITH a AS (SELECT event_type, event_id, {d.seconds('ts')} AS s, value >= 50 AS high FROM events),
-b AS (SELECT *, CASE WHEN high = lag(high) OVER (PARTITION BY event_type ORDER BY s, event_id) THEN 0 ELSE 1 END AS fresh FROM a),
-c AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY event_type ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS bigint) AS run FROM b)
-SELECT event_type, run, count(*) AS n FROM c WHERE high GROUP BY event_type, run HAVING count(*) >= 3""")
