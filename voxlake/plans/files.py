@@ -60,12 +60,13 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum(F.col("c_acctbal").cast("double")), 2).alias("balance"))
 
 
-@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) >= 50")
+@query("SELECT l_shipmode AS kind, count(*) AS n FROM (SELECT 'k' || (l_partkey % 40) AS l_shipmode FROM lineitem WHERE l_partkey % 40 < 30 OR l_orderkey % 400 = 0) x GROUP BY ALL HAVING count(*) >= 50")
 def episode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "episodes")
-    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", F.col("p_brand").alias("brand"))
-    rows.repartition("brand").write.partitionBy("brand").option("header", True).csv(path)
-    return readers.episodes(spark, path).groupBy("p_brand").agg(F.count("*").alias("n"))
+    rows = _table(spark, sf_dir, "lineitem").where("l_partkey % 40 < 30 OR l_orderkey % 400 = 0")
+    rows = rows.select("l_orderkey", F.concat(F.lit("k"), F.col("l_partkey") % 40).alias("kind"))
+    rows.withColumn("episode", F.col("kind")).repartition("episode").write.partitionBy("episode").option("header", True).csv(path)  # a file per episode
+    return readers.episodes(spark, path).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT lang, count(DISTINCT lang) AS files, count(*) > 0 AS filled FROM documents GROUP BY lang")

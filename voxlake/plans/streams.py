@@ -17,14 +17,16 @@ from .registry import ORACLE, query
 PARTS = 4
 
 
-def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of PARTS micro-batches, in the order of event_id."""
+def _replayed(spark: SparkSession, sf_dir: str, by: str = "seq") -> DataFrame:
+    """The events as a stream of PARTS micro-batches, in the order of event_id (seq) or of time (unix_micros(ts))."""
     path = scratch(spark, "replay")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("p"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    most = rows.agg(F.max("seq")).first()[0] or 0
+    order = F.expr(by)
+    least, most = rows.agg(F.min(order), F.max(order)).first()
+    least, most = least or 0, most or 0
     for i in range(PARTS):  # one after the other: the source takes files by age
-        low, high = most * i // PARTS, most * (i + 1) // PARTS
-        some = (F.col("seq") > low) & (F.col("seq") <= high) if i else F.col("seq") <= high
+        low, high = least + (most - least) * i // PARTS, least + (most - least) * (i + 1) // PARTS
+        some = (order > low) & (order <= high) if i else order <= high
         rows.where(some).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -88,7 +90,7 @@ def stream_acks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, ts, value FROM events)
-SELECT hour, count(*) AS n, round(sum(value), 4) AS total FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY hour""")
+SELECT CAST(epoch_us(hour) // 3600000000 AS bigint) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY hour""")
 def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _landed(stateful.counts(_replayed(spark, sf_dir), delay="30 days"))
-    return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n", F.round("total", 4).alias("total"))
+    out = _landed(stateful.counts(_replayed(spark, sf_dir, "unix_micros(ts)")))
+    return out.select(F.floor(F.unix_seconds("hour") / 3600).alias("hour"), "n", F.round("total", 4).alias("total"))

@@ -3,8 +3,7 @@
 A step is a small function of one frame and the state before it. It runs in
 `applyInPandasWithState` on a stream, and equals the fold of the same frames in
 batch form (`voxlake/plans/folds.py`). Frames of a key are taken in the order of
-`seq`, which is the stream's own time; a key that has had no frame for the time-out
-is flushed.
+`seq`, which is the stream's own time.
 """
 
 from __future__ import annotations
@@ -152,13 +151,14 @@ class HoldBack:
 _KINDS = {int: "long", bool: "boolean"}
 
 
-def sessions(frames: DataFrame, machine: Callable, timeout_ms: int = 600_000, content: bool = False) -> DataFrame:
-    """Events (key, seq, event, since) of the stream frames (key, seq, p), by a state machine per key.
+def sessions(frames: DataFrame, machine: Callable, timeout_ms: int | None = None, content: bool = False) -> DataFrame:
+    """Events (key, seq, event, since) of the stream frames (key, seq, p, ts), by a state machine per key.
 
     Within a micro-batch frames are put in the order of seq; a frame older than
     the last one seen of its key is dropped, as the machine has moved on. Frames
-    without key, seq or p are dropped. A key that stays silent for timeout_ms is
-    flushed: an open session ends as `disconnected`.
+    without key, seq or p are dropped. With timeout_ms, frames need a watermark on
+    ts, and a key is flushed once that is so far past its last frame: an open
+    session ends as `disconnected`. Without, sessions stay open.
     """
     fields = {f: type(v) for f, v in asdict(machine()).items()}
     state_type = StructType.fromDDL("last long, " + ", ".join(f"{f} {_KINDS[t]}" for f, t in fields.items()))
@@ -173,6 +173,7 @@ def sessions(frames: DataFrame, machine: Callable, timeout_ms: int = 600_000, co
                 yield pd.DataFrame([(key[0], last, event, own.began)], columns=["key", "seq", "event", "since"])
             return
         rows = pd.concat(list(batches)).sort_values("seq")
+        newest = int(rows["ts"].max().timestamp() * 1000) if timeout_ms else 0
         for seq, p in zip(rows["seq"].tolist(), rows["p"].tolist(), strict=True):
             if seq <= last:
                 continue
@@ -180,12 +181,14 @@ def sessions(frames: DataFrame, machine: Callable, timeout_ms: int = 600_000, co
             if event:
                 out.append((key[0], seq, event, own.began))
         state.update((last, *asdict(own).values()))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + timeout_ms)
         if out:
             yield pd.DataFrame(out, columns=["key", "seq", "event", "since"])
 
     known = frames.where("key IS NOT NULL AND seq IS NOT NULL AND p IS NOT NULL")
-    return known.groupBy("key").applyInPandasWithState(run, OUT, state_type, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return known.groupBy("key").applyInPandasWithState(run, OUT, state_type, "append", timeout)
 
 
 def latest_acks(acks: DataFrame, delay: str = "10 minutes") -> DataFrame:
