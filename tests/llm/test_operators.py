@@ -442,3 +442,34 @@ def test_terms_disclose_one_entity_everywhere(spark):
         assert got[100]["sanitised"] == f"[term] lives here{far} [email]"
         assert got[201]["sanitised"] == f"[term]{far} [email]"
         assert all("term" not in got[i]["spans"] for i in range(60))
+
+
+def words_of(text):
+    return WORD.findall(lower(text))
+
+
+def test_licenses_are_brute_force(spark, docs, empty):
+    notice = next(t for t, label in licenses.TEMPLATES.items() if label == "isc").split()
+    put_in = [*notice[:9], *"eight words that someone has put in here".split(), *notice[9:]]
+    turned = [w for i in range(0, len(notice), 2) for w in notice[i : i + 2][::-1]]
+    texts = {
+        1: "The MIT license. mit-license, CC BY; cc by cc by", 2: "gnu general public GNU General Public License", 3: " ".join(put_in), 4: " ".join(turned),
+        5: None, 6: "", 7: "Apache License " * 3, 8: ("word " * 60_000) + "cc by " + ("word " * 60_000), 9: " ".join(notice), 10: " ".join(notice[:6]),
+    }
+    rows = [(k, t, 1, "x") for k, t in texts.items()] + [(9, texts[9], 2, "y")]
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string, label long, want string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        w, base = words_of(texts[r["doc_id"]]), []
+        for phrase, label in licenses.PHRASES.items():
+            p = phrase.split()
+            base += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+        starts = [i for i, _ in base]
+        assert (r["n_words"], r["n_base"]) == (len(w), len(base))
+        assert (r["first_word"], r["last_word"]) == ((min(starts), max(starts)) if starts else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in base}))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    labels = {r["doc_id"]: r["labels"] for r in got}
+    # found whole and with words put in; not where its words stand in another order, nor from a few of them
+    assert (labels[9], labels[3], labels[4], labels[10]) == ("isc", "isc", "", "")
+    assert licenses.licenses(docs).count() == docs.count() and licenses.licenses(empty).count() == 0

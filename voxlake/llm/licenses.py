@@ -9,10 +9,12 @@ from .common import WORD_ANY_CASE, table, words
 
 #: Words of a hashed k-gram: of a phrase, of a template.
 PHRASE_K, TEMPLATE_K = 2, 4
-#: Diagonals this near are one hit (words put in or left out).
-NEAR = 3
-#: Least share of a template's k-grams found, and of its words in the span.
-VOTES, VERIFIED = 0.6, 0.75
+#: Diagonals this near are one hit: so many words may be put in or left out at one place.
+NEAR = 12
+#: Words on either side of a template's place that a span may reach into.
+MARGIN = 32
+#: Least share of a template's k-grams found, and of its words that stand in the span in order.
+VOTES, VERIFIED = 0.5, 0.75
 
 # Phrases that name a license by themselves, and their labels.
 PHRASES = {
@@ -22,7 +24,7 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Opening sentences of public license notices, and their labels.
+# Sentences of public license notices, and their labels.
 TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
     "documentation files the software to deal in the software without restriction": "mit",
@@ -30,6 +32,17 @@ TEMPLATES = {
     "the software": "mit",
     "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache",
     "distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the "
+    "license": "apache",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an "
+    "as is basis": "apache",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+    "warranties of merchantability fitness for a particular purpose and noninfringement": "mit",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+    "warranty of merchantability or fitness for a particular purpose": "gpl",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+    "disclaimer": "bsd",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties": "bsd",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
     "license as published by the free software foundation": "gpl",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the "
@@ -61,8 +74,11 @@ def license_hits(docs: DataFrame) -> DataFrame:
 
     Every rolling k-gram hash of a text is joined to the places of the fixed
     texts (a list in this file, hence broadcast); equal offsets vote for one
-    diagonal, neighbouring diagonals of a template are merged, and the words of
-    the span are compared with the wanted ones: all, in order, for a phrase.
+    diagonal, and neighbouring diagonals of a template are merged. The span that
+    voted is then compared with the wanted words in order: word for word for a
+    phrase; by edit distance for a template, of whose words VERIFIED must stand
+    there (words between them don't count against it). Very long texts cost their
+    length; a span is cut MARGIN words beyond the template's place on either side.
     """
     spark = docs.sparkSession
     text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
@@ -79,12 +95,16 @@ def license_hits(docs: DataFrame) -> DataFrame:
     rows = text.select("doc_id", "text_hash", "w", F.explode_outer("g").alias("g")).select("doc_id", "text_hash", "w", "g.*")
     met = rows.join(F.broadcast(_index(spark)), ["k", "hash"])
     first = F.col("p") - F.col("at")
+    edge = F.when(F.col("base"), F.greatest(first, F.lit(0))).otherwise(F.greatest(first - MARGIN, F.lit(0)))
+    wide = F.when(F.col("base"), F.col("len")).otherwise(F.col("len") + 2 * MARGIN)
     met = met.select(
-        "doc_id", "text_hash", "tid", "at", "len", "label", "base", "want", "k", first.alias("diag"),
-        F.slice("w", F.greatest(first, F.lit(0)) + 1, F.col("len") + NEAR).alias("near"),
+        "doc_id", "text_hash", "tid", "at", "p", "len", "label", "base", "want", "k", first.alias("diag"),
+        edge.alias("edge"), F.slice("w", edge + 1, wide).alias("near"),
     )
     key = ["doc_id", "text_hash", "tid", "label", "base", "len", "k", "want"]
-    votes = met.groupBy(*key, "diag").agg(F.collect_set("at").alias("ats"), F.max("near").alias("near"))
+    votes = met.groupBy(*key, "diag").agg(
+        F.collect_set("at").alias("ats"), F.max("near").alias("near"), F.min("edge").alias("edge"), F.min("p").alias("low"), F.max("p").alias("high")
+    )
     # neighbouring diagonals of a template are merged; a phrase's stay apart
     by = Window.partitionBy("doc_id", "text_hash", "tid").orderBy("diag")
     new = F.col("base") | (F.col("diag") - F.lag("diag").over(by) > NEAR)
@@ -93,15 +113,27 @@ def license_hits(docs: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
         F.min("diag").alias("diag"),
         F.min_by("near", "diag").alias("near"),
+        F.min("edge").alias("edge"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
     )
     share = F.size("ats") / (F.col("len") - F.col("k") + 1)
-    inside = F.size(F.array_intersect("near", "want")) / F.size(F.array_distinct("want"))
-    exact = F.slice("near", F.lit(1), F.col("len")) == F.col("want")
-    hits = hits.where(F.when(F.col("base"), (share == 1) & exact).otherwise((share >= VOTES) & (inside >= VERIFIED)))
-    start = F.greatest("diag", F.lit(0)).cast("long")
+    exact = F.col("near") == F.col("want")
+    span = F.slice("near", F.greatest(F.col("low") - F.col("edge"), F.lit(0)) + 1, F.col("high") + F.col("k") - F.col("low"))
+    hits = hits.withColumn("span", F.when(~F.col("base"), span))
+    # a character for each different word, so that the built-in distance compares words
+    known = F.array_distinct(F.concat("want", "span"))
+    letter = lambda w: F.decode(F.unhex(F.hex(F.array_position(known, w) + 0x4E00)), "UTF-16BE")
+    coded = lambda words_: F.array_join(F.transform(words_, letter), "")
+    apart = F.levenshtein(coded("want"), coded("span"))
+    inside = 1 - (apart - F.greatest(F.size("span") - F.size("want"), F.lit(0))) / F.size("want")
+    hits = hits.withColumn("inside", F.when(~F.col("base"), inside))
+    hits = hits.where(F.when(F.col("base"), (share == 1) & exact).otherwise((share >= VOTES) & (F.col("inside") >= VERIFIED)))
+    start = F.when(F.col("base"), F.greatest("diag", F.lit(0))).otherwise(F.col("low")).cast("long")
+    end = F.when(F.col("base"), start + F.col("len")).otherwise(F.col("high") + F.col("k")).cast("long")
     return hits.select(
-        "doc_id", "text_hash", "label", "base", start.alias("start"), (start + F.col("len")).alias("end"),
-        F.when(F.col("base"), 1.0).otherwise(share).alias("score"),
+        "doc_id", "text_hash", "label", "base", start.alias("start"), end.alias("end"),
+        F.when(F.col("base"), 1.0).otherwise(F.least(share, "inside")).alias("score"),
     )
 
 
