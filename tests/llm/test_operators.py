@@ -271,6 +271,36 @@ def test_embeddings_recall(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_a_crowded_label(spark):
+    """More than 5,000 vectors of one label, a dense group over several shards among them."""
+    r = np.random.default_rng(6)
+    dense = r.normal(size=24) + 0.06 * r.normal(size=(1_200, 24))
+    pairs = np.repeat(r.normal(size=(700, 24)), 2, axis=0) + 0.02 * r.normal(size=(1_400, 24))
+    v = np.concatenate([dense, pairs, r.normal(size=(2_900, 24))])[r.permutation(5_500)]
+    df = spark.createDataFrame([(i, [float(y) for y in x], 7) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    result = embeddings.near_duplicates(df)
+    got = result.toPandas().set_index("vec_id").sort_index()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.98).sum(1) - 1
+    assert true.sum() > 100_000 and (got.n_links.to_numpy() <= true).all()
+    assert got.n_links.sum() >= 0.95 * true.sum() and got.n_links[::100].sum() >= 0.95 * true[::100].sum()
+    assert abs(embeddings.recall(df, result) - got.n_links[::100].sum() / true[::100].sum()) < 1e-6
+    component = np.arange(len(u))
+    while True:
+        new = np.array([component[row].min() for row in u @ u.T >= 0.98])
+        if (new == component).all():
+            break
+        component = new
+    assert (got.component_id.to_numpy() == component).mean() > 0.995
+
+
+def test_vectors_that_repeat_an_id(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.001, 1.0, 0.0]
+    df = spark.createDataFrame([(1, a, 0, 9), (1, b, 0, 9), (2, c, 0, 9), (3, a, 0, 9)], "vec_id long, embedding array<double>, label int, id int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_base_spans_equal_the_patterns():
     def brute(text):
         at = lambda kind, pattern, ok: [(kind, *m.span()) for m in re.finditer(pattern, text) if ok(m[0])]
@@ -363,14 +393,6 @@ def test_pages(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
-def test_pipeline_stages_keep_columns(spark):
-    import corpus_pipeline as c
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for _, stage in c.STAGES[:-1]:
-        assert stage(spark, docs.limit(40), "/root/testdata/sf0.001").columns == docs.columns
-
-
 @pytest.mark.parametrize(
     ("page", "want"),
     [
