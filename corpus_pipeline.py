@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: A fitted model, a tokenizer and a draw decide the rows; the tests hold each stage against brute force.
+#: A fitted model, a tokenizer and a draw decide the rows; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
