@@ -206,3 +206,20 @@ add("duck_stop_resume", lambda d: fold(
      "since": ("CAST(0 AS bigint)", keep("a.mode = 1", "a.since + 1", "0"))},
     {"event": f"CAST(CASE WHEN {DUCK} THEN 'duck' WHEN {STOP} THEN 'stop' WHEN {BACK} THEN 'resume' END AS string)"}) +
     "\nSELECT g AS user_id, event_id, event FROM folded WHERE event IS NOT NULL")
+
+# ---- a row per size bucket, of a source that was not chosen before where there is one --------------
+
+
+def unseen(d) -> str:
+    novel = d.filter("x.cands", "NOT array_contains(a.used, split_part(w, '|', 2))")
+    pick = f"coalesce({d.at(novel, '1')}, {d.at('x.cands', '1')})"
+    source = f"split_part({pick}, '|', 2)"
+    none, add_ = ("CAST(array() AS array<string>)", f"concat(a.used, array({source}))") if d.name == "spark" else ("CAST([] AS VARCHAR[])", f"list_append(a.used, {source})")
+    key = d.sha("cast(doc_id AS string)")
+    items = f"""SELECT lang, bucket, {d.gathered("concat(h, '|', source, '|', cast(doc_id AS string))", "h")} AS cands FROM (
+      SELECT lang, source, doc_id, {key} AS h, ntile(8) OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS bucket FROM documents) b GROUP BY lang, bucket"""
+    return fold(d, "", items, "lang", "bucket", "bucket cands", {"used": (none, add_)}, {"pick": f"CAST({pick} AS string)"}) + \
+        "\nSELECT g AS lang, CAST(bucket AS bigint) AS bucket, split_part(pick, '|', 2) AS source, CAST(split_part(pick, '|', 3) AS bigint) AS doc_id FROM folded"
+
+
+add("quantile_unseen", unseen)
