@@ -84,7 +84,9 @@ def contamination(
     A null or empty text has no words and no hits; a null item text is no item;
     an item without id marks words but is not counted. Repeated rows (the same
     doc_id and text) each give a row. An empty table of either kind gives zeros.
-    Nothing is gathered but one document's own hits.
+    Ties don't arise, as all equal least hashes are kept. A very long text is one
+    row whose windows cost memory in proportion; nothing is gathered but one
+    document's own hits.
     """
     wins = saved(_windows(benchmark, window), "windows")
     lengths = sorted(r[0] for r in wins.select("len").distinct().collect())  # at most `window` values

@@ -142,7 +142,8 @@ def licenses(docs: DataFrame) -> DataFrame:
 
     Null or empty text: no words, no labels, score 0. Repeated rows of equal
     doc_id and text each give a row. Only doc_id and text are read. score is the
-    best share of a license text found, 1 for a phrase.
+    best share of a license text found, 1 for a phrase. Licenses that tie for a
+    place all count. An empty table gives no rows.
     """
     hits = license_hits(docs).distinct()
     n = hits.groupBy("doc_id", "text_hash").agg(

@@ -127,7 +127,9 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
 
     Null text has size 0; a null source is a source of its own, the last; a null
     doc_id is an id like others; repeated rows are mixed one by one. An empty
-    table gives empty tables. Other columns are ignored.
+    table gives empty tables. Other columns are ignored. Rows that tie in doc_id
+    are ordered by a hash of their texts. A very long text is a row like others: its
+    blocks are rows of a few numbers.
     """
     base = docs.select(
         "doc_id",

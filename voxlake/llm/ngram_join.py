@@ -230,8 +230,9 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT)
     A null doc_id links with nothing and has no component; null, empty and blank
     texts have no shingles and are components of their own. Equal sets are one
     node, the smallest doc_id's, so copies cost one hash each. Rows that repeat a
-    doc_id with other texts are one node of the links. An empty table gives no
-    rows. Only doc_id and text are read.
+    doc_id with other texts belong to one component. A pair whose similarity ties with
+    the threshold links, in integers. A very long text costs its length: one row
+    with its buckets. An empty table gives no rows. Only doc_id and text are read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     known = base.where("id IS NOT NULL")

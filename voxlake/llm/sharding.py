@@ -42,7 +42,9 @@ def sharded(docs: DataFrame, shards: int | list[str] = SHARDS, slots: int = SLOT
     """(key, slot, shard) of every row: placement costs one hash and one lookup, and no shuffle.
 
     A null key is placed like an empty one; rows of equal key meet in one shard;
-    an empty table gives no rows. The broadcast table has `slots` rows.
+    repeated rows each give a row; an empty table gives no rows. Other columns,
+    texts of any length among them, are not read. Preferences that tie for a slot
+    go to the shard whose turn it is. The broadcast table has `slots` rows.
     """
     owners = F.from_json(F.lit(str(lookup(shards, slots))), "array<int>")
     t = docs.sparkSession.range(1).select(F.posexplode(owners).alias("slot", "shard"))

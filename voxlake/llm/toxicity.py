@@ -255,7 +255,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Da
 
     Whole texts are tagged; null and empty ones get the score of a text without
     evidence. Only doc_id and text of docs and doc_id and toxic of labels are
-    read. Repeated rows each give a row.
+    read. Repeated rows each give a row, equal texts equal scores; a score that
+    ties with the threshold is predicted toxic. A very long text costs its words,
+    not their square. An empty table gives no rows; without labels all score alike, low.
     """
     tag = _tagger(train(docs, labels, fit_docs), True)
     text = F.coalesce("text", F.lit(""))
