@@ -1,4 +1,11 @@
-"""The training-data pipeline: five stages over `documents`, each written and read again as the next one's input."""
+"""The training-data pipeline: five stages over `documents`, each written and read again as the next one's input.
+
+All but the last keep the columns of their input. Rows without doc_id or text are
+documents like others: they have no shingles, no benchmark words and no words to
+mix, so they pass the filters, and the mix has nothing of empty ones. Repeated
+rows each count; an empty table stays empty; texts of any length are taken whole.
+Of near copies that tie, the smallest doc_id stays.
+"""
 
 from __future__ import annotations
 
