@@ -495,3 +495,65 @@ def test_licenses_are_brute_force(spark, docs, empty):
     # found whole and with words put in; not where its words stand in another order, nor from a few of them
     assert (labels[9], labels[3], labels[4], labels[10]) == ("isc", "isc", "", "")
     assert licenses.licenses(docs).count() == docs.count() and licenses.licenses(empty).count() == 0
+
+
+def test_disclosing_terms_are_brute_force(spark):
+    from math import log2
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdefgh", k=4)) for _ in range(60)]
+    people = {f"u{i}@mail.org": f"name{'abcdefghij'[i]}" for i in range(10)}
+    texts = []
+    for i in range(240):
+        words = r.choices(vocabulary, k=r.randint(3, 25))
+        if i % 3 == 0:
+            mail, name = r.choice(list(people.items()))
+            words += ["write", "to", mail, name] if i % 2 else [name, mail]
+        if i % 40 == 1:
+            words += [f"once{i}", f"single{i}@mail.org"]
+        texts.append(" ".join(words))
+    texts += texts[:5] + [None, ""]  # repeated rows, no text
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x["term"]: x["bits"] for x in pii.disclosing(docs).collect()}
+    n, beside, in_docs, entity_docs, different = {}, {}, {}, {}, {}
+    for i, t in enumerate(t or "" for t in texts):
+        spans = pii.base_spans(t)
+        for w in re.findall(r"[^\W_]+", t.lower()):
+            n[w] = n.get(w, 0) + 1
+        outside = [(a, w) for a, _, w in pii._outside(t, spans)]
+        for w in {w for _, w in outside}:
+            in_docs.setdefault(w, set()).add(i)
+        for _, _, w in pii._beside(t, spans):
+            beside[w] = beside.get(w, 0) + 1
+        for kind, s, e in spans:
+            entity_docs.setdefault(t[s:e].lower(), set()).add(i)
+            for a, _, w in pii._beside(t, [(kind, s, e)]):
+                if (a, w) in outside:
+                    different.setdefault(w, set()).add(t[s:e].lower())
+    prior, want = sum(beside.values()) / sum(n.values()), {}
+    for w, k in beside.items():
+        if k >= pii.LEAST_SHARE * n[w] and len(different.get(w, ())) >= pii.LEAST_BESIDE:
+            want[w] = max(want.get(w, -1), log2(k / n[w] / prior))
+    for w, own in in_docs.items():
+        for with_entity in entity_docs.values():
+            both = len(own & with_entity)
+            if both and both >= pii.LEAST_SHARE * len(own):
+                want[w] = max(want.get(w, -1), log2(both / len(own) / len(with_entity) * len(texts)))
+    want = {w: b for w, b in want.items() if b >= pii.LEAST_BITS}
+    assert set(got) == set(want) and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    assert {"write", *people.values()} & set(got) and not set(vocabulary) & set(got) - set(want)
+    rows = {x["doc_id"]: x for x in pii.personal_data(docs).collect()}
+    for i, t in enumerate(texts):
+        terms = [f"term:{a}:{b}" for a, b, w in pii._outside(t or "", pii.base_spans(t or "")) if w in want]
+        assert [x for x in rows[i]["spans"].split(",") if x.startswith("term")] == terms
+
+
+def test_long_runs_are_linear():
+    import time
+
+    start = time.perf_counter()
+    assert pii.base_spans("1" * 1_000_000) == []
+    assert pages.extract("<a " + '"' + "x" * 100_000, ()) is not None
+    assert pages.extract("<div>" * 8_000 + "x", ()) == "x"
+    assert len(tokens.encode_block(np.arange(1_000_000) % 50_000)) > 0
+    assert time.perf_counter() - start < 5
