@@ -240,7 +240,9 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT)
     reps = index.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
     reps = saved(reps, "representatives")
     heads = saved(index.drop("buckets", "extra"), "heads")
-    nodes = index.join(reps.select(F.col("rep").alias("id"), "k1"), ["id", "k1"], "left_semi")
+    # representatives alone, written before their buckets are dealt, so that the two shuffles don't lie on disk together
+    nodes = saved(index.join(reps.select(F.col("rep").alias("id"), "k1"), ["id", "k1"], "left_semi"), "nodes")
+    discard(index)
     every = F.concat(F.col("buckets"), F.col("extra"))
     rows = nodes.select("id", "n_own", "n_up", "need_own", "need_up", F.posexplode(every).alias("at", "bucket"))
     # 0: own band, 1: the next, 2: always kept
@@ -249,7 +251,7 @@ def similar(docs: DataFrame, k: int = K, percent: int = PERCENT, hot: int = HOT)
     by = Window.partitionBy("bucket")
     rows = rows.select("*", F.count("*").over(by).alias("size"), F.min("id").over(by).alias("low"), F.max("id").over(by).alias("high"))
     found = saved(rows.where("low < high").select("bucket", "id", "scheme", "size"), "buckets")
-    discard(index)
+    discard(nodes)
     rows, nodes = found, heads.join(reps.select(F.col("rep").alias("id"), "k1"), ["id", "k1"], "left_semi")
     full = rows.where(F.col("size") > hot)
     if full.limit(1).count():
