@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embeddings, licenses, mixing, ngram_join, pages, pii, sharding, tokens, toxicity
+from . import audit, decontaminate, embeddings, licenses, mixing, ngram_join, pages, pii, sharding, tokens, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         pii.op8_pii,
         mixing.op9_mixing,
         pages.op10_pages,
+        audit.op13_filter_audit,
     )
 }
 
@@ -26,4 +27,5 @@ ORACLE = {
     "op6_ngram_join": ngram_join.SQL,
     "op7_near_dedup": embeddings.SQL,
     "op9_mixing": mixing.SQL,
+    "op13_filter_audit": audit.SQL,
 }
