@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, decontaminate, embeddings, licenses, mixing, ngram_join, pages, pii, sharding, tokens, toxicity
+from . import audit, collocations, decontaminate, embeddings, licenses, mixing, ngram_join, packing, pages, pii, sharding, tokens, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,8 @@ QUERIES = {
         pii.op8_pii,
         mixing.op9_mixing,
         pages.op10_pages,
+        packing.op11_packing,
+        collocations.op12_collocations,
         audit.op13_filter_audit,
     )
 }
@@ -27,5 +29,6 @@ ORACLE = {
     "op6_ngram_join": ngram_join.SQL,
     "op7_near_dedup": embeddings.SQL,
     "op9_mixing": mixing.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_filter_audit": audit.SQL,
 }
