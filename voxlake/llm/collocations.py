@@ -31,7 +31,7 @@ SCALE = 2_000_000
 #: A phrase goes if an extension has at least so many hundredths of its occurrences.
 EXPLAINED = 80
 #: Bytes of text that are taken apart at a time, words whose counts a task gathers before it hands them on, hashes likewise.
-TEXT_BYTES, GATHERED, HASHES = 1 << 22, 300_000, 1 << 21
+TEXT_BYTES, GATHERED, HASHES = 1 << 19, 150_000, 1 << 20
 #: Largest bit map of frequent pairs, in bits; bits of a pair where they fit.
 MAX_BITS, PAIR_BITS = 1 << 28, 32
 #: Parts into which a language's phrases are dealt before the last ranking.
