@@ -15,23 +15,32 @@ from .folds import fold
 from .registry import ORACLE, query
 
 PARTS = 4
+#: Rows of a replayed file, about.
+FILE_ROWS = 1_000_000
 
 
-def _replayed(spark: SparkSession, sf_dir: str, by: str = "seq") -> DataFrame:
-    """The events as a stream of PARTS micro-batches, in the order of event_id (seq) or of time (unix_micros(ts))."""
-    path = scratch(spark, "replay")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("p"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    order = F.expr(by)
-    least, most = rows.agg(F.min(order), F.max(order)).first()
-    least, most = least or 0, most or 0
+def replay(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """Rows as a stream of PARTS micro-batches, by ranges of the number `order`; a part has as many files as its rows need."""
+    spark, path, by = rows.sparkSession, scratch(rows.sparkSession, "replay"), F.expr(order)
+    least, most, n = rows.agg(F.min(by), F.max(by), F.count("*")).first()
+    least, most, files = least or 0, most or 0, max(1, n // PARTS // FILE_ROWS)
     for i in range(PARTS):  # one after the other: the source takes files by age
         low, high = least + (most - least) * i // PARTS, least + (most - least) * (i + 1) // PARTS
-        some = (order > low) & (order <= high) if i else order <= high
-        rows.where(some).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        some = (by > low) & (by <= high) if i else by <= high
+        rows.where(some).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as rows of a stream: key, seq, p, ts, value."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("value") / 100).alias("p"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def _replayed(spark: SparkSession, sf_dir: str, by: str = "seq") -> DataFrame:
+    return replay(frames(spark, sf_dir), by)
 
 
-def _landed(events: DataFrame) -> DataFrame:
+def landed(events: DataFrame) -> DataFrame:
     """All rows that a stream writes until its files are used up."""
     spark = events.sparkSession
     path, at = scratch(spark, "landed"), scratch(spark, "offsets")
@@ -41,7 +50,7 @@ def _landed(events: DataFrame) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, sf_dir: str, machine, **how) -> DataFrame:
-    found = _landed(stateful.sessions(_replayed(spark, sf_dir), machine, **how)).where("event <> 'disconnected'")
+    found = landed(stateful.sessions(_replayed(spark, sf_dir), machine, **how)).where("event <> 'disconnected'")
     return found.select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "event")
 
 
@@ -86,11 +95,11 @@ def stream_hold_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS acks FROM (SELECT DISTINCT user_id, event_id // 2 AS turn FROM events) x")
 def stream_acks(spark: SparkSession, sf_dir: str) -> DataFrame:
     acks = _replayed(spark, sf_dir).select(F.col("key").alias("session"), F.expr("seq div 2").alias("turn"), "ts", "value")
-    return _landed(stateful.latest_acks(acks, "400 days")).agg(F.count("*").alias("acks"))
+    return landed(stateful.latest_acks(acks, "400 days")).agg(F.count("*").alias("acks"))
 
 
 @query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, ts, value FROM events)
 SELECT CAST(epoch_us(hour) // 3600000000 AS bigint) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY hour""")
 def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _landed(stateful.counts(_replayed(spark, sf_dir, "unix_micros(ts)")))
+    out = landed(stateful.counts(_replayed(spark, sf_dir, "unix_micros(ts)")))
     return out.select(F.floor(F.unix_seconds("hour") / 3600).alias("hour"), "n", F.round("total", 4).alias("total"))
