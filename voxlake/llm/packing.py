@@ -35,26 +35,28 @@ WINDOW_IDS = 1 << 20
 #: Attention's cost of a squared token, in costs of a token: 1 / (6 x width), for a width of 1,024.
 QUADRATIC = 1 / 6144
 #: Words of one generation of a worker's memory; the last generation is kept beside the new one.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 #: Characters of texts whose unknown words are encoded together, about; words encoded as one text.
-TOGETHER, JOINED = 1 << 20, 1_000
+TOGETHER, JOINED = 1 << 20, 64
 #: Sequences of an output batch.
 BATCH = 256
 
-#: Words as a byte-level tokenizer takes texts apart at white space: a blank belongs to the word after it.
+#: Words and white space as a byte-level tokenizer takes them apart: a blank belongs to the word after it.
 _UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space on which libraries differ.
 _ODD = re.compile(r"[^\S \n\t\r]")
+#: Begins the name of a part of a text that has no blank before it.
+_BARE = "\0"
 
 
 class ByteEncoder:
     """Texts -> ids as little-endian bytes; equal to encoding the whole texts with the tokenizer.
 
-    A byte-level tokenizer never joins characters over a blank, and the blank
-    is the first byte of the word after it: words are then encoded apart and
-    remembered. Unknown words are encoded as one text and parted where ids
-    begin with a blank. Texts with special tokens or unusual white space,
-    and all texts of any other tokenizer, are encoded whole.
+    A byte-level tokenizer parts a text at single blanks, and the blank
+    is the first byte of what follows: these parts are encoded apart and
+    remembered. Unknown ones are encoded as one text and parted where ids
+    begin with a blank. Texts with special tokens, and
+    all texts of any other tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -65,8 +67,7 @@ class ByteEncoder:
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.by_word = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer")
-        special = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([*special, _ODD.pattern]))
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
@@ -75,22 +76,35 @@ class ByteEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, text: str) -> list[str] | None:
+        """What stands between blanks, without the blank before it; None if the text must be encoded whole."""
+        if not self.by_word or _BARE in text or any(x in text for x in self.special):
+            return None
+        if "  " not in text:
+            parts = text.split(" ")
+            parts[0] = _BARE + parts[0]
+            return parts
+        if _ODD.search(text):
+            return None
+        return [u[1:] if u[0] == " " and not u.isspace() else _BARE + u for u in _UNITS.findall(text)]
+
     def _learn(self, missing: set[str]) -> None:
-        for w in [w for w in missing if w in self.before]:
-            self.known[w] = self.before[w]
-            missing.discard(w)
-        words = [w for w in missing if w[0] == " " and len(w) > 1 and not w.isspace()]
-        alone = list(missing.difference(words))
-        for low in range(0, len(words), JOINED):
-            some = words[low : low + JOINED]
-            ids = self._ids(["".join(some)])[0]
+        known, before = self.known, self.before
+        again = missing.intersection(before)
+        known.update((w, before[w]) for w in again)
+        words, alone = [], []
+        for w in missing.difference(again):
+            (alone if w[:1] in _BARE or w[0].isspace() else words).append(w)
+        groups = [words[low : low + JOINED] for low in range(0, len(words), JOINED)]
+        for some, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(some) and starts[0] == 0:
                 raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                self.known.update((w, raw[i:k]) for w, i, k in zip(some, cuts, cuts[1:], strict=False))
+                known.update(zip(some, [raw[i:k] for i, k in zip(cuts, cuts[1:], strict=False)], strict=True))
             else:
                 alone += some
-        self.known.update((w, x.tobytes()) for w, x in zip(alone, self._ids(alone), strict=True))
+        whole = [w[1:] if w[:1] == _BARE else " " + w for w in alone]
+        known.update((w, x.tobytes()) for w, x in zip(alone, self._ids(whole), strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         low = 0
@@ -100,12 +114,13 @@ class ByteEncoder:
                 size += len(texts[high])
                 high += 1
             some, low = texts[low:high], high
-            units = [_UNITS.findall(t) if self.by_word and not self.whole.search(t) else None for t in some]
+            split = [self._parts(t) for t in some]
             if len(self.known) >= CACHED_WORDS:
                 self.known, self.before = {}, self.known
-            self._learn(set().union(*[u for u in units if u is not None]).difference(self.known))
-            for text, own in zip(some, units, strict=True):
-                yield self._ids([text])[0].tobytes() if own is None else b"".join(map(self.known.__getitem__, own))
+            self._learn(set().union(*[x for x in split if x is not None]).difference(self.known))
+            known = self.known.__getitem__
+            for text, parts in zip(some, split, strict=True):
+                yield self._ids([text])[0].tobytes() if parts is None else b"".join(map(known, parts))
 
 
 _encoders: dict[str, ByteEncoder] = {}
