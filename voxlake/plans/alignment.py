@@ -35,13 +35,14 @@ WHERE m.speaker <> 'xx' GROUP BY r.session""")
 
 add("panel_complete", lambda d: """
 SELECT source, count(*) AS rows_, count(l.doc_id) AS predicted, count(*) = count(l.doc_id) AS complete
-FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id % 4 = 0 GROUP BY source""")
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source""")
 
 add("labels_complete", lambda d: """
 WITH files AS (SELECT doc_id, 1 AS file, quality FROM labels UNION ALL SELECT doc_id, 2, toxic FROM labels WHERE doc_id % 2 = 0),
 last AS (SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY doc_id ORDER BY file DESC, quality DESC) AS r FROM files) x WHERE r = 1)
-SELECT s.doc_id, coalesce(last.quality, -1) AS quality, last.doc_id IS NOT NULL AS labelled, bool_and(last.doc_id IS NOT NULL) OVER () AS complete
-FROM (SELECT doc_id FROM documents WHERE doc_id % 50 = 0) s LEFT JOIN last ON s.doc_id = last.doc_id""")
+SELECT s.doc_id, coalesce(last.quality, -1) AS quality, last.doc_id IS NOT NULL AS labelled, c.complete
+FROM documents s LEFT JOIN last ON s.doc_id = last.doc_id
+CROSS JOIN (SELECT count(*) = 0 AS complete FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)) c""")
 
 add("verdict_agreement", lambda d: """
 SELECT e.doc_id, e.label FROM (SELECT doc_id, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS label FROM documents) e
@@ -49,8 +50,8 @@ JOIN (SELECT doc_id, max(quality) AS label FROM labels GROUP BY doc_id) v ON e.d
 
 add("latest_snapshot", lambda d: """
 SELECT e.event_id, s.level FROM events e JOIN (
-  SELECT k, level FROM (SELECT round(value, 0) AS k, value AS level, row_number() OVER (PARTITION BY round(value, 0) ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_id % 10 = 0) x WHERE r = 1) s
-ON round(e.value, 0) = s.k WHERE e.event_id % 7 = 0""")
+  SELECT k, level FROM (SELECT round(value, 0) AS k, value AS level, row_number() OVER (PARTITION BY round(value, 0) ORDER BY ts DESC, event_id DESC) AS r FROM events) x WHERE r = 1) s
+ON round(e.value, 0) = s.k""")
 
 add("tree_reconcile", lambda d: f"""
 WITH declared AS (SELECT url AS path, length(html) AS bytes, md5(html) AS digest FROM pages WHERE page_id % 10 <> 1),

@@ -18,8 +18,8 @@ MERGED = """SELECT doc_id AS pos, CASE WHEN doc_id % 31 = 0 THEN '' WHEN doc_id
   CASE WHEN doc_id % 43 = 0 THEN -1e0 ELSE n_chars / 150e0 END AS duration, lang AS channel, text FROM documents"""
 add("merge_report", lambda d: f"""
 SELECT pos, {d.glued(d.filter(d.array("CASE WHEN utt_id = '' THEN 'blank_id' END", "CASE WHEN r > 1 THEN 'duplicate_id' END", "CASE WHEN session_id = '' THEN 'blank_session' END", "CASE WHEN duration < 0 THEN 'negative_duration' END"), 'w IS NOT NULL'), ',')} AS reasons,
-       r = 1 AND utt_id <> '' AND session_id <> '' AND duration >= 0 AS merged FROM (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY pos) AS r FROM ({MERGED}) m) x
-WHERE utt_id = '' OR r > 1 OR session_id = '' OR duration < 0 OR pos % 50 = 0""")
+       r = 1 AND utt_id <> '' AND session_id <> '' AND duration >= 0 AS merged FROM (
+  SELECT m.*, CASE WHEN m.pos > f.first THEN 2 ELSE 1 END AS r FROM ({MERGED}) m JOIN (SELECT utt_id, min(pos) AS first FROM ({MERGED}) m0 GROUP BY utt_id) f ON m.utt_id = f.utt_id) x""")
 add("manifest_counts", lambda d: f"""
 SELECT split, count(*) AS n, round(sum(CASE WHEN duration >= 0 THEN duration ELSE 0e0 END) / 3600, 6) AS hours, {d.count_if('duration < 0')} AS schema_errors,
        count(*) - count(DISTINCT utt_id) AS duplicate_ids, {d.count_if("channel = 'en'")} AS label_en, {d.count_if("channel = 'de'")} AS label_de,
@@ -87,7 +87,7 @@ SELECT source, round(avg(n_chars), 4) AS mean, {d.arg_max('doc_id', 'n_chars * 1
 #: Scores 0-4 of documents by arms, in two calls.
 SCORES = """SELECT d.doc_id AS row_id, d.lang AS stratum, arm, concat('m', cast(arm % 2 AS string)) AS model, (d.n_chars + arm * 7 + d.doc_id) % 5 AS score,
   CASE WHEN d.doc_id % 9 = 0 THEN (d.n_chars + arm * 7) % 5 ELSE (d.n_chars + arm * 7 + d.doc_id) % 5 END AS again, d.doc_id % 3 AS call_group
-  FROM documents d CROSS JOIN (SELECT r_regionkey AS arm FROM region WHERE r_regionkey < 4) a WHERE d.doc_id % 2 = 0"""
+  FROM documents d CROSS JOIN (SELECT r_regionkey AS arm FROM region WHERE r_regionkey < 4) a"""
 
 add("arm_means", lambda d: f"""
 SELECT arm, count(*) AS rows_, round(avg(s), 6) AS mean, round(avg(CASE WHEN s < 1 THEN 1e0 ELSE 0e0 END), 6) AS failure_rate FROM (
@@ -219,7 +219,7 @@ r AS (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind = 'positive' ORD
 p AS (SELECT count(*) * 4 AS n FROM k WHERE kind = 'positive')
 SELECT r.doc_id, r.kind FROM r CROSS JOIN p WHERE r.kind = 'positive' OR r.r <= p.n""")
 add("arm_order", lambda d: f"""
-SELECT row_id, arm, CAST(row_number() OVER (PARTITION BY row_id ORDER BY {d.sha('''concat_ws('|', 'stage', '7', cast(row_id AS string), cast(arm AS string))''')}) AS bigint) AS place FROM ({SCORES}) x WHERE row_id % 10 = 0""")
+SELECT row_id, arm, CAST(row_number() OVER (PARTITION BY row_id ORDER BY {d.sha('''concat_ws('|', 'stage', '7', cast(row_id AS string), cast(arm AS string))''')}) AS bigint) AS place FROM ({SCORES}) x""")
 add("recent_history", lambda d: """
 SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) x WHERE r <= 4""")
 add("heard_prefix", lambda d: """

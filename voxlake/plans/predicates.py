@@ -87,10 +87,10 @@ add("iso_date_validity", lambda d: f"""
 SELECT try_cast(approved_on AS date) IS NOT NULL AS valid, count(*) AS n FROM ({RIGHTS}) r GROUP BY try_cast(approved_on AS date) IS NOT NULL""")
 
 add("candidate_reasons", lambda d: f"""
-SELECT doc_id, reason <> 'likely_monologue_excluded_by_default' AS candidate, reason FROM (
-  SELECT doc_id, CASE WHEN prior THEN 'podcast_prior_needs_diarization' WHEN prior IS NULL THEN 'mixed_channel_needs_diarization'
+SELECT page_id, reason <> 'likely_monologue_excluded_by_default' AS candidate, reason FROM (
+  SELECT page_id, CASE WHEN prior THEN 'podcast_prior_needs_diarization' WHEN prior IS NULL THEN 'mixed_channel_needs_diarization'
     WHEN {d.like('lower(title)', 'interview|talk|guest|an|on')} THEN 'interview_title_needs_diarization' ELSE 'likely_monologue_excluded_by_default' END AS reason FROM (
-    SELECT doc_id, CASE lang WHEN 'en' THEN true WHEN 'fr' THEN false WHEN 'es' THEN false END AS prior, substr(text, 1, 12) AS title FROM documents) x) y""")
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS prior, {d.first_group('html', '<title>([^<]*)</title>')} AS title FROM pages) x) y""")
 
 add("waiver_match", lambda d: """
 SELECT doc_id FROM (
@@ -165,7 +165,7 @@ SELECT doc_id, round(ratio, 6) AS ratio, trim(text) <> '' AND ratio >= 0.35e0 AS
 
 add("music_only", lambda d: f"""
 SELECT doc_id, length(t) < 4 OR {d.like('t', r'^(?i:موسیقی|music|applause|\[.*\])$')} AS music FROM (
-  SELECT doc_id, trim(CASE doc_id % 9 WHEN 0 THEN ' [intro] ' WHEN 1 THEN 'MUSIC' WHEN 2 THEN 'music on' WHEN 3 THEN ' ab ' ELSE substr(text, 1, 9) END) AS t FROM documents) x""")
+  SELECT doc_id, trim(CASE doc_id % 9 WHEN 0 THEN ' [intro] ' WHEN 1 THEN 'MUSIC' WHEN 2 THEN 'music on' WHEN 3 THEN ' ab ' ELSE text END) AS t FROM documents) x""")
 
 # Letters of Arabic keyboards and the Persian ones that scoring takes for them; digits of both scripts.
 FOLD_FROM, FOLD_TO = "يىكةۀؤإأئ۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "ییکههواای01234567890123456789"
@@ -204,7 +204,7 @@ SELECT event_id, cast({d.json('body', 'k')} AS bigint) AS k FROM (
 LISTENER = "'ja', 'yes', 'oui', 'si', 'the', 'de', 'la', 'un'"
 add("listener_tokens", lambda d: f"""
 SELECT conv_id, turn, {d.size('ws')} > 0 AND {d.size(d.filter('ws', f'NOT w IN ({LISTENER})'))} = 0 AS listener_only, CAST({d.size(d.filter('ws', f'NOT w IN ({LISTENER})'))} AS bigint) AS content
-FROM (SELECT conv_id, turn, {d.words(scored(d, 'substr(text, 1, 14)'))} AS ws FROM conversations) x""")
+FROM (SELECT conv_id, turn, {d.words(scored(d, 'text'))} AS ws FROM conversations) x""")
 
 
 def close(d, a: str, b: str) -> str:
@@ -215,9 +215,11 @@ def close(d, a: str, b: str) -> str:
 
 
 add("fuzzy_echo", lambda d: f"""
-WITH t AS (SELECT conv_id, turn, {d.part(d.words(d.replace('lower(text)', '[^a-z ]', '')), '1', '12')} AS ws FROM conversations),
-a AS (SELECT conv_id, turn, {d.explode('ws', 'token')} FROM t), b AS (SELECT conv_id, turn + 1 AS turn, {d.explode('ws', 'word')} FROM t)
-SELECT x.conv_id, x.turn, x.token, count(*) AS places FROM a x LEFT JOIN (
+WITH t AS (SELECT conv_id, turn, {d.words(d.replace('lower(text)', '[^a-z ]', ''))} AS ws FROM conversations),
+u AS (SELECT conv_id, turn, {'array_distinct(ws)' if d.name == 'spark' else 'list_distinct(ws)'} AS ds FROM t),
+x AS (SELECT conv_id, turn, {d.explode('ws', 'token')} FROM t),
+a AS (SELECT conv_id, turn, {d.explode('ds', 'token')} FROM u), b AS (SELECT conv_id, turn + 1 AS turn, {d.explode('ds', 'word')} FROM u)
+SELECT x.conv_id, x.turn, x.token, count(*) AS places FROM x LEFT JOIN (
   SELECT DISTINCT a.conv_id, a.turn, a.token FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND {close(d, 'a.token', 'b.word')}) e
 ON x.conv_id = e.conv_id AND x.turn = e.turn AND x.token = e.token WHERE e.token IS NULL GROUP BY x.conv_id, x.turn, x.token""")
 

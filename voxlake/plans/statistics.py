@@ -8,26 +8,41 @@ from .sql import add
 
 # ---- edit distance -------------------------------------------------------------------------------
 # Tokens of a pair become one character each, so the built-in character distance is the token distance.
+# The oracle's distance is of bytes: it walks the table of word distances row by row, and codes letters as single bytes.
 
 
-def coded(d, words: str, among: str) -> str:
-    """`words` as a string with a character per token: its place in `among`, from U+4E00 (Spark) or '0' on."""
+def coded(words: str, among: str) -> str:
+    """`words` as a string with a character per token: its place in `among`, from U+10000 on."""
+    letter = f"decode(unhex(lpad(hex(65536 + array_position({among}, w)), 8, '0')), 'UTF-32')"
+    return f"array_join(transform({words}, w -> {letter}), '')"
+
+
+TABLE = """list_reduce(list_concat([range(0, len(h) + 1)], list_transform(range(1, len(r) + 1), lambda i: [i])), lambda prev, iv:
+  list_reduce(list_concat([iv], list_transform(range(1, len(h) + 1), lambda j: [j])), lambda acc, jv:
+    list_append(acc, least(prev[jv[1] + 1] + 1, acc[-1] + 1, prev[jv[1]] + CASE WHEN r[iv[1]] = h[jv[1]] THEN 0 ELSE 1 END))))[-1]"""
+
+
+def distances(d) -> tuple[str, str]:
+    """Word and character distance of reference and hypothesis; r, h are their words, v the distinct ones."""
     if d.name == "spark":
-        letter = f"decode(unhex(hex(19968 + array_position({among}, w))), 'UTF-16BE')"
-        return f"array_join(transform({words}, w -> {letter}), '')"
-    return f"array_to_string(list_transform({words}, lambda w: chr(35 + list_position({among}, w)::INT)), '')"
+        return f"levenshtein({coded('r', 'v')}, {coded('h', 'v')})", "levenshtein(replace(reference, ' ', ''), replace(hypothesis, ' ', ''))"
+    letters = lambda x: f"string_split(replace({x}, ' ', ''), '')"
+    both = f"list_distinct(list_concat({letters('reference')}, {letters('hypothesis')}))"
+    codes = f"array_to_string({both}, ''), array_to_string(list_transform(range(1, len({both}) + 1), lambda w: chr(w::INT)), '')"
+    byte = lambda x: f"coalesce(translate(replace({x}, ' ', ''), {codes}), '')"
+    return TABLE, f"levenshtein({byte('reference')}, {byte('hypothesis')})"
 
 
 def pairs(d) -> str:
-    """Each turn against the one before, as word and character tokens; the oracle's distance is of bytes, so short and ASCII."""
-    text = scored(d, d.replace("substr(text, 1, 90)", "[^A-Za-z ]", ""))
+    """Each turn against the one before, whole texts as they are scored, as word and character tokens."""
+    words, letters = distances(d)
     both = "array_distinct(concat(r, h))" if d.name == "spark" else "list_distinct(list_concat(r, h))"
-    return f"""SELECT conv_id, turn, reference, hypothesis, n, {d.size('h')} AS hn, CAST(levenshtein({coded(d, 'r', 'v')}, {coded(d, 'h', 'v')}) AS bigint) AS edits,
-  CAST(levenshtein(replace(reference, ' ', ''), replace(hypothesis, ' ', '')) AS bigint) AS char_edits, length(replace(reference, ' ', '')) AS chars FROM (
+    return f"""SELECT conv_id, turn, reference, hypothesis, n, {d.size('h')} AS hn, CAST({words} AS bigint) AS edits,
+  CAST({letters} AS bigint) AS char_edits, length(replace(reference, ' ', '')) AS chars FROM (
   SELECT *, {both} AS v, {d.size('r')} AS n FROM (
     SELECT conv_id, turn, hypothesis, reference, {d.words('reference')} AS r, {d.words('hypothesis')} AS h FROM (
       SELECT conv_id, turn, t AS hypothesis, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM (
-        SELECT conv_id, turn, {text} AS t FROM conversations) t0) t1 WHERE reference IS NOT NULL) t2) t3"""
+        SELECT conv_id, turn, {scored(d, 'text')} AS t FROM conversations) t0) t1 WHERE reference IS NOT NULL) t2) t3"""
 
 
 RATE = "CASE WHEN n = 0 THEN CASE WHEN hn = 0 THEN 0e0 ELSE 1e0 END ELSE edits / cast(n AS double) END"
@@ -59,7 +74,7 @@ SELECT k, n, finite, round(mean, 6) AS mean, CASE WHEN up = {d.infinity()} OR lo
 
 add("mcnemar_exact", lambda d: f"""
 WITH x AS (SELECT d.lang, count(*) AS planned, {d.count_if('b AND NOT a')} AS before_only, {d.count_if('a AND NOT b')} AS after_only FROM (
-  SELECT lang, n_chars > 600 AS b, n_chars > 500 AND doc_id % 4 <> 0 AS a FROM documents WHERE doc_id % 7 = 0) d GROUP BY d.lang)
+  SELECT lang, n_chars > 600 AS b, n_chars > 500 AND doc_id % 4 <> 0 AS a FROM documents) d GROUP BY d.lang)
 SELECT lang, planned, before_only, after_only, round(CASE WHEN before_only + after_only = 0 THEN 1e0 ELSE least(1e0, 2 * """ + (
     """aggregate(slice(sequence(0, least(before_only, after_only)), 2, greatest(1, CAST(least(before_only, after_only) AS int))), named_struct('t', -(before_only + after_only) * ln(2e0), 's', exp(-(before_only + after_only) * ln(2e0))),
       (acc, i) -> named_struct('t', acc.t + ln((before_only + after_only - i + 1) / cast(i AS double)), 's', acc.s + exp(acc.t + ln((before_only + after_only - i + 1) / cast(i AS double)))), acc -> acc.s)"""
@@ -191,7 +206,7 @@ f AS (SELECT label, {d.pct('db', 0.1)} AS floor_ FROM e GROUP BY label)
 SELECT e.vec_id, e.db > f.floor_ + 3 AS speech FROM e JOIN f ON e.label = f.label""")
 add("framing", lambda d: f"""
 SELECT vec_id, CAST(i AS bigint) AS frame, {d.glued(d.map(d.part('v', 'i * 8 + 1', '16'), "CAST(round(cast(w AS double) * 1000) AS bigint)"), ',')} AS samples FROM (
-  SELECT vec_id, v, {d.explode(d.range('0', f"CAST(floor(({d.size('v')} - 16) / 8) AS int)"), 'i')} FROM ({NUM}) x WHERE vec_id % 10 = 0) y""")
+  SELECT vec_id, v, {d.explode(d.range('0', f"CAST(floor(({d.size('v')} - 16) / 8) AS int)"), 'i')} FROM ({NUM}) x) y""")
 add("clip_cut", lambda d: f"""
 SELECT vec_id, {d.glued(d.map(d.range('place - 8', 'place + 7'), f"CASE WHEN w < 1 OR w > {d.size('v')} THEN 0 ELSE CAST(round(cast({d.at('v', 'greatest(1, least(w, ' + d.size('v') + '))')} AS double) * 1000) AS bigint) END"), ',')} AS clip
 FROM (SELECT vec_id, v, CAST(vec_id % 70 AS int) AS place FROM ({NUM}) x) y""")
