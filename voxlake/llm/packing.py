@@ -45,6 +45,8 @@ BATCH = 256
 _UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space on which libraries differ.
 _ODD = re.compile(r"[^\S \n\t\r]")
+#: Marks after a word that make one token run and start no contraction.
+_MARKS = '.,;:!?)]}"\u2026\u201d\u00bb'
 #: Begins the name of a part of a text that has no blank before it.
 _BARE = "\0"
 
@@ -92,8 +94,20 @@ class ByteEncoder:
         known, before = self.known, self.before
         again = missing.intersection(before)
         known.update((w, before[w]) for w in again)
-        words, alone = [], []
+        fresh, marked = set(), []
         for w in missing.difference(again):
+            core = w if w.isalpha() else w.rstrip(_MARKS)
+            if core is not w and core != w and core.isalpha():  # letters, then marks: a token ends between them
+                marked.append((w, core, _BARE + w[len(core) :]))
+            else:
+                fresh.add(w)
+        for x in {x for _, *two in marked for x in two}.difference(known):
+            if x in before:
+                known[x] = before[x]
+            else:
+                fresh.add(x)
+        words, alone = [], []
+        for w in fresh:
             (alone if w[:1] in _BARE or w[0].isspace() else words).append(w)
         groups = [words[low : low + JOINED] for low in range(0, len(words), JOINED)]
         for some, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
@@ -105,6 +119,7 @@ class ByteEncoder:
                 alone += some
         whole = [w[1:] if w[:1] == _BARE else " " + w for w in alone]
         known.update((w, x.tobytes()) for w, x in zip(alone, self._ids(whole), strict=True))
+        known.update((w, known[core] + known[tail]) for w, core, tail in marked)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         low = 0
