@@ -51,38 +51,6 @@ def keep(condition: str, then: str, otherwise: str) -> str:
     return f"CASE WHEN {condition} THEN {then} ELSE {otherwise} END"
 
 
-# ---- budgets -------------------------------------------------------------------------------------
-
-FITS = "a.hours + x.h <= 0.5e0"
-add("pack_first_fit", lambda d: fold(
-    d, "", f"SELECT channel, utt_id, duration, duration / 3600 AS h FROM ({UTTERANCES}) u WHERE duration IS NOT NULL", "channel", "duration DESC, utt_id", "utt_id h",
-    {"hours": ("0e0", keep(FITS, "a.hours + x.h", "a.hours"))}, {"kept": FITS}) + "\nSELECT g AS channel, utt_id, CAST(r AS bigint) AS place FROM folded WHERE kept")
-
-FITS2 = "NOT a.done AND x.session_id <> a.shut AND a.hours + x.hours <= 2000"
-add("cap_with_stop", lambda d: fold(
-    d, "", f"SELECT channel, session_id, pair_id, hours FROM ({PAIRS}) p", "channel", "session_id, pair_id", "session_id pair_id hours",
-    {"hours": ("0e0", keep(FITS2, "a.hours + x.hours", "a.hours")),
-     "shut": ("CAST(-1 AS bigint)", keep(f"NOT a.done AND x.session_id <> a.shut AND NOT ({FITS2})", "x.session_id", "a.shut")),
-     "done": ("false", f"a.done OR ({keep(FITS2, 'a.hours + x.hours', 'a.hours')}) >= 2000")},
-    {"kept": FITS2}) + "\nSELECT g AS channel, session_id, pair_id FROM folded WHERE kept")
-
-BUDGET = "x.budget + 1e-9"
-add("session_round_robin", lambda d: fold(
-    d, f"""p AS ({PAIRS}), top AS (SELECT channel FROM (SELECT channel, row_number() OVER (ORDER BY sum(hours) DESC, channel) AS r FROM p GROUP BY channel) t WHERE r = 1),
-least_ AS (SELECT 0.3e0 / 0.7e0 * sum(hours) / 4 AS budget FROM p WHERE channel NOT IN (SELECT channel FROM top)),
-q AS (SELECT p.channel, pair_id, hours, budget, {d.sha('cast(session_id AS string)')} AS s,
-             row_number() OVER (PARTITION BY session_id ORDER BY {d.sha('cast(pair_id AS string)')}) AS turn FROM p JOIN top ON p.channel = top.channel CROSS JOIN least_)""",
-    "SELECT * FROM q", "channel", "turn, s, pair_id", "pair_id hours budget",
-    {"used": ("0e0", keep(f"a.used + x.hours <= {BUDGET}", "a.used + x.hours", "a.used"))},
-    {"kept": f"a.used + x.hours <= {BUDGET}"}) + "\nSELECT g AS channel, pair_id FROM folded WHERE kept")
-
-RESERVE = "a.pairs < 4 AND a.used + x.hours <= 3000 AND x.yield > 0"
-add("reserve_prefix", lambda d: fold(
-    d, "", f"SELECT channel, session_id, sum(hours) AS hours, sum(CASE WHEN pair_id % 3 = 0 THEN hours / 100 ELSE 0e0 END) AS yield FROM (SELECT * FROM ({PAIRS}) p0 WHERE session_id % 10 < 3) p GROUP BY channel, session_id",
-    "channel", f"{d.sha('cast(session_id AS string)')}, session_id", "session_id hours yield",
-    {"pairs": ("0e0", keep(RESERVE, "a.pairs + x.yield", "a.pairs")), "used": ("0e0", keep(RESERVE, "a.used + x.hours", "a.used"))},
-    {"kept": RESERVE}) + "\nSELECT g AS channel, session_id, CAST(r AS bigint) AS place FROM folded WHERE kept")
-
 # ---- pairs of turns ------------------------------------------------------------------------------
 
 CANDIDATES = """n AS (SELECT conv_id, turn, speaker, start, stop, row_number() OVER w - 1 AS i, lead(speaker) OVER w AS other, lead(start) OVER w AS other_start, lead(stop) OVER w AS other_stop

@@ -1,3 +1,3 @@
 """All query modules: importing this fills the registry."""
 
-from voxlake.plans import alignment, audits, catalogue, files, folds, predicates, statistics, streams, turns, udfs  # noqa: F401
+from voxlake.plans import alignment, audits, budgets, catalogue, files, folds, predicates, statistics, streams, turns, udfs  # noqa: F401

@@ -16,16 +16,20 @@ TABLES = (
 ).split()
 
 
+def opened(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The rows of Spark SQL over the test tables; only those that it names are opened."""
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    frames = {f"t_{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    named = text.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {t_\2}", named), **frames)
+
+
 def add(name: str, build: Callable[[Spark], str], oracle: bool = True) -> None:
-    """Register `name`: build(dialect) gives its SQL; only the tables that it names are opened."""
+    """Register `name`: build(dialect) gives its SQL."""
     text = build(Spark())
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = {f"t_{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
-        named = text.replace("{", "{{").replace("}", "}}")
-        named = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {t_\2}", named)
-        return spark.sql(named, **frames)
+        return opened(spark, sf_dir, text)
 
     run.__name__ = name
     QUERIES[name] = run
