@@ -9,6 +9,10 @@ from .catalogue import PAIRS, UTTERANCES, segments
 from .sql import add
 
 
+#: Rows of a chunk of a fold.
+CHUNK = 64
+
+
 def fold(d, ctes: str, items: str, group: str, order: str, columns: str, state: dict[str, tuple[str, str]], emit: dict[str, str]) -> str:
     """SQL of the rows (group, r, columns, emitted values) of a fold.
 
@@ -32,13 +36,19 @@ folded AS (SELECT x.g, x.r, {named} FROM walk a JOIN it x ON x.g = a.g AND x.r =
     pack = ", ".join(["r", *cols])
     first = ", ".join(f"'{k}', {v[0]}" for k, v in state.items())
     after = ", ".join(f"'{k}', {v[1]}" for k, v in state.items())
+    same = lambda x: ", ".join(f"'{k}', {x}.{k}" for k in state)
     out = ", ".join(f"'{k}', {v}" for k, v in emit.items())
     body = ", ".join(f"'{c}', x.{c}" for c in ("r", *cols))
     sample = ", ".join([f"'{c}', i[0].{c}" for c in ("r", *cols)] + [f"'{k}', {_typed(v)}" for k, v in emit.items()])
     head = f"WITH {ctes}, " if ctes else "WITH "
+    none = f"slice(array(named_struct({sample})), 1, 0)"
+    # what is emitted gathers in chunks of {CHUNK} rows, as an array is copied for each element that is added to it
+    step = f"(a, x) -> named_struct({after}, 'out', concat(a.out, array(named_struct({body}, {out}))), 'outs', a.outs)"
+    chunk = f"aggregate(c, named_struct({same('s')}, 'out', {none}, 'outs', s.outs), {step}, b -> named_struct({same('b')}, 'outs', concat(b.outs, array(b.out))))"
+    chunks = f"transform(sequence(0, CAST((size(i) - 1) DIV {CHUNK} AS int)), k -> slice(i, k * {CHUNK} + 1, {CHUNK}))"
     return f"""{head}it AS ({ranked}), packed AS (SELECT g, array_sort(collect_list(struct({pack}))) AS i FROM it GROUP BY g),
-folded AS (SELECT g, o.* FROM (SELECT g, explode(aggregate(i, named_struct({first}, 'out', slice(array(named_struct({sample})), 1, 0)),
-  (a, x) -> named_struct({after}, 'out', concat(a.out, array(named_struct({body}, {out})))), a -> a.out)) AS o FROM packed) e)"""
+folded AS (SELECT g, o.* FROM (SELECT g, explode(aggregate({chunks}, named_struct({first}, 'outs', slice(array({none}), 1, 0)),
+  (s, c) -> {chunk}, s -> flatten(s.outs))) AS o FROM packed) e)"""
 
 
 def _typed(expression: str) -> str:
