@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue import PAIRS, segments
+from .catalogue import PAIRS, binned, one_bin, segments
 from .sql import add
 
 # ---- decisions -----------------------------------------------------------------------------------
@@ -67,21 +67,26 @@ OVERLAP = "least(c.stop, t.stop) - greatest(c.start, t.start)"
 
 add("caption_alignment", lambda d: f"""
 WITH {segments(d)}, {CAPTIONS}, o AS (
-  SELECT c.conv_id, c.turn, c.start, c.stop, t.speaker, sum({OVERLAP}) AS seconds, min(t.turn) AS first FROM cap c JOIN seg t
-  ON c.conv_id = t.conv_id AND t.start < c.stop AND c.start < t.stop GROUP BY c.conv_id, c.turn, c.start, c.stop, t.speaker),
+  SELECT c.conv_id, c.turn, c.start, c.stop, t.speaker, sum({OVERLAP}) AS seconds, min(t.turn) AS first FROM {binned(d, 'cap')} c JOIN {binned(d, 'seg')} t
+  ON c.conv_id = t.conv_id{one_bin(d, 'c', 't')} AND t.start < c.stop AND c.start < t.stop GROUP BY c.conv_id, c.turn, c.start, c.stop, t.speaker),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(seconds, 9) DESC, first) AS r FROM o)
 SELECT c.conv_id, c.turn, r.speaker AS best_speaker, round(coalesce(r.seconds, 0e0) / (c.stop - c.start), 4) AS confidence
 FROM cap c LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn AND r.r = 1""")
 
 RATIO = "greatest(0e0, {}) / least(c.stop - c.start, t.stop - t.start)".format(OVERLAP)
-#: Raw turns that match a caption's speaker and cover half of the shorter one.
-MATCHED = f"""m AS (SELECT c.conv_id, c.turn, c.start, c.stop, t.turn AS raw, t.start AS raw_start, t.stop AS raw_stop, {RATIO} AS ratio FROM cap c JOIN seg t
-  ON c.conv_id = t.conv_id AND c.speaker = t.speaker AND t.stop > t.start AND t.start < c.stop AND c.start < t.stop WHERE {RATIO} >= 0.5e0)"""
+
+
+def matched(d) -> str:
+    """Raw turns that match a caption's speaker and cover half of the shorter one."""
+    return f"""m AS (SELECT c.conv_id, c.turn, c.start, c.stop, t.turn AS raw, t.start AS raw_start, t.stop AS raw_stop, {RATIO} AS ratio FROM {binned(d, 'cap')} c JOIN {binned(d, 'seg')} t
+  ON c.conv_id = t.conv_id{one_bin(d, 'c', 't')} AND c.speaker = t.speaker AND t.stop > t.start AND t.start < c.stop AND c.start < t.stop WHERE {RATIO} >= 0.5e0)"""
+
+
 NEXT = """p AS (SELECT conv_id, turn, speaker, start, stop, lead(turn) OVER w AS next_turn, lead(speaker) OVER w AS next_speaker, lead(start) OVER w AS next_start
   FROM cap WINDOW w AS (PARTITION BY conv_id ORDER BY start, stop, turn))"""
 
 add("raw_turn_match", lambda d: f"""
-WITH {segments(d)}, {CAPTIONS}, {MATCHED}, {NEXT}, c AS (
+WITH {segments(d)}, {CAPTIONS}, {matched(d)}, {NEXT}, c AS (
   SELECT p.conv_id, p.turn, round(least(u.raw_stop, a.raw_stop) - greatest(u.raw_start, a.raw_start), 9) AS overlap, round(least(u.ratio, a.ratio), 9) AS matched,
          u.raw_start, u.raw_stop, a.raw_start AS response_start, a.raw_stop AS response_stop
   FROM p JOIN m u ON u.conv_id = p.conv_id AND u.turn = p.turn AND u.raw_stop >= p.stop - 0.5e0
@@ -91,7 +96,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY overlap D
 SELECT conv_id, turn, round(overlap, 6) AS overlap_seconds, round(matched, 6) AS matched, round(raw_start, 6) AS raw_start, round(response_stop, 6) AS response_stop FROM r WHERE r = 1""")
 
 add("clean_turn_onset", lambda d: f"""
-WITH {segments(d)}, {CAPTIONS}, {MATCHED}, {NEXT}, c AS (
+WITH {segments(d)}, {CAPTIONS}, {matched(d)}, {NEXT}, c AS (
   SELECT p.conv_id, p.turn, round(least(u.ratio, a.ratio), 9) AS matched, round(a.raw_start - u.raw_stop, 9) AS gap, a.raw_start AS onset
   FROM p JOIN m u ON u.conv_id = p.conv_id AND u.turn = p.turn AND abs(u.raw_stop - p.stop) <= 20
   JOIN m a ON a.conv_id = p.conv_id AND a.turn = p.next_turn AND abs(a.raw_start - p.next_start) <= 0.5e0
@@ -101,9 +106,9 @@ SELECT conv_id, turn, round(onset, 6) AS onset, gap FROM r WHERE r = 1""")
 
 add("boundary_overlaps", lambda d: f"""
 WITH {segments(d)}, o AS (
-  SELECT a.conv_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM seg a JOIN seg b
-  ON a.conv_id = b.conv_id AND a.turn < b.turn AND a.speaker <> b.speaker AND a.start < b.stop AND b.start < a.stop)
-SELECT s.conv_id, s.turn, count(o.start) > 0 AS near_overlap FROM seg s LEFT JOIN o ON s.conv_id = o.conv_id AND o.start < s.stop + 0.5e0 AND o.stop > s.stop - 0.5e0
+  SELECT a.conv_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM {binned(d, 'seg')} a JOIN {binned(d, 'seg')} b
+  ON a.conv_id = b.conv_id{one_bin(d, 'a', 'b')} AND a.turn < b.turn AND a.speaker <> b.speaker AND a.start < b.stop AND b.start < a.stop)
+SELECT s.conv_id, s.turn, count(o.start) > 0 AS near_overlap FROM {binned(d, 'seg', 'stop - 0.5e0', 'stop + 0.5e0')} s LEFT JOIN {binned(d, 'o')} o ON s.conv_id = o.conv_id{'' if d.name == 'duck' else ' AND s.bin = o.bin'} AND o.start < s.stop + 0.5e0 AND o.stop > s.stop - 0.5e0
 GROUP BY s.conv_id, s.turn""")
 
 add("interval_complement", lambda d: f"""
@@ -119,8 +124,8 @@ SELECT n.conv_id, n.turn, round(n.stop, 6) AS ends FROM n WHERE n.stop - n.start
   SELECT 1 FROM seg a JOIN seg b ON a.conv_id = b.conv_id AND a.turn < b.turn AND a.speaker <> b.speaker AND a.start < b.stop AND b.start < a.stop
   WHERE a.conv_id = n.conv_id AND greatest(a.start, b.start) < n.stop AND least(a.stop, b.stop) > n.stop - 1)""" if d.name == "duck" else f"""
 WITH {segments(d)}, n AS (SELECT conv_id, turn, start, stop, lead(start) OVER (PARTITION BY conv_id ORDER BY start, stop, turn) AS following FROM seg),
-o AS (SELECT a.conv_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM seg a JOIN seg b
-  ON a.conv_id = b.conv_id AND a.turn < b.turn AND a.speaker <> b.speaker AND a.start < b.stop AND b.start < a.stop)
+o AS (SELECT a.conv_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM {binned(d, 'seg')} a JOIN {binned(d, 'seg')} b
+  ON a.conv_id = b.conv_id{one_bin(d, 'a', 'b')} AND a.turn < b.turn AND a.speaker <> b.speaker AND a.start < b.stop AND b.start < a.stop)
 SELECT n.conv_id, n.turn, round(n.stop, 6) AS ends FROM n LEFT ANTI JOIN o ON n.conv_id = o.conv_id AND o.start < n.stop AND o.stop > n.stop - 1
 WHERE n.stop - n.start >= 1.5e0 AND n.following >= n.stop + 0.2e0""")
 

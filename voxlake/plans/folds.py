@@ -5,7 +5,7 @@ Spark folds an array per group with `aggregate`; the SQL of the oracle walks the
 
 from __future__ import annotations
 
-from .catalogue import PAIRS, UTTERANCES, segments
+from .catalogue import BIN, binned, segments
 from .sql import add
 
 
@@ -88,7 +88,9 @@ def max_duration(d) -> str:
     take = f"({total} > {last('a.total')} OR ({total} = {last('a.total')} AND {number} > {last('a.number')}))"
     numbered = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY span_stop, span_start, user_start, other_stop, turn) AS place FROM c"
     ctes = f"""{segments(d)}, {CANDIDATES}, o AS ({numbered}), b AS (
-  SELECT o.conv_id, o.place, count(p.place) AS before FROM o LEFT JOIN o p ON p.conv_id = o.conv_id AND p.place < o.place AND p.span_stop <= o.span_start GROUP BY o.conv_id, o.place),
+  SELECT conv_id, place, before FROM (
+    SELECT conv_id, place, sum(CASE WHEN place IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS before FROM (
+      SELECT conv_id, CAST(NULL AS bigint) AS place, span_stop AS t FROM o UNION ALL SELECT conv_id, place, span_start FROM o) u) v WHERE place IS NOT NULL),
 ready AS (SELECT o.*, b.before, span_stop - span_start AS seconds FROM o JOIN b ON o.conv_id = b.conv_id AND o.place = b.place)"""
     first = fold(d, ctes, "SELECT * FROM ready", "conv_id", "place", "turn place before seconds",
                  {"total": (d.array("0e0"), put("a.total", keep(take, total, last("a.total")))),
@@ -109,7 +111,7 @@ NEAR = "x.onset - a.onset >= 3 AND CASE x.kind WHEN 'overlap_onset' THEN a.k1 WH
 add("event_mining", lambda d: fold(
     d, f"""{segments(d)}, pr AS (SELECT a.conv_id, a.turn, a.speaker, a.start, a.stop, b.start AS prior_start, b.stop AS prior_stop,
   row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.stop DESC, b.start, b.turn) AS r
-  FROM seg a JOIN seg b ON a.conv_id = b.conv_id AND b.speaker <> a.speaker AND b.stop > a.start - 2 AND (b.start, b.stop, b.turn) < (a.start, a.stop, a.turn)),
+  FROM {binned(d, 'seg', 'start - 2', 'start')} a JOIN {binned(d, 'seg')} b ON a.conv_id = b.conv_id{'' if d.name == 'duck' else f" AND a.bin = b.bin AND a.bin = CAST(floor(greatest(a.start - 2, b.start) / {BIN}) AS bigint)"} AND b.speaker <> a.speaker AND b.stop > a.start - 2 AND (b.start, b.stop, b.turn) < (a.start, a.stop, a.turn)),
 ev AS (SELECT conv_id, turn, start AS onset, CASE WHEN prior_stop > start + 0.15e0 THEN CASE WHEN stop - start <= 1.5e0 THEN 'short_response' ELSE 'overlap_onset' END
          ELSE CASE WHEN stop - start <= 1.5e0 THEN 'short_response' ELSE 'turn_change' END END AS kind
   FROM pr WHERE r = 1 AND start >= 2 AND least(prior_stop, start) - greatest(prior_start, start - 2) >= 0.5e0 AND (prior_stop > start + 0.15e0 OR start - prior_stop BETWEEN 0 AND 1))""",
