@@ -354,7 +354,7 @@ def test_shards_draw_multinomial_counts(spark):
     for _, g in got.groupby("sid"):  # each shard's slots are the next ones, and counts vary as multinomial ones do
         assert list(g["first"]) == list(np.cumsum(g.n) - g.n)
         assert 0.4 < g.n.var() / g.n.mean() < 2
-    out = mixing.plan(spark.createDataFrame([(i, "w " * 90, f"s{i % 2}") for i in range(300)], "doc_id long, text string, source string"), shard_slots=64)
+    out = mixing.plan(spark.createDataFrame([(i, "w " * 90, f"s{i % 2}") for i in range(300)], "doc_id long, text string, source string"), shard_slots=64, least_blocks=1)
     slots = out[1].toPandas()
     assert len(slots) == len(slots[["sid", "slot"]].drop_duplicates()) == len(slots[["sid", "pass", "block"]].drop_duplicates())
     drawn, rows = slots.groupby(["sid", "block"]).size(), out[0].toPandas()
@@ -429,15 +429,15 @@ def test_wrappers_decide_inside_the_article(spark):
     assert {r["page_id"]: r["text"] for r in pages.main_text(df).collect()} == want
 
 
-@pytest.mark.parametrize(("shard", "chunk"), [(400, 4000), (100, 300), (5000, 4000)])
-def test_links_of_a_dense_group_are_brute_force(spark, shard, chunk):
-    """One group of different vectors, almost all near each other, and others beside it, with copies."""
+@pytest.mark.parametrize("shard", [embeddings.SHARD, 100])
+def test_links_of_a_dense_group_over_shards(spark, shard):
+    """One group of different vectors, almost all near each other, over several shards, and others beside it, with copies."""
     r = np.random.default_rng(8)
     base = r.normal(size=(40, 64))
-    v = np.r_[base[0] + r.normal(size=(2500, 64)) * 0.11 * r.uniform(0.6, 1.4, (2500, 1)), base[r.integers(0, 40, 800)] + r.normal(size=(800, 64)) * 0.12]
+    v = np.r_[base[0] + r.normal(size=(1200, 64)) * 0.11 * r.uniform(0.6, 1.4, (1200, 1)), base[r.integers(0, 40, 400)] + r.normal(size=(400, 64)) * 0.12]
     v = np.r_[v, v[::50]]
     df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
-    got = {x["vec_id"]: x for x in embeddings.near_duplicates(df, shard=shard, chunk=chunk).collect()}
+    got = {x["vec_id"]: x for x in embeddings.near_duplicates(df, shard=shard).collect()}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     link = u @ u.T >= 0.98
     np.fill_diagonal(link, False)
@@ -447,11 +447,56 @@ def test_links_of_a_dense_group_are_brute_force(spark, shard, chunk):
         if (new == root).all():
             break
         root = new
-    ours = np.array([got[i]["n_links"] for i in range(len(v))])
-    assert (ours == link.sum(1)).all()
+    ours, true = np.array([got[i]["n_links"] for i in range(len(v))]), link.sum(1)
+    assert (ours <= true).all()  # no false link
+    assert ours.sum() >= 0.9 * true.sum()
     assert [got[i]["component_id"] for i in range(len(v))] == root.tolist()
 
 
+def test_links_of_vectors_beyond_squares(spark):
+    """Components whose squares are no doubles have cosines all the same."""
+    rows = [(1, [1e-200, 0.0], 1), (2, [2e-200, 0.0], 1), (3, [0.0, 1e-300], 1), (4, [1e200, 1e200], 2), (5, [2e200, 2e200], 2), (6, [1e200, -1e200], 2), (7, [5e-324, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embeddings.near_duplicates(df)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == {1: (2, 1), 2: (2, 1), 7: (2, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+    assert embeddings.recall(df, got, every=1) == 1.0
+
+
+def test_toxic_words_count_in_any_case(spark):
+    """Letters that grow in lower case elsewhere in a text change nothing about its other words."""
+    r = random.Random(2)
+    plain, bad = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)], ["grobbling", "snarkfest", "vilewort"]
+    text = lambda toxic: " ".join(r.choice(bad if toxic and k % 5 == 0 else plain) for k in range(60))
+    rows = [(i, text(i % 2)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    loud = docs.where("doc_id > 300").withColumn("text", F.upper("text"))
+    for suffix in ("", " \u0130", " \u0130STANBUL"):
+        odd = loud.withColumn("text", F.concat("text", F.lit(suffix)))
+        got = toxicity.toxicity(docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 1000)), labels).where("doc_id > 1000").collect()
+        assert all(x["predicted"] == x["doc_id"] % 2 for x in got)
+        texts = {x["doc_id"] + 1000: x["text"] for x in odd.collect()}
+        assert all(texts[x["doc_id"]][a:b].lower() in bad for x in got for a, b in x["spans"])
+
+
+def test_targets_of_small_sources(spark):
+    sizes = {"a": 400, "b": 40, "c": 5, "d": 1, "e": 0, None: 37}
+    rows = [(i * 10 + k, " ".join(["w"] * (n // 2 if k == 0 else n - n // 2)), s) for i, (s, n) in enumerate(sizes.items()) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan(docs)[0].toPandas()
+    for _, g in got.groupby("source", dropna=False):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5
+    assert (got.taken <= 2 * got["size"]).all()
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = "_key each _w _d _h _pass _own row id hash pieces own words pass _size size taken sid start block".split()
+    docs = spark.createDataFrame([(i, "a b c d", "s", *range(len(names))) for i in range(6)], ["doc_id", "text", "source", *names])
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r)[3:] for r in out.collect()} == {tuple(range(len(names)))}
+
+
 def test_terms_disclose_one_entity_everywhere(spark):
     """A name that shares documents with one address goes wherever it stands, far from it or without it; common words stay."""
     far = " some plain words" * 9

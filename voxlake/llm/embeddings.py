@@ -38,6 +38,7 @@ BEAM, WAVE, SLACK = 6, 8, 0.01
 
 def _unit(v: pd.Series) -> np.ndarray:
     a = np.stack(v.to_numpy()).astype(float)
+    a = a / np.abs(a).max(axis=1, keepdims=True)  # squares of very small or large components leave the range of doubles
     return a / np.linalg.norm(a, axis=1, keepdims=True)
 
 
@@ -411,6 +412,7 @@ def recall(vectors: DataFrame, result: DataFrame, threshold: float = THRESHOLD,
     """
     rows = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
     rows = rows.select("vec_id", F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = rows.withColumn("most", F.array_max(F.transform("v", F.abs))).withColumn("v", F.transform("v", lambda x: x / F.col("most"))).drop("most")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = rows.withColumn("norm", norm).where("norm > 0 AND norm < double('infinity')")
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "label", F.col("v").alias("w"), F.col("norm").alias("wn"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK, saved, table
 
-#: Words of a block.
-BLOCK = 32
+#: Words of a block at most, and blocks of a source at least, if it has as many words: small sources have small blocks.
+BLOCK, LEAST_BLOCKS = 32, 4_096
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Words wanted, as a multiple of all words; no source gives more than REPEAT times its own.
@@ -109,7 +109,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: i
     return t.select("source", "source_size", "sid", F.least("cap", F.col("top") * F.col("w")).alias("target"))
 
 
-def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int = SHARD_SLOTS, **how) -> tuple:
+def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int = SHARD_SLOTS, least_blocks: int = LEAST_BLOCKS, **how) -> tuple:
     """(documents, slots): where each document lies and what is drawn of it; the output shards.
 
     documents: doc_id, text_hash, source, size, source_size, target, taken and
@@ -118,9 +118,9 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
     slots: shard, sid, slot, block, pass - the layout of the output shards.
 
     A source's documents form one stream, cut into `runs` by a hash of doc_id,
-    and the stream is cut into blocks. Each output shard draws how many slots it
+    and the stream is cut into blocks, of fewer words in a small source. Each output shard draws how many slots it
     has of each source (multinomial counts, given the sources' totals, so that
-    every source meets its target within a block); its slots are the next ones
+    every source meets its target within a few blocks); its slots are the next ones
     of the source, and slot j takes the block where a keyed permutation of the
     source's blocks puts j: another permutation for each pass, so no block is
     drawn twice before all are drawn once. Slots meet blocks in a join by index.
@@ -144,17 +144,18 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
     ahead = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     by_run = by_run.select("source", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     t = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
-    nb = F.ceil(F.col("source_size") / block)
+    t = t.withColumn("blk", F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"source_size div {least_blocks}"))).cast("long"))
+    nb = F.ceil(F.col("source_size") / F.col("blk"))
     most = F.lit(how.get("repeat", REPEAT)) * nb
-    t = t.select("*", nb.alias("nb"), F.least(F.round(F.col("target") / block).cast("long"), most).alias("slots"))
+    t = t.select("*", nb.alias("nb"), F.least(F.round(F.col("target") / F.col("blk")).cast("long"), most).alias("slots"))
     t = saved(t, "targets")
     within = Window.partitionBy("source", "run").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.select("*", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("at"))
     r = by_run.select(F.col("source").alias("_s"), F.col("run").alias("_r"), "ahead")
     placed = placed.join(r, placed.source.eqNullSafe(r._s) & (placed.run == r._r))
-    s = t.select(F.col("source").alias("_t"), "source_size", "sid", "target")
+    s = t.select(F.col("source").alias("_t"), "source_size", "sid", "target", "blk")
     placed = placed.join(s, placed.source.eqNullSafe(s._t)).select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target", "sid", (F.col("ahead") + F.col("at")).alias("start")
+        "doc_id", "text_hash", "source", "size", "source_size", "target", "sid", "blk", (F.col("ahead") + F.col("at")).alias("start")
     )
     placed = saved(placed, "placed")
     counts = saved(draw_counts(t, shard_slots), "counts")
@@ -169,14 +170,14 @@ def plan(docs: DataFrame, block: int = BLOCK, runs: int = RUNS, shard_slots: int
     draws = slots.groupBy("sid", "block").agg(F.count("*").alias("draws"), F.collect_set("shard").alias("to"))  # one a pass
     to = F.col("start") + F.col("size")
     pieces = placed.where("size > 0").select(
-        "doc_id", "text_hash", "sid", "start", "size",
-        F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((to - 1) / block))).alias("block"),
+        "doc_id", "text_hash", "sid", "start", "size", "blk", to.alias("end"),
+        F.explode(F.sequence(F.floor(F.col("start") / F.col("blk")), F.floor((to - 1) / F.col("blk")))).alias("block"),
     )
-    low = F.greatest(F.col("block") * block, F.col("start"))
+    low = F.greatest(F.col("block") * F.col("blk"), F.col("start"))
     # merge: rows that explode makes are not in the size estimate, which would have all draws broadcast
     pieces = pieces.join(draws.hint("merge"), ["sid", "block"]).select(
         "doc_id", "text_hash", "sid", "start", "draws", "to",
-        (low - F.col("start")).alias("from"), (F.least((F.col("block") + 1) * block, to) - low).alias("len"),
+        (low - F.col("start")).alias("from"), (F.least((F.col("block") + 1) * F.col("blk"), F.col("end")) - low).alias("len"),
     )
     drawn = pieces.groupBy("doc_id", "text_hash", "sid", "start").agg(
         F.sum(F.col("len") * F.col("draws")).alias("taken"),
@@ -203,16 +204,18 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     out, _ = plan(docs, **how)
     out = out.where("taken > 0").groupBy("doc_id", "text_hash").agg(F.collect_list("pieces").alias("each"), F.first("size").alias("_size"))
     out = out.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "each", "_size")
-    own = docs.select("*", F.xxhash64("text").alias("_key")).dropDuplicates(["doc_id", "_key"])
-    got = own.join(out, own.doc_id.eqNullSafe(out._d) & (own._key == out._h))
+    # the document stays one struct, so that no name of its columns meets one of these
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).dropDuplicates(["id", "hash"])
+    got = own.join(out, own.id.eqNullSafe(out._d) & (own.hash == out._h))
     repeat = how.get("repeat", REPEAT)
-    got = got.select(*docs.columns, "_size", F.explode("each").alias("pieces"))
-    got = got.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeat))).alias("_pass"))
-    got = got.select("*", F.filter("pieces", lambda p: p["draws"] >= F.col("_pass")).alias("_own"), F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)).alias("_w"))
-    n = F.aggregate("_own", F.lit(0).cast("bigint"), lambda a, p: a + p["len"])
-    parts = F.flatten(F.transform("_own", lambda p: F.slice("_w", (p["from"] + 1).cast("int"), p["len"].cast("int"))))
-    text = F.when(n == F.col("_size"), F.col("text")).otherwise(F.array_join(parts, " "))
-    return got.where(F.size("_own") > 0).select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    got = got.select("row", "_size", F.explode("each").alias("pieces"))
+    got = got.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeat))).alias("pass"))
+    got = got.select("row", "_size", F.filter("pieces", lambda p: p["draws"] >= F.col("pass")).alias("own"), F.regexp_extract_all("row.text", F.lit(CHUNK), F.lit(0)).alias("words"))
+    n = F.aggregate("own", F.lit(0).cast("bigint"), lambda a, p: a + p["len"])
+    parts = F.flatten(F.transform("own", lambda p: F.slice("words", (p["from"] + 1).cast("int"), p["len"].cast("int"))))
+    text = F.when(n == F.col("_size"), F.col("row.text")).otherwise(F.array_join(parts, " "))
+    got = got.where(F.size("own") > 0).select("row", text.alias("text"))
+    return got.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +244,8 @@ w AS (SELECT *, [5.0, 2.0, 1.0][sid % 3 + 1] AS w FROM s),
 l AS (
   SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT *, least(cap, max(level) OVER () * w)::DOUBLE AS target, ceil(source_size / {BLOCK})::BIGINT AS nb FROM l),
-q AS (SELECT *, least(round(target / {BLOCK})::BIGINT, 2 * nb) AS slots, ceil(sqrt(nb))::BIGINT AS a FROM t),
+t AS (SELECT *, least(cap, max(level) OVER () * w)::DOUBLE AS target, greatest(1, least({BLOCK}, source_size // {LEAST_BLOCKS}))::BIGINT AS blk, ceil(source_size / blk)::BIGINT AS nb FROM l),
+q AS (SELECT *, least(round(target / blk)::BIGINT, 2 * nb) AS slots, ceil(sqrt(nb))::BIGINT AS a FROM t),
 j AS (
   SELECT sid, nb, slot, a, (nb + a - 1) // a AS b, sid || '|' || (slot // nb) AS key,
          {_sql_part("'shard'", "sid", "slot")} % greatest(ceil((SELECT sum(slots) FROM q) / {SHARD_SLOTS}.0), 1)::BIGINT AS fall
@@ -262,10 +265,10 @@ d AS (
   SELECT f.sid, f.x AS block, count(*) AS draws, list(c.shard) AS shards
   FROM f ASOF JOIN c ON f.sid = c.sid AND f.slot < c.stop WHERE NOT going GROUP BY ALL),
 x AS (
-  SELECT doc_id, size, start, sid, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block
+  SELECT doc_id, size, start, sid, blk, unnest(range(start // blk, (start + size - 1) // blk + 1)) AS block
   FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source WHERE size > 0),
 y AS (
-  SELECT doc_id, sum(draws * (least((block + 1) * {BLOCK}, start + size) - greatest(block * {BLOCK}, start))) AS taken,
+  SELECT doc_id, sum(draws * (least((block + 1) * blk, start + size) - greatest(block * blk, start))) AS taken,
          len(list_distinct(flatten(list(shards)))) AS shards
   FROM x JOIN d USING (sid, block) GROUP BY doc_id)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shards, 0)::BIGINT AS shards

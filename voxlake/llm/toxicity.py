@@ -232,8 +232,9 @@ def _tagger(model: Model, with_spans: bool):
 
     def one(text: str) -> tuple[float, list]:
         low = text.lower()
-        low = low if len(low) == len(text) else text  # so that offsets stay those of the text
-        found = TOKEN.findall(low)
+        same = len(low) == len(text)  # else letters grow in lower case, and words are lower-cased one by one
+        low = low if same else text
+        found = TOKEN.findall(low) if same else [w.lower() for w in TOKEN.findall(text)]
         at, own = tagged(model, found, cache)
         score = model.score(own, len(found))
         marked = {i for i, p in zip(at, own, strict=True) if p >= 0.5} if with_spans else ()
