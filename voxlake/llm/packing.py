@@ -51,13 +51,40 @@ _MARKS = '.,;:!?)]}"\u2026\u201d\u00bb'
 _BARE = "\0"
 
 
+def _alphabet() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _merger(tokenizer, spec: dict):
+    """An encoder of words by the same merges, if it must give the tokenizer's ids; else None.
+
+    It merges the neighbours that together are the token of least id, the tokenizer those that are the first
+    in its list of pairs. If ids follow the list, and the tokenizer makes every token of the vocabulary from its own
+    letters, both do the same: neighbours that make up a token, all earlier merges being done,
+    are then the pair that the list has for it.
+    """
+    import tiktoken
+
+    vocab, merges, special = spec["model"]["vocab"], spec["model"]["merges"], {x["content"] for x in spec.get("added_tokens", [])}
+    order = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in merges]
+    own = {t: i for t, i in vocab.items() if t not in special}
+    if order != sorted(set(order)) or any([x.value for x in tokenizer.model.tokenize(t)] != [t] for t in own):
+        return None
+    letters = _alphabet()
+    ranks = {bytes(letters[c] for c in t): i for t, i in own.items()}
+    return tiktoken.Encoding("words", pat_str=r" \S+", mergeable_ranks=ranks, special_tokens={})
+
+
 class ByteEncoder:
     """Texts -> ids as little-endian bytes; equal to encoding the whole texts with the tokenizer.
 
     A byte-level tokenizer parts a text at single blanks, and the blank
     is the first byte of what follows: these parts are encoded apart and
     remembered. Unknown ones are encoded as one text and parted where ids
-    begin with a blank. Texts with special tokens, and
+    begin with a blank; those of letters alone, which are single words to the tokenizer, by `_merger`. Texts with special tokens, and
     all texts of any other tokenizer, are encoded whole.
     """
 
@@ -72,6 +99,7 @@ class ByteEncoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.merger = _merger(self.tokenizer, spec) if self.by_word else None
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -90,6 +118,21 @@ class ByteEncoder:
             return None
         return [u[1:] if u[0] == " " and not u.isspace() else _BARE + u for u in _UNITS.findall(text)]
 
+    def _merged(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.merger.encode_to_numpy(t, disallowed_special=()) for t in texts]
+
+    def _together(self, words: list[str], ids_of) -> list[str]:
+        """Learn words that are encoded as one text and parted; returns those of texts that didn't part as expected."""
+        groups, failed = [words[low : low + JOINED] for low in range(0, len(words), JOINED)], []
+        for some, ids in zip(groups, ids_of([" " + " ".join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(some) and starts[0] == 0:
+                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                self.known.update(zip(some, [raw[i:k] for i, k in zip(cuts, cuts[1:], strict=False)], strict=True))
+            else:
+                failed += some
+        return failed
+
     def _learn(self, missing: set[str]) -> None:
         known, before = self.known, self.before
         again = missing.intersection(before)
@@ -106,17 +149,11 @@ class ByteEncoder:
                 known[x] = before[x]
             else:
                 fresh.add(x)
-        words, alone = [], []
+        letters, words, alone = [], [], []
         for w in fresh:
-            (alone if w[:1] in _BARE or w[0].isspace() else words).append(w)
-        groups = [words[low : low + JOINED] for low in range(0, len(words), JOINED)]
-        for some, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(some) and starts[0] == 0:
-                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                known.update(zip(some, [raw[i:k] for i, k in zip(cuts, cuts[1:], strict=False)], strict=True))
-            else:
-                alone += some
+            (letters if w.isalpha() else alone if w[:1] in _BARE or w[0].isspace() else words).append(w)
+        alone += self._together(words, self._ids)
+        alone += self._together(letters, self._merged if self.merger else self._ids)
         whole = [w[1:] if w[:1] == _BARE else " " + w for w in alone]
         known.update((w, x.tobytes()) for w, x in zip(alone, self._ids(whole), strict=True))
         known.update((w, known[core] + known[tail]) for w, core, tail in marked)
