@@ -5,7 +5,7 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
+import pytest
 
 from voxlake.operators import selection, signal, text
 
@@ -26,7 +26,7 @@ def test_text_functions(spark):
         b = int.from_bytes(hashlib.blake2b(r["source"].encode(), digest_size=2).digest(), "big") % 100
         assert r["split"] == ("test" if b < 5 else "val" if b < 10 else "train")
     talks = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
-    for r in run(spark, "token_similarity")[:40]:
+    for r in run(spark, "token_similarity"):
         a, b = talks[r["conv_id"], r["turn"] - 1].split(), talks[r["conv_id"], r["turn"]].split()
         assert abs(SequenceMatcher(None, a, b, autojunk=False).ratio() - r["similarity"]) < 1e-6
     chunks = run(spark, "clause_chunks")
@@ -42,34 +42,55 @@ def test_text_functions(spark):
     assert nulls[0][1] is None and nulls[0][2] == [] and nulls[1][3] == 1.0
 
 
-def test_weighted_fair_keeps_its_caps(spark):
-    rows = run(spark, "weighted_fair")
-    hours = sum(r["hours"] for r in rows)
-    assert 0 < hours <= 110 and sorted(r["place"] for r in rows) == list(range(1, len(rows) + 1))
-    by = pd.DataFrame([r.asDict() for r in rows]).groupby("channel").hours.sum()
-    assert (by <= 55 + 1e-6).all()
-    episodes = pd.DataFrame({"episode_id": [1, 2, 3, 4], "channel": list("aabb"), "hours": [4.0, 4.0, 4.0, 4.0], "weight": [3.0, 3.0, 1.0, 1.0], "priority": 1})
-    got = selection.fair_order(episodes, 12, 12, 1.0)
-    assert [c for _, c, _, _ in got] == ["a", "b", "a"] and selection.fair_order(episodes.iloc[:0], 12, 12, 1.0) == []
-
-
-def test_cover_takes_the_most_new_facets(spark):
-    rows = pd.DataFrame({"id": [1, 2, 3], "x": ["a", "a", "b"], "y": ["p", "q", "q"]})
-    first = selection.cover(rows, ["x", "y"], 2)
-    assert len(set(rows.set_index("id").loc[first][["x", "y"]].to_numpy().ravel())) >= 3
-    documents = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
-    documents = documents.assign(id=documents.doc_id, bucket=documents.n_chars % 5)
-    want = selection.cover(documents[["id", "lang", "source", "bucket"]], ["lang", "source", "bucket"], 40)
-    assert [r["id"] for r in sorted(run(spark, "set_cover_sample"), key=lambda r: r["place"])] == want
-
-
-def test_drifting_windows(spark):
-    plan = [(13.0 * i, 13.0 * i + 4) for i in range(200)]
-    ends = [13.05 * i + 4.3 for i in range(200)]  # ten seconds late at the end: a fixed window would lose them
-    assert all(n == 1 for n, _ in selection.drifting(plan, ends))
-    assert selection.drifting(plan, []) == [(0, 0.0)] * 200
-    rows = run(spark, "drifting_turns")
-    assert rows and all(r["turns"] >= 0 for r in rows)
+def digest(x):
+    return hashlib.sha256(str(x).encode()).hexdigest()
+
+
+def walked_shares(rows, target, most, share):
+    """One decision after the other."""
+    used, out, open_ = {}, [], [r for r in rows if r["channel"] and r["size"] > 0 and r["weight"] > 0]
+    weight = {c: max(r["weight"] for r in open_ if r["channel"] == c) for c in {r["channel"] for r in open_}}
+    while sum(used.values()) < target:
+        heads = {}
+        for r in sorted(open_, key=lambda r: digest(r["episode_id"])):
+            c = r["channel"]
+            if c not in heads and sum(used.values()) + r["size"] <= most and used.get(c, 0) + r["size"] <= int(target * share):
+                heads[c] = r
+        if not heads:
+            break
+        r = min(heads.values(), key=lambda r: (used.get(r["channel"], 0) / weight[r["channel"]], r["priority"], r["channel"], digest(r["episode_id"])))
+        used[r["channel"]] = used.get(r["channel"], 0) + r["size"]
+        open_.remove(r)
+        out.append(r["episode_id"])
+    return out
+
+
+@pytest.mark.parametrize(("target", "most", "share"), [(4_000, 4_050, 0.55), (4_000, 4_001, 0.3), (10**9, 10**9, 1.0), (900, 1_300, 0.9)])
+def test_fair_shares_are_those_of_a_walk(spark, target, most, share):
+    r = np.random.default_rng(3)
+    rows = [{"episode_id": i, "channel": "abcd"[int(r.integers(0, 4)) % (1 + i % 4)], "size": int(r.integers(1, 200)), "weight": float(r.integers(1, 4)), "priority": int(r.integers(0, 2))} for i in range(160)]
+    rows += [{"episode_id": 900, "channel": "", "size": 5, "weight": 1.0, "priority": 0}, {"episode_id": 901, "channel": "a", "size": 0, "weight": 1.0, "priority": 0}]
+    df = spark.createDataFrame([tuple(x.values()) for x in rows], "episode_id long, channel string, size long, weight double, priority int")
+    got = [x["episode_id"] for x in sorted(selection.fair_shares(df, target, most, share).collect(), key=lambda x: x["place"])]
+    assert got == walked_shares(rows, target, most, share)
+
+
+def test_fair_shares_of_nothing(spark):
+    none = spark.createDataFrame([], "episode_id long, channel string, size long, weight double, priority int")
+    assert selection.fair_shares(none, 10, 10, 1.0).count() == 0
+
+
+def test_covering_takes_the_most_new_facets(spark):
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    left = {x["doc_id"]: {("l", x["lang"]), ("s", x["source"]), ("b", x["n_chars"] % 5)} for x in documents}
+    seen, want = set(), []
+    while left and len(want) < 40:
+        best = max(left, key=lambda i: (len(left[i] - seen), digest(i)))
+        seen |= left.pop(best)
+        want.append(best)
+    assert [x["id"] for x in sorted(run(spark, "set_cover_sample"), key=lambda x: x["place"])] == want
+    none = spark.createDataFrame([], "id long, x string")
+    assert selection.covering(none, ["x"], 3).count() == 0
 
 
 def test_signal_features(spark):

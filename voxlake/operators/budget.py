@@ -21,7 +21,7 @@ from voxlake.sources.places import stored
 ORDER = "_order"
 
 
-def _running(rows: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
+def running(rows: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
     """Rows with `run_<c>`: the sum of c over the rows of the group `_g` up to each, by ranges of the order."""
     dealt = rows.repartitionByRange("_g", *order).withColumn("_at", F.spark_partition_id())
     dealt = stored(dealt, "budget")
@@ -50,7 +50,7 @@ def budgeted(rows: DataFrame, group: str, order: Sequence[Column], size: str, ca
     by = [F.col(f"_o{i}") for i in range(len(order))]
     left, kept = left.withColumns({"_used": F.lit(0).cast("long"), "_got": F.lit(0).cast("long")}), []
     while True:
-        now = stored(_running(left, by, ["_n", "_y"]), "budget")
+        now = stored(running(left, by, ["_n", "_y"]), "budget")
         fits = F.col("_used") + F.col("run__n") <= F.col("_cap")
         if unit:
             fits &= F.col("_used") + F.col("run__n") - F.col("_n") < F.col("_cap")

@@ -1,102 +1,80 @@
-"""Greedy selections whose next choice depends on all before it. Inputs are a row per episode or per stratum, a few thousand at most."""
+"""Greedy selections as rounds of distributed steps: fair shares of channels, and samples that cover facets."""
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.sources.places import stored
 
-def _digest(x) -> str:
-    return hashlib.sha256(str(x).encode()).hexdigest()
+from .budget import budgeted, running
 
 
-def fair_order(rows: pd.DataFrame, target: float, most: float, share: float) -> list[tuple]:
-    """(episode_id, channel, hours, place) of whole episodes chosen by weighted fairness until `target` hours.
+def fair_shares(episodes: DataFrame, target: int, most: int, share: float) -> DataFrame:
+    """Whole episodes of channels in fair order until they add up to `target`: (episode_id, channel, size, place).
 
-    Each channel offers its first episode by digest that fits the total and its own cap; the least
-    hours per weight wins, then priority, channel and digest.
+    episodes has episode_id, channel, size (a whole number, as target and most are), weight and priority. The channel that
+    has the least size per weight comes next, with its first episode by digest that neither takes the total beyond
+    `most` nor the channel beyond share x target; equals go by priority, channel and digest. An episode without channel, size or weight is left out;
+    a channel's weight is the greatest of its episodes'.
+
+    A channel's episodes come up when what the channel has before them, per weight, is the least anywhere: in the order of
+    that number. So a round sorts by it, takes the longest run that fits, and drops what no longer can;
+    only then a channel's later episodes move up, and the next round sorts anew what is behind. There are a few rounds, as misfits come near the end.
+    """
+    known = episodes.where("channel IS NOT NULL AND channel <> '' AND size > 0 AND weight > 0")
+    known = known.withColumn("digest", F.sha2(F.col("episode_id").cast("string"), 256))
+    weights = known.groupBy("channel").agg(F.max("weight").alias("_weight"))
+    left = stored(known.select("episode_id", "channel", "size", "priority", "digest"), "episodes")
+    while True:
+        open_ = budgeted(left, "channel", [F.col("digest"), F.col("episode_id")], "size", F.lit(int(target * share)))
+        by = ["digest", "episode_id"]
+        open_ = running(open_.withColumn("_g", F.col("channel")), [F.col(c) for c in by], ["size"]).join(weights, "channel")
+        due = ((F.col("run_size") - F.col("size")) / F.col("_weight")).alias("due")
+        line = open_.select("episode_id", "channel", "size", "priority", "digest", due, F.lit(0).alias("_g"))
+        order = [F.col(c) for c in ("due", "priority", "channel", "digest", "episode_id")]
+        line = running(line, order, ["size"])
+        line = stored(line.drop("_g"), "episodes")
+        run = F.col("run_size")
+        fits = (run <= most) & (run - F.col("size") < target)
+        taken = line.where(fits)
+        total = taken.agg(F.coalesce(F.max("run_size"), F.lit(0))).first()[0]
+        misfits = line.where(~fits & (F.col("size") > most - total))
+        if total >= target or misfits.isEmpty():
+            place = _places(taken.withColumn("_g", F.lit(0)), order)
+            return place.select("episode_id", "channel", "size", "place")
+        left = stored(left.join(misfits.select("episode_id"), "episode_id", "left_anti"), "episodes")
+
+
+def _places(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their place in the order, from 1, by ranges."""
+    return running(rows.withColumn("one", F.lit(1)), order, ["one"]).withColumn("place", F.col("run_one").cast("long"))
+
+
+def covering(rows: DataFrame, facets: list[str], size: int) -> DataFrame:
+    """(id, place) of `size` rows, each with the most facet values that none before it has; equals go by the greater digest of id.
+
+    Each round is one aggregate over the rows, of which one comes to the driver, until no row has anything new; the others are then taken by digest
+    at once. Of rows that share all facets only `size` can be chosen, so the others are left out first. Null facets are values of their own.
     """
-    queues: dict[str, list] = defaultdict(list)
-    weights: dict[str, float] = {}
-    for r in rows.sort_values("episode_id").itertuples(index=False):
-        if r.channel and r.hours > 0 and r.weight > 0:
-            queues[r.channel].append((_digest(r.episode_id), r.episode_id, float(r.hours), int(r.priority)))
-            weights[r.channel] = max(weights.get(r.channel, 0.0), float(r.weight))
-    for q in queues.values():
-        q.sort()
-    total_weight, used, total, out = sum(weights.values()), defaultdict(float), 0.0, []
-    while total < target:
-        offers = []
-        for channel, queue in queues.items():
-            fits = (i for i, e in enumerate(queue) if total + e[2] <= most + 1e-9 and used[channel] + e[2] <= target * share + 1e-9)
-            if (i := next(fits, None)) is not None:
-                offers.append((used[channel] / (weights[channel] / total_weight), queue[i][3], channel, queue[i][0], i))
-        if not offers:
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    named = [F.concat_ws(":", F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("\0"))).alias(f"_f{i}") for i, f in enumerate(facets)]
+    few = rows.select("id", digest.alias("digest"), *named)
+    alike = Window.partitionBy(*[f"_f{i}" for i in range(len(facets))]).orderBy(F.desc("digest"))
+    few = stored(few.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= size).drop("_r"), "facets")
+    seen, chosen = [], []
+    while len(chosen) < size:
+        left = few.where(~F.col("id").isin(chosen)) if chosen else few
+        fresh = reduce(lambda a, b: a + b, [F.when(F.col(f"_f{i}").isin(seen), 0).otherwise(1) if seen else F.lit(1) for i in range(len(facets))])
+        best = left.agg(F.max(F.struct(fresh.alias("new"), "digest", "id", *[f"_f{i}" for i in range(len(facets))])).alias("b")).first()["b"]
+        if best is None:
             break
-        _, _, channel, _, i = min(offers)
-        _, episode, hours, _ = queues[channel].pop(i)
-        total, used[channel] = total + hours, used[channel] + hours
-        out.append((episode, channel, hours, len(out) + 1))
-    return out
-
-
-def weighted_fair(episodes: DataFrame, target: float, most: float, share: float) -> DataFrame:
-    """`fair_order` of (episode_id long, channel, hours, weight, priority): one decision after another, hence one task."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fair_order(group, target, most, share), columns=["episode_id", "channel", "hours", "place"])
-
-    return episodes.groupBy().applyInPandas(run, "episode_id long, channel string, hours double, place long")
-
-
-def cover(rows: pd.DataFrame, facets: list[str], size: int) -> list:
-    """Ids chosen one by one for the most facet values not seen yet; ties go to the greater digest."""
-    left = {r.id: {f"{f}:{getattr(r, f)}" for f in facets} for r in rows.itertuples(index=False)}
-    open_, out = set().union(*left.values()) if left else set(), []
-    while left and len(out) < size:
-        best = max(left, key=lambda i: (len(left[i] & open_), _digest(i)))
-        open_ -= left.pop(best)
-        out.append(best)
-    return out
-
-
-def set_cover(rows: DataFrame, facets: list[str], size: int) -> DataFrame:
-    """(id, place) of `cover`. Rows of equal facets are alike but for their digest, so only `size` of greatest digest are kept of each."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy(*facets).orderBy(F.desc(F.sha2(F.col("id").cast("string"), 256)))
-    few = rows.select("id", *facets).withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= size).drop("_r")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        chosen = cover(group, facets, size)
-        return pd.DataFrame({"id": chosen, "place": range(1, len(chosen) + 1)})
-
-    return few.groupBy().applyInPandas(run, "id long, place long")
-
-
-def drifting(plan: list[tuple], ends: list[float], offset: float = 0.0) -> list[tuple]:
-    """(number of turns, offset) for each planned (start, end): turns that end in its window, shifted by an offset that follows the clock."""
-    out = []
-    for i, (start, end) in enumerate(plan):
-        high = plan[i + 1][0] if i + 1 < len(plan) else float("inf")
-        own = [e for e in ends if start + offset - 1.5 <= e < high + offset - 1.5]
-        if own:
-            near = min(own, key=lambda e: abs(e - end - offset))
-            offset = 0.7 * offset + 0.3 * (near - end)
-        out.append((len(own), round(offset, 3)))
-    return out
-
-
-def drifting_match(plan: DataFrame, turns: DataFrame) -> DataFrame:
-    """(session, id, turns, offset) of plan (session, id, start, stop) and turns (session, stop), session by session."""
-
-    def run(key, planned: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
-        planned = planned.sort_values(["start", "id"])
-        got = drifting(list(zip(planned["start"], planned["stop"], strict=True)), sorted(heard["stop"]))
-        return pd.DataFrame({"session": key[0], "id": planned["id"], "turns": [n for n, _ in got], "offset": [o for _, o in got]})
-
-    return plan.groupBy("session").cogroup(turns.groupBy("session")).applyInPandas(run, "session long, id long, turns long, offset double")
+        if not best["new"]:
+            chosen += [r["id"] for r in left.orderBy(F.desc("digest")).limit(size - len(chosen)).collect()]
+            break
+        chosen.append(best["id"])
+        seen = sorted({*seen, *[best[f"_f{i}"] for i in range(len(facets))]})
+    spark = rows.sparkSession
+    return spark.createDataFrame([(x, i + 1) for i, x in enumerate(chosen)], f"id {rows.schema['id'].dataType.simpleString()}, place long")

@@ -203,3 +203,37 @@ def unseen(d) -> str:
 
 
 add("quantile_unseen", unseen)
+
+# ---- turns in windows that drift -------------------------------------------------------------------
+
+#: Seconds that a clock may move away from its first offset.
+DRIFT = 120
+
+
+def drifting(d) -> str:
+    """Planned turns with the number of heard ends in their windows, shifted by an offset that follows the clock.
+
+    The first offset is the median distance of a session's first eight heard ends to the nearest of its first twelve planned ones.
+    """
+    near = lambda own: (f"array_min(transform({own}, w -> struct(abs(w - x.stop - ({SHIFT})) AS k, w AS v))).v" if d.name == "spark" else f"list_sort(list_transform({own}, lambda w: {{'k': abs(w - x.stop - ({SHIFT})), 'v': w}}))[1].v")
+    own = d.filter("x.heard", f"w >= x.start + ({SHIFT}) - 1.5e0 AND w < x.high + ({SHIFT}) - 1.5e0")
+    moved = f"CASE WHEN {d.size(own)} = 0 THEN {SHIFT} ELSE 0.7e0 * ({SHIFT}) + 0.3e0 * ({near(own)} - x.stop) END"
+    return fold(
+        d, f"""raw AS (SELECT conv_id, turn, turn * 13e0 AS start, turn * 13e0 + 4 AS stop, turn * 13.02e0 + 4.5e0 + length(text) % 3 + conv_id % 5 AS ends FROM conversations),
+plan AS (SELECT conv_id, turn, start, stop, coalesce(lead(start) OVER w, 1e12) AS high, row_number() OVER w AS nth FROM raw WINDOW w AS (PARTITION BY conv_id ORDER BY start, turn)),
+early AS (SELECT conv_id, turn, ends FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY ends, turn) AS nth FROM raw) e WHERE nth <= 8),
+gap AS (SELECT e.conv_id, e.turn, e.ends - p.stop AS gap, row_number() OVER (PARTITION BY e.conv_id, e.turn ORDER BY abs(e.ends - p.stop), p.nth) AS r FROM early e JOIN plan p ON p.conv_id = e.conv_id AND p.nth <= 12),
+initial AS (SELECT conv_id, {d.median('gap')} AS initial FROM gap WHERE r = 1 GROUP BY conv_id),
+ready AS (SELECT p.conv_id, p.turn, p.start, p.stop, p.high, i.initial FROM plan p JOIN initial i ON i.conv_id = p.conv_id),
+heard AS (SELECT p.conv_id, p.turn, p.start, p.stop, p.high, p.initial, {d.gathered('r.ends', 'r.ends')} AS heard FROM {binned(d, 'ready', f'start + initial - {DRIFT}', f'least(high, start + {DRIFT}) + initial + {DRIFT}')} p
+  JOIN {binned(d, 'raw', 'ends', 'ends')} r ON r.conv_id = p.conv_id{'' if d.name == 'duck' else ' AND r.bin = p.bin'} AND r.ends BETWEEN p.start + p.initial - {DRIFT} AND least(p.high, p.start + {DRIFT}) + p.initial + {DRIFT}
+  GROUP BY p.conv_id, p.turn, p.start, p.stop, p.high, p.initial),
+lined AS (SELECT p.*, coalesce(h.heard, {"CAST(array() AS array<double>)" if d.name == "spark" else "CAST([] AS DOUBLE[])"}) AS heard FROM ready p LEFT JOIN heard h ON h.conv_id = p.conv_id AND h.turn = p.turn)""",
+        "SELECT * FROM lined", "conv_id", "start, turn", "turn start stop high initial heard",
+        {"shift": ("CAST(NULL AS double)", moved)},
+        {"heard_turns": f"CAST({d.size(own)} AS bigint)", "shift_": f"CAST({moved} AS double)"}) + \
+        "\nSELECT g AS conv_id, turn, heard_turns AS turns, round(shift_, 3) AS shift FROM folded"
+
+
+SHIFT = "coalesce(a.shift, x.initial)"
+add("drifting_turns", drifting)

@@ -45,23 +45,17 @@ def clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def weighted_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 400).alias("episode_id")).agg(
-        F.min("o_orderpriority").alias("channel"), F.round(F.sum("o_totalprice") / 3.6e6, 6).alias("hours"))
+    orders = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("episode_id")).agg(
+        F.min("o_orderpriority").alias("channel"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("size"))
     rows = orders.withColumns({"weight": F.lit(1.0) / (1 + F.length("channel") % 4), "priority": (F.col("episode_id") % 3).cast("int")})
-    return selection.weighted_fair(rows, 100.0, 110.0, 0.55)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    return selection.fair_shares(rows, total // 4, total // 4 + total // 1000, 0.55)
 
 
 @query()
 def set_cover_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", (F.col("n_chars") % 5).alias("bucket"))
-    return selection.set_cover(rows, ["lang", "source", "bucket"], 40)
-
-
-@query()
-def drifting_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", F.length("text").alias("n"))
-    plan = rows.select("session", F.col("turn").alias("id"), (F.col("turn") * 13.0).alias("start"), (F.col("turn") * 13.0 + 4).alias("stop"))
-    return selection.drifting_match(plan, rows.select("session", (F.col("turn") * 13.02 + 4.5 + F.col("n") % 3).alias("stop")))
+    return selection.covering(rows, ["lang", "source", "bucket"], 40)
 
 
 @query()
