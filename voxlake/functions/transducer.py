@@ -39,7 +39,7 @@ def rewritten(d, x: str, table: Mapping[str, str] = ROMAN, same: str = "^[a-z]$"
     one = _lookup(d, "w", table, f"CASE WHEN {d.like('w', same)} THEN w END")
     mapped = d.map(tokens(d, x, table), one)
     failed = d.some(mapped, "w IS NULL")
-    return f"CASE WHEN {failed} THEN NULL ELSE coalesce({d.glued(mapped, '')}, '') END"
+    return f"CASE WHEN {x} IS NULL OR {failed} THEN NULL ELSE coalesce({d.glued(mapped, '')}, '') END"
 
 
 def romanised(d, x: str) -> str:
@@ -53,4 +53,4 @@ def romanised(d, x: str) -> str:
     word = f"(CASE WHEN {{0}} <> '' THEN concat(' ', {{0}}, {{1}}) WHEN {{0}} = '' THEN {{1}} END)".format(rewritten(d, body), f"coalesce({d.glued(trail, '')}, '')")
     words = d.map(d.filter(d.split(x, " "), "w <> ''"), word)
     line = f"coalesce({d.glued(words, '')}, '')"
-    return f"CASE WHEN {d.some(words, 'w IS NULL')} THEN NULL ELSE {d.replace(line, '^[^ ]* ?', '')} END"
+    return f"CASE WHEN {x} IS NULL OR {d.some(words, 'w IS NULL')} THEN NULL ELSE {d.replace(line, '^[^ ]* ?', '')} END"
