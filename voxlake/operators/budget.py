@@ -30,7 +30,7 @@ def running(rows: DataFrame, order: Sequence[Column], sums: Sequence[str]) -> Da
     base = ranges.select("_g", "_at", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
     within = Window.partitionBy("_g", "_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = dealt.select("*", *[F.sum(c).over(within).alias(f"_w_{c}") for c in sums])
-    own = own.join(base, ["_g", "_at"]).withColumns({f"run_{c}": F.col(f"_b_{c}") + F.col(f"_w_{c}") for c in sums})
+    own = own.withColumnsRenamed({"_g": "_gl", "_at": "_al"}).join(base, F.col("_gl").eqNullSafe(F.col("_g")) & (F.col("_al") == F.col("_at"))).drop("_g", "_al").withColumnRenamed("_gl", "_g").withColumns({f"run_{c}": F.col(f"_b_{c}") + F.col(f"_w_{c}") for c in sums})
     return own.drop("_at", *[f"_{k}_{c}" for k in "bw" for c in sums])
 
 
@@ -75,3 +75,9 @@ def budgeted(rows: DataFrame, group: str, order: Sequence[Column], size: str, ca
         left = stored(rest, "budget")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, kept)
+
+
+def placed(rows: DataFrame, group: str | None, order: Sequence[str]) -> DataFrame:
+    """`rows` with `place`: the place of each in its group (None: of all rows), from 1, in ascending order; ties must not occur."""
+    own = rows.select("*", (F.col(group) if group else F.lit(0)).alias("_g"), F.lit(1).alias("_one"))
+    return running(own, [F.col(c) for c in order], ["_one"]).select(*rows.columns, F.col("run__one").cast("long").alias("place"))

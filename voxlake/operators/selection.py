@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.sources.places import stored
 
-from .budget import budgeted, running
+from .budget import budgeted, placed, running
 
 
 def fair_shares(episodes: DataFrame, target: int, most: int, share: float) -> DataFrame:
@@ -43,16 +43,10 @@ def fair_shares(episodes: DataFrame, target: int, most: int, share: float) -> Da
         total = taken.agg(F.coalesce(F.max("run_size"), F.lit(0))).first()[0]
         misfits = line.where(~fits & (F.col("size") > most - total))
         if total >= target or misfits.isEmpty():
-            place = _places(taken.withColumn("_g", F.lit(0)), order)
-            return place.select("episode_id", "channel", "size", "place")
+            return placed(taken, None, ["due", "priority", "channel", "digest", "episode_id"]).select("episode_id", "channel", "size", "place")
         left = stored(left.join(misfits.select("episode_id"), "episode_id", "left_anti"), "episodes")
 
 
-def _places(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows with their place in the order, from 1, by ranges."""
-    return running(rows.withColumn("one", F.lit(1)), order, ["one"]).withColumn("place", F.col("run_one").cast("long"))
-
-
 def covering(rows: DataFrame, facets: list[str], size: int) -> DataFrame:
     """(id, place) of `size` rows, each with the most facet values that none before it has; equals go by the greater digest of id.
 

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxlake.functions.dialect import Duck, Spark
+from voxlake.operators.budget import placed
+
 from .catalogue import PAIRS, binned, one_bin, segments
-from .sql import add
+from .registry import query
+from .sql import add, opened
 
 # ---- decisions -----------------------------------------------------------------------------------
 
@@ -20,11 +27,20 @@ SELECT d.doc_id, count(r.nth) AS reviews, coalesce({d.arg_max('r.quality', 'r.nt
        coalesce({d.glued(d.gathered('cast(r.quality AS string)', 'r.nth'), ',') if d.name == 'spark' else "string_agg(r.quality::VARCHAR, ',' ORDER BY r.nth)"}, '') AS history
 FROM documents d LEFT JOIN (SELECT doc_id, nth, max(quality) AS quality FROM r GROUP BY doc_id, nth) r ON d.doc_id = r.doc_id GROUP BY d.doc_id""")
 
-add("ordered_windows", lambda d: f"""
-WITH chosen AS (SELECT session_id, row_number() OVER (ORDER BY hours DESC, session_id) AS place FROM (
-  SELECT session_id, sum(hours) AS hours FROM ({PAIRS}) p WHERE session_id % 5 = 0 GROUP BY session_id) x)
-SELECT CAST(c.place AS bigint) AS place, c.session_id, count(*) AS windows, {d.glued(d.gathered('cast(p.pair_id AS string)', 'p.pair_id'), ',')} AS pair_ids
-FROM chosen c JOIN ({PAIRS}) p ON p.session_id = c.session_id GROUP BY c.place, c.session_id""")
+CHOSEN = f"SELECT session_id, sum(hours) AS hours FROM ({PAIRS}) p WHERE session_id % 5 = 0 GROUP BY session_id"
+
+
+def _windows(d, ranked: str) -> str:
+    return f"""SELECT CAST(c.place AS bigint) AS place, c.session_id, count(*) AS windows, {d.glued(d.gathered('cast(p.pair_id AS string)', 'p.pair_id'), ',')} AS pair_ids
+FROM {ranked} c JOIN ({PAIRS}) p ON p.session_id = c.session_id GROUP BY c.place, c.session_id"""
+
+
+@query(_windows(Duck(), f"(SELECT session_id, row_number() OVER (ORDER BY round(hours, 6) DESC, session_id) AS place FROM ({CHOSEN}) x)"))
+def ordered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all sessions come from sums over ranges, so no task sees every session."""
+    rows = opened(spark, sf_dir, CHOSEN).select("session_id", (-F.round("hours", 6)).alias("less"))
+    return opened(spark, sf_dir, _windows(Spark(), "{ranked}"), ranked=placed(rows, None, ["less", "session_id"]))
+
 
 add("ratings_match", lambda d: """
 WITH meta AS (SELECT doc_id AS session, lang AS speaker, n_chars % 3 AS age FROM documents),

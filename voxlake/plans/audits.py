@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxlake.functions.dialect import Duck, Spark
+from voxlake.operators.budget import placed
+
 from .catalogue import PAIRS, UTTERANCES, segments, utt_split
 from .predicates import NOISE
-from .sql import add
+from .registry import query
+from .sql import add, opened
 
 # ---- manifests -----------------------------------------------------------------------------------
 
@@ -209,15 +216,37 @@ add("fresh_panel", lambda d: f"""
 WITH s AS (SELECT source, {d.sha('source')} AS h FROM documents GROUP BY source), r AS (SELECT source, row_number() OVER (ORDER BY h) AS r FROM s)
 SELECT source, doc_id FROM (SELECT x.source, x.doc_id, row_number() OVER (PARTITION BY x.source ORDER BY {d.sha('cast(x.doc_id AS string)')}, x.doc_id) AS k
   FROM documents x JOIN r ON x.source = r.source WHERE r.r > 5 AND r.r <= 12) y WHERE k <= 4""")
-add("balanced_folds", lambda d: f"""
-WITH n AS (SELECT min(n) AS least FROM (SELECT quality, count(*) AS n FROM labels GROUP BY quality) x)
-SELECT l.doc_id, l.quality, {d.hexint('substr(md5(d.source), 1, 7)')} % 5 AS fold FROM (
-  SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {d.sha('cast(doc_id AS string)')}, doc_id) AS r FROM labels) l CROSS JOIN n JOIN documents d ON d.doc_id = l.doc_id WHERE l.r <= n.least""")
-add("filled_balance", lambda d: f"""
-WITH k AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'positive' WHEN quality = 0 THEN 'backchannel' ELSE 'clean' END AS kind FROM labels),
-r AS (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind = 'positive' ORDER BY CASE kind WHEN 'clean' THEN 1 ELSE 0 END, {d.sha('cast(doc_id AS string)')}, doc_id) AS r FROM k),
-p AS (SELECT count(*) * 4 AS n FROM k WHERE kind = 'positive')
-SELECT r.doc_id, r.kind FROM r CROSS JOIN p WHERE r.kind = 'positive' OR r.r <= p.n""")
+
+
+def _folds(d, ranked: str) -> str:
+    return f"""WITH n AS (SELECT min(n) AS least FROM (SELECT quality, count(*) AS n FROM labels GROUP BY quality) x)
+SELECT l.doc_id, l.quality, {d.hexint('substr(md5(d.source), 1, 7)')} % 5 AS fold FROM {ranked} l CROSS JOIN n JOIN documents d ON d.doc_id = l.doc_id WHERE l.place <= n.least"""
+
+
+KINDS = "SELECT doc_id, CASE WHEN toxic = 1 THEN 'positive' WHEN quality = 0 THEN 'backchannel' ELSE 'clean' END AS kind FROM labels"
+
+
+def _filled(ranked: str) -> str:
+    return f"""WITH p AS (SELECT count(*) * 4 AS n FROM ({KINDS}) k WHERE kind = 'positive')
+SELECT r.doc_id, r.kind FROM {ranked} r CROSS JOIN p WHERE r.kind = 'positive' OR r.place <= p.n"""
+
+
+DUCK = Duck()
+
+
+@query(_folds(DUCK, "(SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY sha256(doc_id::VARCHAR), doc_id) AS place FROM labels)"))
+def balanced_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places within a class come from sums over ranges, as a class may hold most rows."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    return opened(spark, sf_dir, _folds(Spark(), "{ranked}"), ranked=placed(rows, "quality", ["h", "doc_id"]))
+
+
+@query(_filled(f"(SELECT doc_id, kind, row_number() OVER (PARTITION BY kind = 'positive' ORDER BY CASE kind WHEN 'clean' THEN 1 ELSE 0 END, sha256(doc_id::VARCHAR), doc_id) AS place FROM ({KINDS}) k)"))
+def filled_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = opened(spark, sf_dir, KINDS).select("*", (F.col("kind") == "positive").alias("of"), (F.col("kind") == "clean").alias("last"), F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    return opened(spark, sf_dir, _filled("{ranked}"), ranked=placed(rows, "of", ["last", "h", "doc_id"]))
+
+
 add("arm_order", lambda d: f"""
 SELECT row_id, arm, CAST(row_number() OVER (PARTITION BY row_id ORDER BY {d.sha('''concat_ws('|', 'stage', '7', cast(row_id AS string), cast(arm AS string))''')}) AS bigint) AS place FROM ({SCORES}) x""")
 add("recent_history", lambda d: """

@@ -158,8 +158,8 @@ SELECT channel, session_id, pair_id, place FROM (
 # ---- joins ---------------------------------------------------------------------------------------
 
 add("qa_apply", lambda d: """
-SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_sampled' WHEN l.quality = 1 THEN 'approved' ELSE 'rejected' END AS review
-FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id""")
+SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_sampled' WHEN l.n > 1 THEN 'refused_repeated' WHEN l.quality = 1 THEN 'approved' ELSE 'rejected' END AS review
+FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, count(*) AS n FROM (SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id % 20 = 0) x GROUP BY doc_id) l ON d.doc_id = l.doc_id""")
 add("rights_apply", lambda d: """
 SELECT c.c_custkey, n.n_name AS scope, coalesce(r.r_name, 'none') AS permission
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")

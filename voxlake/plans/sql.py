@@ -16,12 +16,14 @@ TABLES = (
 ).split()
 
 
-def opened(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """The rows of Spark SQL over the test tables; only those that it names are opened."""
+def opened(spark: SparkSession, sf_dir: str, text: str, **more: DataFrame) -> DataFrame:
+    """The rows of Spark SQL over the test tables, of which those that it names are opened, and over DataFrames that it names in braces."""
     used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
     frames = {f"t_{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
     named = text.replace("{", "{{").replace("}", "}}")
-    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {t_\2}", named), **frames)
+    for name in more:
+        named = named.replace(f"{{{{{name}}}}}", f"{{{name}}}")
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {t_\2}", named), **frames, **more)
 
 
 def add(name: str, build: Callable[[Spark], str], oracle: bool = True) -> None:

@@ -92,10 +92,10 @@ def stream_hold_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sessions(spark, sf_dir, stateful.HoldBack)
 
 
-@query("SELECT count(*) AS acks FROM (SELECT DISTINCT user_id, event_id // 2 AS turn FROM events) x")
+@query("SELECT DISTINCT user_id, event_id // 2 AS turn FROM events")
 def stream_acks(spark: SparkSession, sf_dir: str) -> DataFrame:
     acks = _replayed(spark, sf_dir).select(F.col("key").alias("session"), F.expr("seq div 2").alias("turn"), "ts", "value")
-    return landed(stateful.latest_acks(acks, "400 days")).agg(F.count("*").alias("acks"))
+    return landed(stateful.latest_acks(acks, "400 days")).select(F.col("session").alias("user_id"), "turn")
 
 
 @query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, ts, value FROM events)

@@ -83,7 +83,7 @@ def remaining(rows: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
 
 def memory_peaks(samples: DataFrame, roles: DataFrame) -> DataFrame:
     """(stamp, pid, mib) of processes and (pid, role) -> one row: samples, peak by role, peak of the stamps that have all roles."""
-    by = samples.join(F.broadcast(roles), "pid").groupBy("stamp", "role").agg(F.sum("mib").alias("mib"))  # a row per process
+    by = samples.join(roles, "pid").groupBy("stamp", "role").agg(F.sum("mib").alias("mib"))  # a row per process
     n = roles.select("role").distinct().count()
     totals = by.groupBy("stamp").agg(F.sum("mib").alias("total"), F.count("*").alias("n"))
     peaks = by.groupBy("role").agg(F.max("mib").alias("peak"))
