@@ -498,17 +498,40 @@ def test_mixing_keeps_columns_of_any_name(spark):
 
 
 def test_terms_disclose_one_entity_everywhere(spark):
-    """A name that shares documents with one address goes wherever it stands, far from it or without it; common words stay."""
+    """A name that shares documents with one address goes wherever it stands, beside it or without it; common words and rare ones of one document stay."""
     far = " some plain words" * 9
-    rows = [(i, f"plain words some {i % 7}") for i in range(60)]
-    rows += [(100 + i, f"Zanthorpe lives here{far} z@x.org") for i in range(3)] + [(200, f"Zanthorpe was seen{far}"), (201, f"Quill{far} q@x.org")]
-    df = spark.createDataFrame([(i, t + " here lives was seen" * (i < 60)) for i, t in rows], "doc_id long, text string")
+    rows = [(i, f"plain words some {i % 7} odd{i}") for i in range(1000, 1800)]
+    rows += [(100 + i, f"Zanthorpe lives here{far} z@x.org note{i}") for i in range(4)] + [(200, f"Zanthorpe was seen{far}"), (201, f"Quill{far} q@x.org")]
+    df = spark.createDataFrame([(i, t + " here lives was seen" * (i >= 1000)) for i, t in rows], "doc_id long, text string")
     for limit in (1000, 0):  # broadcast terms, joined terms
         got = {r["doc_id"]: r for r in pii.personal_data(df, broadcast_terms=limit).collect()}
         assert got[200]["sanitised"] == f"[term] was seen{far}" and got[200]["spans"] == "term:0:9"
-        assert got[100]["sanitised"] == f"[term] lives here{far} [email]"
-        assert got[201]["sanitised"] == f"[term]{far} [email]"
-        assert all("term" not in got[i]["spans"] for i in range(60))
+        assert got[100]["sanitised"] == f"[term] lives here{far} [email] note0"
+        assert got[201]["sanitised"] == f"Quill{far} [email]"
+        assert all("term" not in got[i]["spans"] for i in range(1000, 1800))
+
+
+def test_terms_of_planted_names(spark):
+    """Names that go with addresses are found; rare words, copies of texts with addresses, and pages that list many are no names."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    common, names, texts = [word(4) for _ in range(300)], [(word(9), f"{word(6)}@mail.org") for _ in range(30)], []
+    prose = lambda n: r.choices(common, k=n) + [word(8) for _ in range(n // 10)]
+    for name, mail in names:
+        for _ in range(r.randint(4, 7)):
+            words = prose(30)
+            words.insert(r.randrange(30), name)
+            texts.append(" ".join(words) + f" {mail} " + " ".join(prose(20)))
+        texts.append(" ".join([*prose(30), name]))
+    for _ in range(20):
+        copy = " ".join([*prose(200), word(9) + "@copy.org", *prose(200), *[word(8) for _ in range(60)], word(9) + "@copy.org", *[word(8) for _ in range(60)]])
+        texts += [copy] * r.randint(2, 9)
+    texts += [" ".join(x for _ in range(80) for x in (word(8), f"{word(7)}@list.org")) for _ in range(5)]
+    texts += [" ".join(prose(80)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x["term"] for x in pii.disclosing(df).collect()}
+    true = {n for n, _ in names}
+    assert len(got & true) >= 0.9 * len(true) and len(got - true) < len(got & true)
 
 
 def words_of(text):
@@ -543,13 +566,14 @@ def test_licenses_are_brute_force(spark, docs, empty):
 
 
 def test_disclosing_terms_are_brute_force(spark):
+    from math import e as euler
     from math import log2
 
     r = random.Random(8)
-    vocabulary = ["".join(r.choices("abcdefgh", k=4)) for _ in range(60)]
+    vocabulary = ["".join(r.choices("abcdefgh", k=4)) for _ in range(160)]
     people = {f"u{i}@mail.org": f"name{'abcdefghij'[i]}" for i in range(10)}
     texts = []
-    for i in range(240):
+    for i in range(900):
         words = r.choices(vocabulary, k=r.randint(3, 25))
         if i % 3 == 0:
             mail, name = r.choice(list(people.items()))
@@ -560,7 +584,7 @@ def test_disclosing_terms_are_brute_force(spark):
     texts += texts[:5] + [None, ""]  # repeated rows, no text
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {x["term"]: x["bits"] for x in pii.disclosing(docs).collect()}
-    n, beside, in_docs, entity_docs, different = {}, {}, {}, {}, {}
+    n, beside, in_docs, entity_docs, different, context = {}, {}, {}, {}, {}, {}
     for i, t in enumerate(t or "" for t in texts):
         spans = pii.base_spans(t)
         for w in re.findall(r"[^\W_]+", t.lower()):
@@ -575,15 +599,25 @@ def test_disclosing_terms_are_brute_force(spark):
             for a, _, w in pii._beside(t, [(kind, s, e)]):
                 if (a, w) in outside:
                     different.setdefault(w, set()).add(t[s:e].lower())
+            around = {w for a, _, w in pii._beside(t, [(kind, s, e)], pii.CONTEXT) if (a, w) in outside}
+            context.setdefault((i, t[s:e].lower()), set()).update(around)
     prior, want = sum(beside.values()) / sum(n.values()), {}
     for w, k in beside.items():
-        if k >= pii.LEAST_SHARE * n[w] and len(different.get(w, ())) >= pii.LEAST_BESIDE:
+        rare = k * log2(euler * n[w] * prior / k) + log2(len(n)) <= log2(pii.CHANCE)
+        if rare and k >= pii.LEAST_SHARE * n[w] and len(different.get(w, ())) >= pii.LEAST_BESIDE:
             want[w] = max(want.get(w, -1), log2(k / n[w] / prior))
-    for w, own in in_docs.items():
-        for with_entity in entity_docs.values():
-            both = len(own & with_entity)
-            if both and both >= pii.LEAST_SHARE * len(own):
-                want[w] = max(want.get(w, -1), log2(both / len(own) / len(with_entity) * len(texts)))
+    pairs = {}
+    contexts = {k: {frozenset(x) for (_, of), x in context.items() if of == k} for k in entity_docs}
+    repeated = {k: v for k, v in contexts.items() if len(v) > 1}
+    for k, v in repeated.items():
+        for w, own in in_docs.items():
+            both, m, d = sum(w in x for x in v), len(v), len(own)
+            if both > 1 and both >= pii.LEAST_SHARE * d and (bits := log2(both / d / m * len(texts))) >= pii.LEAST_BITS:
+                if both * log2(euler * m * d / len(texts) / both) + log2(len(n) * len(repeated)) <= log2(pii.CHANCE):
+                    pairs.setdefault(k, {})[w] = bits
+    for own in pairs.values():
+        for w, bits in own.items() if len(own) <= pii.MOST_TERMS else ():
+            want[w] = max(want.get(w, -1), bits)
     want = {w: b for w, b in want.items() if b >= pii.LEAST_BITS}
     assert set(got) == set(want) and all(abs(got[w] - want[w]) < 1e-9 for w in want)
     assert {"write", *people.values()} & set(got) and not set(vocabulary) & set(got) - set(want)
