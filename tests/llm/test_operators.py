@@ -401,6 +401,8 @@ def test_pages(spark):
         ("<body><form id=all><nav>n</nav><main class=widget><p>a</p></main></form></body>", "a"),
         ("<body><article>a<div class=comments><article class=comment>c</article></div></article><div class=comments><article class=comment>d</article></div></body>", "a"),
         ("<body><aside><article>teaser</article></aside><article>a<div class='ad big'>buy</div></article></body>", "a"),
+        ("<body><div class='main-sidebar'>s</div><article class='no-sidebar share-price'>a<ul class=comment-list><li>c</li></ul><div id=cookie_banner>k</div><p class=share-price>9</p></article></body>", "a\n9"),
+        ("<body><article><div " + " ".join(f"data-{i}='{i}'" for i in range(200)) + ">a</div><p onclick=\"" + "x<'" * 5_000 + "\">b</p></article></body>", "a\nb"),
     ],
 )
 def test_class_names_never_drop_the_article(page, want):

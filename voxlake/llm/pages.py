@@ -41,12 +41,17 @@ NOISE_WORDS = frozenset(
     "footer header masthead menu nav navbar navigation newsletter notice notices popup promo related reply replies share "
     "sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Beside a noise word, these make a name of several words one of a part of the page (`comment-list`, `site-footer`); others don't (`share-price`, `no-sidebar`).
+PART_WORDS = frozenset(
+    "area banner bar block bottom box button buttons container form global group icons inner item items left links list main outer "
+    "panel post posts primary right secondary section signup site slot top unit wrap wrapper zone".split()
+)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert form menu dialog".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b([^>]*)>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    # no backtracking, and at most 300 pieces in a tag, so that a tag that never ends costs the same anywhere
-    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^<>\"']++|<|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'){0,300}+)>|[^<]+|<",
+    # no backtracking, and at most 1,024 pieces in a tag, so that a tag that never ends costs the same anywhere
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^<>\"']++|<|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,65536}+\"|'[^']{0,65536}+'){0,1024}+)>|[^<]+|<",
     re.S | re.I,
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -55,10 +60,17 @@ _SPACE = re.compile(r"\s+")
 HOLDERS = frozenset("form fieldset".split())
 
 
+def _noise_name(name: str) -> bool:
+    if name in NOISE_WORDS:
+        return True
+    words = re.split("[-_]+", name)
+    return len(words) > 1 and not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in PART_WORDS for w in words)
+
+
 def _noisy(attrs: str) -> bool:
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and not NOISE_WORDS.isdisjoint(value.split()):
+        if name in ("class", "id") and any(map(_noise_name, value.split())):
             return True
         if name == "role" and value in NOISE_ROLES or name == "aria-hidden" and value == "true":
             return True
@@ -96,7 +108,7 @@ def blocks(page: str) -> list[tuple[int, bool, bool, str]]:
     """(key of the path, whether it is never main text, whether it is in an article, text) of every block in page order.
 
     The path are the names of the open elements, with marks on those whose
-    contents are never main text. Classes and ids count as whole names, and mark neither html and
+    contents are never main text. Classes and ids count as whole names, or by their words if all of these name parts of a page; they mark neither html and
     body nor an outermost article or main and what it stands in; an article that
     is itself of a marked class counts as such only if the page has no other.
     Inline elements, unclosed paragraphs and stray end tags are taken as browsers
