@@ -214,14 +214,25 @@ def close(d, a: str, b: str) -> str:
     return f"({a} = {b} OR ({short} >= 3 AND ({edges} OR (abs(length({a}) - length({b})) <= 1 AND levenshtein({a}, {b}) = 1))))"
 
 
-add("fuzzy_echo", lambda d: f"""
+def strictly_close(d, a: str, b: str) -> str:
+    """The stricter of the two rules: equal, or one edit apart for words of four letters or more."""
+    return f"({a} = {b} OR (least(length({a}), length({b})) >= 4 AND abs(length({a}) - length({b})) <= 1 AND levenshtein({a}, {b}) = 1))"
+
+
+def echoes(d, near) -> str:
+    """Tokens of a turn that are no words of the turn before, by a rule for words as they were heard."""
+    return f"""
 WITH t AS (SELECT conv_id, turn, {d.words(d.replace('lower(text)', '[^a-z ]', ''))} AS ws FROM conversations),
 u AS (SELECT conv_id, turn, {'array_distinct(ws)' if d.name == 'spark' else 'list_distinct(ws)'} AS ds FROM t),
 x AS (SELECT conv_id, turn, {d.explode('ws', 'token')} FROM t),
 a AS (SELECT conv_id, turn, {d.explode('ds', 'token')} FROM u), b AS (SELECT conv_id, turn + 1 AS turn, {d.explode('ds', 'word')} FROM u)
 SELECT x.conv_id, x.turn, x.token, count(*) AS places FROM x LEFT JOIN (
-  SELECT DISTINCT a.conv_id, a.turn, a.token FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND {close(d, 'a.token', 'b.word')}) e
-ON x.conv_id = e.conv_id AND x.turn = e.turn AND x.token = e.token WHERE e.token IS NULL GROUP BY x.conv_id, x.turn, x.token""")
+  SELECT DISTINCT a.conv_id, a.turn, a.token FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND {near(d, 'a.token', 'b.word')}) e
+ON x.conv_id = e.conv_id AND x.turn = e.turn AND x.token = e.token WHERE e.token IS NULL GROUP BY x.conv_id, x.turn, x.token"""
+
+
+add("fuzzy_echo", lambda d: echoes(d, close))
+add("strict_echo", lambda d: echoes(d, strictly_close))
 
 # ---- clocks, arrays, maps ------------------------------------------------------------------------
 
