@@ -276,14 +276,15 @@ SQL = f"""WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda v: v <> '') AS ws FROM p),
 t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
-g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM w, range(1, 5) AS r(m), unnest(range(1, len(ws) - m + 2)) AS u(i)),
-c AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= {MIN_COUNT}),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (
+  SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM (SELECT lang, ws, unnest([1, 2, 3, 4]) AS m FROM w) v) v2),
+c AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= {MIN_COUNT}),
 k AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS ws FROM c WHERE m > 1),
-s AS (SELECT k.lang, k.phrase, k.m, k.f AS a, j, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * k.f) // (l.f + r.f) AS BIGINT) AS score
-  FROM k, range(1, 4) AS x(j), c l, c r WHERE j < k.m AND l.lang = k.lang AND r.lang = k.lang
-  AND l.phrase = array_to_string(ws[1:j], ' ') AND r.phrase = array_to_string(ws[j + 1:k.m], ' ')),
+u AS MATERIALIZED (SELECT lang, phrase, m, f, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:m], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS j FROM k) v),
+s AS (SELECT u.lang, u.phrase, u.m, u.f AS a, j, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * u.f) // (l.f + r.f) AS BIGINT) AS score
+  FROM u JOIN c l ON l.lang = u.lang AND l.phrase = u.head JOIN c r ON r.lang = u.lang AND r.phrase = u.tail),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
-x AS (SELECT lang, f, array_to_string(ws[i:i + j - 1], ' ') AS phrase FROM k, range(2, 4) AS y(j), range(1, 4) AS z(i) WHERE j < m AND i + j - 1 <= m),
+x AS MATERIALIZED (SELECT lang, f, array_to_string(ws[i:i + j - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM k) v) v2),
 e AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN x ON x.lang = b.lang AND x.phrase = b.phrase WHERE 100 * x.f >= {EXPLAINED} * b.a),
 o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.lang = b.lang AND e.phrase = b.phrase))
 SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, score
