@@ -72,7 +72,7 @@ def episode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, count(DISTINCT lang) AS files, count(*) > 0 AS filled FROM documents GROUP BY lang")
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "listed")
-    _table(spark, sf_dir, "documents").select("doc_id", "lang").repartition(1).write.partitionBy("lang").json(path)
+    _table(spark, sf_dir, "documents").select("doc_id", "lang").repartition("lang").write.partitionBy("lang").json(path)
     found = readers.listing(spark, path, "*.json").select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), "length")
     return found.groupBy("lang").agg(F.count("*").alias("files"), (F.sum("length") > 0).alias("filled"))
 
