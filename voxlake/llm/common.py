@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import string
 import tempfile
@@ -162,11 +164,21 @@ def components(links: DataFrame) -> DataFrame:
 _held: dict[str, Callable[[], None]] = {}
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine, as far as the C library can: a worker goes on with another operator beside the JVM."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def hold(owner: str, clear: Callable[[], None]) -> None:
     """A worker's memory of words belongs to one operator at a time: those of others are cleared, as workers outlive steps."""
     if owner not in _held:
         for other in _held.values():
             other()
+        if _held:
+            _give_back()
         _held.clear()
         _held[owner] = clear
 

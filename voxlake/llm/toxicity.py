@@ -27,7 +27,7 @@ FEATURES, OWN_WINDOWS, WINDOWS = 20_000, 4, 6_000
 WINDOW, STEPS = 32, 120
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
-CACHED_WORDS = 200_000
+CACHED_WORDS = 80_000
 
 #: Largest evidence of a token, in nats: e to it is still far from the largest double.
 MOST_EVIDENCE = 300.0
