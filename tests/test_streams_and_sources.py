@@ -11,7 +11,7 @@ import voxlake.plans.library  # noqa: F401
 from voxlake.functions.dialect import Duck, Spark
 from voxlake.functions.transducer import ROMAN, romanised
 from voxlake.operators.budget import budgeted
-from voxlake.plans.registry import QUERIES
+from voxlake.plans.registry import ORACLE, QUERIES
 from voxlake.sources import fenced, pcm
 from voxlake.streaming import batches, turns
 
@@ -248,3 +248,37 @@ def test_the_longest_sequence_is_written(spark):
     duck = duckdb.connect()
     duck.execute("CREATE TABLE x AS SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts) if t is not None) + ") v(i, t)")
     assert {i: v for i, v in duck.sql(f"SELECT i, {romanised(Duck(), 't')} FROM x").fetchall()} == {i: v for i, v in got.items() if texts[i] is not None}
+
+
+# ---- levels beyond 16 bits ----------------------------------------------------------------------------
+
+
+def _levels(spark, folder):
+    """Events whose levels pass 16 and 32 bits, of either sign, of users with one event or many; some null."""
+    values = [(7, i, v) for i, v in enumerate([370.71, -327.69, 0.01, 1e9, -5e10, 655.36, None, 0.0, 327.68, 1.5, 2.25])] + [(-3, 100, 12.5), (8, 101, None)]
+    spark.createDataFrame(values, "user_id long, event_id long, value double").write.parquet(str(folder / "events.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", ["wav_scan", "message_stream"])
+def test_levels_beyond_16_bits(spark, tmp_path, name):
+    duck = _levels(spark, tmp_path)
+    got = QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({ORACLE[name]}) x").fetchall())
+
+
+def test_many_short_ranges_are_few_tasks(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=10_003)
+    for i in range(20):
+        pcm.put(str(tmp_path), f"{i}.wav", pcm.wav_bytes(x[: 10_003 - i], 16_000))
+    pcm.register(spark)
+    for most in (9_999, 1 << 20):
+        rows = spark.read.format("wav_ranges").option("path", str(tmp_path)).option("rangeBytes", 64).option("partitionBytes", most).load()
+        if most == 1 << 20:
+            assert rows.rdd.getNumPartitions() < 10
+        for row in rows.groupBy("path").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("first", "range", "samples"))).alias("r")).collect():
+            own = x[: 10_003 - int(row["path"].rsplit("/", 1)[-1].removesuffix(".wav"))]
+            assert row["n"] == -(-len(own) // 8) and np.array_equal(np.concatenate([r["samples"] for r in row["r"]]), own)
+            assert [r["first"] for r in row["r"]] == list(range(0, len(own), 8)) and len({r["range"] for r in row["r"]}) == row["n"]

@@ -30,9 +30,12 @@ def _uri(path: str) -> str:
 @query(f"""SELECT user_id, count(*) AS samples, round(count(*) / {RATE}e0, 6) AS seconds, CAST(greatest(1, (count(*) - 64) // 32 + 1) AS bigint) AS frames,
   CAST(sum(CAST(round(value * 100) AS bigint)) AS bigint) AS level, CAST(ceil(count(*) / 8e0) AS bigint) AS ranges FROM events WHERE value IS NOT NULL GROUP BY user_id""")
 def wav_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A WAV file per user, written by tasks; read by ranges of 16 bytes, as a long recording is by ranges of megabytes."""
+    """A WAV file per user, written by tasks; read by ranges of 8 samples, as a long recording is by ranges of megabytes.
+
+    Samples are floats, as a level may be beyond 16 bits. A task reads many ranges.
+    """
     folder = _uri(scratch(spark, "wav"))
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("user_id", "event_id", F.round(F.col("value") * 100).cast("int").alias("x"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("user_id", "event_id", (F.round(F.col("value") * 100) / 32_768).alias("x"))
 
     def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         pcm.put(folder, f"{key[0]}.wav", pcm.wav_bytes(group.sort_values("event_id")["x"].to_numpy(), RATE))
@@ -40,24 +43,28 @@ def wav_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stored(rows.groupBy("user_id").applyInPandas(write, "user_id long"), "wav-names")
     pcm.register(spark)
-    read = spark.read.format("wav_ranges").option("path", folder).option("rangeBytes", 16).load()
+    read = spark.read.format("wav_ranges").option("path", folder).option("rangeBytes", 8 * 8).option("partitionBytes", pcm.RANGE_BYTES).load()
     level = F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 32_768).cast("long"))
-    found = read.groupBy(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("user_id")).agg(
-        F.sum(F.size("samples")).alias("samples"), F.sum(level).alias("level"), F.count_distinct("range").alias("ranges"), F.max("rate").alias("rate"))
+    user = F.expr(r"try_cast(regexp_extract(path, '([^/]+)[.]wav$', 1) AS long)").alias("user_id")
+    found = read.groupBy(user).agg(F.sum(F.size("samples")).alias("samples"), F.sum(level).alias("level"), F.count_distinct("range").alias("ranges"), F.max("rate").alias("rate"))
     frames_ = F.greatest(F.lit(1), F.floor((F.col("samples") - 64) / 32) + 1).cast("long")
     return found.select("user_id", "samples", F.round(F.col("samples") / F.col("rate"), 6).alias("seconds"), frames_.alias("frames"), "level", "ranges")
 
 
 @query("SELECT user_id, event_id, CAST(round(value * 100) AS bigint) AS level FROM events WHERE value IS NOT NULL")
 def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs of PCM messages that grow while they are read: the second half is appended once the first was taken."""
+    """Logs of PCM messages that grow while they are read: the second half is appended once the first was taken.
+
+    A level is four samples, its 16-bit words, repeated over the message.
+    """
     folder = _uri(scratch(spark, "messages"))
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("user_id", "event_id", F.round(F.col("value") * 100).cast("int").alias("x"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("x"))
     rows = rows.withColumn("late", F.percent_rank().over(Window.partitionBy("user_id").orderBy("event_id")) > 0.5)
 
     def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("event_id")
-        data = b"".join(struct.pack("<I", seq) + np.full(pcm.MESSAGE, x, "<i2").tobytes() for seq, x in zip(group["event_id"], group["x"], strict=True))
+        words = np.ascontiguousarray(group["x"], "<i8").view("<i2").reshape(-1, 4)
+        data = b"".join(struct.pack("<I", seq) + np.tile(x, pcm.MESSAGE // 4).tobytes() for seq, x in zip(group["event_id"], words, strict=True))
         pcm.put(folder, f"{key[0]}.pcm", data, append=bool(group["late"].iloc[0]))
         return pd.DataFrame({"user_id": [key[0]]})
 
@@ -66,7 +73,11 @@ def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for late in (False, True):
         stored(rows.where(F.col("late") == late).groupBy("user_id").applyInPandas(write, "user_id long"), "log-names")
         stream = spark.readStream.format("pcm_messages").option("path", folder).load()
-        level = stream.select(F.col("session").cast("long").alias("user_id"), F.col("seq").alias("event_id"), F.get("samples", F.lit(pcm.MESSAGE - 1)).cast("long").alias("level"))
+        word = lambda i: F.get("samples", F.lit(pcm.MESSAGE - 4 + i)).cast("long")
+        level = word(3)
+        for i in (2, 1, 0):
+            level = F.shiftleft(level, 16).bitwiseOR(word(i).bitwiseAND(F.lit(0xFFFF).cast("long")))
+        level = stream.select(F.expr("try_cast(session AS long)").alias("user_id"), F.col("seq").alias("event_id"), level.alias("level"))
         level.writeStream.format("parquet").option("path", path).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(level.schema).parquet(path)
 
