@@ -629,6 +629,17 @@ def test_disclosing_terms_are_brute_force(spark):
         assert [x for x in rows[i]["spans"].split(",") if x.startswith("term")] == terms
 
 
+def test_an_entity_may_have_many_terms(spark):
+    """Twelve words that go with one address, in texts that are no copies, are all terms."""
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    common, names = [word(4) for _ in range(300)], [word(9) for _ in range(12)]
+    texts = [" ".join([*r.choices(common, k=20), *r.sample(names, 12), "a@one.org", *r.choices(common, k=20)]) for _ in range(8)]
+    texts += [" ".join(r.choices(common, k=60)) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x["term"] for x in pii.disclosing(docs).collect()} == set(names)
+
+
 def test_long_runs_are_linear():
     import time
 

@@ -29,8 +29,8 @@ LEAST_BITS = 3.0
 CONTEXT = 40
 #: Terms that may pass by chance in the whole corpus, on average, for either kind.
 CHANCE = 0.01
-#: An entity with more terms than these, a tenth of a context, stands in copies of one text, all of whose words come along with it.
-MOST_TERMS = 8
+#: Terms that an entity may have: any number.
+MOST_TERMS = math.inf
 #: Disclosing terms that are handed to every task at most; beyond, they are joined.
 BROADCAST_TERMS = 200_000
 #: Bits of the filter that spares the join words that are no terms, at most.
@@ -151,7 +151,7 @@ def _by_chance(seen: Column, expected: Column, tests: int) -> Column:
 
 
 def disclosing(
-    docs: DataFrame, least_beside: int = LEAST_BESIDE, least_share: float = LEAST_SHARE, least_bits: float = LEAST_BITS, chance: float = CHANCE, most_terms: int = MOST_TERMS
+    docs: DataFrame, least_beside: int = LEAST_BESIDE, least_share: float = LEAST_SHARE, least_bits: float = LEAST_BITS, chance: float = CHANCE
 ) -> DataFrame:
     """(term, bits) of the terms that reveal an entity; all words of all documents are counted.
 
@@ -160,7 +160,7 @@ def disclosing(
     an entity); and terms of one entity that has two contexts or more, in which they stand, where it is log2
     of P(entity | term) over P(entity). Equal contexts of an entity, as copies have them, count once. Either must be more than chance: over all terms of the corpus (and all such
     entities) `chance` terms would do as well. So a rare word of a single document with an address is no term,
-    as any word there would be. Terms of an entity that has more than `most_terms` are left out: its documents are copies.
+    as any word there would be. An entity may have any number of terms.
 
     A document gives an entity the words of its context, so pairs grow with the texts, however many entities a page lists. Counts are summed per
     batch before the shuffle, and written, as several steps read them. Ties with a bound pass; an empty table has no terms.
@@ -185,10 +185,7 @@ def disclosing(
     bits = F.log2(F.col("both") / F.col("docs") / F.col("n_entity") * F.lit(float(n_docs)))
     expected = F.col("n_entity") * F.col("docs") / F.lit(float(n_docs))
     pairs = pairs.withColumn("bits", bits).where((F.col("bits") >= least_bits) & (_by_chance(F.col("both"), expected, terms * known.count()) <= limit))
-    pairs = saved(pairs.select("entity", "term", "bits"), "pairs")
-    own = pairs.groupBy("entity").agg(F.count("*").alias("n_terms")).where(F.col("n_terms") <= most_terms)
-    many = pairs.join(own, "entity", "left_semi").select("term", "bits")
-    found = near.where(F.col("bits") >= least_bits).unionByName(many)
+    found = near.where(F.col("bits") >= least_bits).unionByName(pairs.select("term", "bits"))
     return found.groupBy("term").agg(F.max("bits").alias("bits"))
 
 
