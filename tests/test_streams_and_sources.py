@@ -1,6 +1,7 @@
 """Processors with state, restarts, fenced appends, audio by range, budgets, long sessions, romanisation: against plain loops."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -282,3 +283,17 @@ def test_many_short_ranges_are_few_tasks(spark, tmp_path):
             own = x[: 10_003 - int(row["path"].rsplit("/", 1)[-1].removesuffix(".wav"))]
             assert row["n"] == -(-len(own) // 8) and np.array_equal(np.concatenate([r["samples"] for r in row["r"]]), own)
             assert [r["first"] for r in row["r"]] == list(range(0, len(own), 8)) and len({r["range"] for r in row["r"]}) == row["n"]
+
+
+def test_long_texts_are_romanised_in_passes(spark):
+    """A text of 2 million characters takes seconds, and blanks, marks and sequences at every place are as in a walk."""
+    r, rows = random.Random(5), []
+    for _ in range(3_000):
+        rows.append("".join(r.choice(["dʒ", "tʃ", "q1", "q", "1", "d", "ʒ", "ʔ", "s", "h", " ", " ", ",", ";", ":", "."]) for _ in range(r.randrange(9))))
+    rows += ["a\n", "a,\n", "\ue000", "salʒ 😀", "ʃ\u0329:", "a\tb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, t string")
+    assert {x["i"]: x["r"] for x in df.selectExpr("i", f"{romanised(Spark(), 't')} AS r").collect()} == {i: plainly(t) for i, t in enumerate(rows)}
+    long = "salˈɑm, hˈɑl ʃˈomɑ tʃˈetoːr ˈast? " * 60_000
+    start = time.perf_counter()
+    assert spark.createDataFrame([(long,)], "t string").selectExpr(f"{romanised(Spark(), 't')} AS r").first()["r"] == plainly(long)
+    assert time.perf_counter() - start < 30

@@ -42,11 +42,38 @@ def rewritten(d, x: str, table: Mapping[str, str] = ROMAN, same: str = "^[a-z]$"
     return f"CASE WHEN {x} IS NULL OR {failed} THEN NULL ELSE coalesce({d.glued(mapped, '')}, '') END"
 
 
+def _in_passes(x: str) -> str:
+    """What `romanised` gives, in a few passes over whole texts: Spark evaluates functions of array elements row by row, and each as often as it is named.
+
+    Sequences stand for themselves as private characters until all others are written, so that nothing is rewritten twice.
+    Texts that hold such a character have no letters. Two sequences never overlap.
+    """
+    long = [k for k in ROMAN if len(k) > 1]
+    assert not any(a[-i:] == b[:i] for a in long for b in long for i in range(1, min(len(a), len(b)) + (a != b)))
+    single = "".join(k for k in ROMAN if len(k) == 1)
+    marks = "".join(re.escape(m) for m in MARKS)
+    out = {v: chr(0xE000 + i) for i, v in enumerate(sorted({v for v in ROMAN.values() if len(v) > 1} | {ROMAN[k] for k in long}))}
+    one = {k: out.get(v, v) for k, v in {**ROMAN, **MARKS}.items() if len(k) == 1}
+    one = {k: v for k, v in one.items() if k != v}
+    kept, gone = [k for k in one if one[k]], [k for k in one if not one[k]]
+    line = f"concat(' ', {x})"
+    for k in long:
+        line = f"replace({line}, '{k}', '{out[ROMAN[k]]}')"
+    line = f"translate({line}, '{''.join(kept + gone)}', '{''.join(one[k] for k in kept)}')"
+    for v, c in out.items():
+        line = f"replace({line}, '{c}', '{v}')"
+    line = f"regexp_replace(regexp_replace({line}, ' +', ' '), r' (?=[{marks}]|$)', '')"
+    failed = f"regexp_like({x}, r'[^a-z {marks}{single}]|[{marks}][^ {marks}]')"
+    return f"CASE WHEN {x} IS NULL OR {failed} THEN NULL ELSE regexp_replace({line}, '^[^ ]* ?', '') END"
+
+
 def romanised(d, x: str) -> str:
     """Phonemes as words of ASCII letters, with the marks after each word; null if a symbol has no letters.
 
     A chunk of marks alone joins the word before it, or is dropped if there is none.
     """
+    if d.name == "spark":
+        return _in_passes(x)
     end = "[" + "".join(re.escape(m) for m in MARKS) + "]*$"
     body = d.replace("w", end, "")
     trail = d.map(d.filter(d.split(f"substr(w, length({body}) + 1)", ""), "w <> ''"), _lookup(d, "w", MARKS, "''"))
