@@ -297,3 +297,16 @@ def test_long_texts_are_romanised_in_passes(spark):
     start = time.perf_counter()
     assert spark.createDataFrame([(long,)], "t string").selectExpr(f"{romanised(Spark(), 't')} AS r").first()["r"] == plainly(long)
     assert time.perf_counter() - start < 30
+
+
+def test_a_session_scan_of_odd_rows(spark, tmp_path):
+    """400 sessions, some without consent, one without an id, with null turns: equal to SQL."""
+    rows = [(i - 5, t) for i in range(400) for t in range(i % 4)] + [(None, 1), (900, None), (901, None), (901, 7)]
+    spark.createDataFrame(rows, "conv_id long, turn long").write.parquet(str(tmp_path / "conversations.parquet"))
+    start = time.perf_counter()
+    got = QUERIES["session_log_scan"](spark, str(tmp_path)).select("conv_id", "turns", "mos").collect()
+    assert time.perf_counter() - start < 60
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    none = lambda r: sorted(map(repr, map(tuple, r)))
+    assert none(got) == none(duck.sql(f"SELECT conv_id, turns, mos FROM ({ORACLE['session_log_scan']}) x").fetchall())

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxlake.sources import readers, sinks
-from voxlake.sources.places import scratch
+from voxlake.sources import pcm, readers, sinks
+from voxlake.sources.places import scratch, stored
 
 from .registry import query
 
+#: Folders over the folders of sessions, so that a listing is so many tasks.
+SHARDS = 256
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,18 +86,22 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT conv_id, conv_id % 4 <> 0 AS consent FROM conversations GROUP BY conv_id)
 SELECT m.conv_id, count(*) AS turns, max(c.turn) % 5 AS mos FROM m JOIN conversations c ON m.conv_id = c.conv_id WHERE consent GROUP BY m.conv_id""")
 def session_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "sessions")
-    talks = _table(spark, sf_dir, "conversations")
-    sessions = talks.groupBy("conv_id").agg(F.max("turn").alias("last")).withColumn("session", F.col("conv_id"))
-    part = lambda rows, name: rows.write.partitionBy("session", "kind").json(f"{path}/{name}")
-    part(sessions.select("session", F.lit("meta").alias("kind"), "conv_id", (F.col("conv_id") % 4 != 0).alias("consent")), "meta.json")
-    part(talks.select(F.col("conv_id").alias("session"), F.lit("turns").alias("kind"), "conv_id", "turn"), "turns.jsonl")
-    part(sessions.select("session", F.lit("mos").alias("kind"), "conv_id", (F.col("last") % 5).alias("mos")), "mos.jsonl")
-    folder = F.regexp_extract(F.input_file_name(), "session=([0-9]+)/", 1)
-    read = lambda name, schema: readers.jsonl(spark, f"{path}/{name}/*/*", schema).withColumn("folder", folder)
-    consenting = read("meta.json", "conv_id long, consent boolean").where("consent <=> true").select("folder")
-    turns = read("turns.jsonl", "conv_id long, turn long").join(consenting, "folder", "left_semi").groupBy("conv_id").agg(F.count("*").alias("turns"))
-    return turns.join(read("mos.jsonl", "conv_id long, mos long").join(consenting, "folder", "left_semi").select("conv_id", "mos"), "conv_id")
+    """A folder per session with its three files, written by the tasks that hold the sessions, in folders of SHARDS."""
+    path, by = scratch(spark, "sessions"), Window.partitionBy("conv_id")
+    place = path if "://" in path else f"file://{path}"
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 4 != 0).alias("consent"), (F.max("turn").over(by) % 5).alias("mos"))
+    talks = talks.withColumn("shard", F.pmod(F.xxhash64("conv_id"), F.lit(SHARDS)))
+
+    def write(session: pa.Table) -> pa.Table:
+        rows = session.to_pylist()
+        lines = lambda rows, *names: "".join(json.dumps({n: r[n] for n in names}) + "\n" for r in rows).encode()
+        for name, data in ("meta.json", lines(rows[:1], "conv_id", "consent")), ("turns.jsonl", lines(rows, "conv_id", "turn")), ("mos.jsonl", lines(rows[:1], "conv_id", "mos")):
+            pcm.put(f"{place}/{rows[0]['shard']}/{rows[0]['conv_id']}", name, data)
+        return session.select(["conv_id"]).slice(0, 1)
+
+    stored(talks.groupBy("conv_id").applyInArrow(write, "conv_id long"), "session-names")
+    _, turns, ratings = readers.session_folders(spark, path, "conv_id long, consent boolean", "conv_id long, turn long", "conv_id long, mos long")
+    return turns.groupBy("conv_id").agg(F.count("*").alias("turns")).join(ratings.select("conv_id", "mos"), "conv_id")
 
 
 @query("""WITH s AS (SELECT date_trunc('hour', ts) AS stamp, CASE WHEN user_id % 3 = 0 THEN 'asr' ELSE 'llm' END AS role, sum(value) AS mib FROM events
@@ -130,8 +140,6 @@ def split_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS u, lead(regexp_replace(text, '[^A-Za-z ]', '', 'g')) OVER w AS a, role, lead(role) OVER w AS next_role
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) x WHERE role = 'user' AND next_role = 'assistant'""")
 def conversation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     path, by = scratch(spark, "export"), Window.partitionBy("conv_id").orderBy("turn")
     talks = _table(spark, sf_dir, "conversations").withColumn("user", F.regexp_replace("text", "[^A-Za-z ]", ""))
     talks = talks.select("conv_id", "turn", "role", "user", F.lead("user").over(by).alias("assistant"), F.lead("role").over(by).alias("next"))

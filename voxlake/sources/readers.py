@@ -20,9 +20,13 @@ def _schema(schema: str | StructType) -> StructType:
     return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def jsonl(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """Rows of JSON lines; blank lines are skipped, other lines that don't parse are rows of nulls."""
-    return spark.read.schema(_schema(schema)).json(path)
+def jsonl(spark: SparkSession, path: str, schema: str | StructType, name: str | None = None) -> DataFrame:
+    """Rows of JSON lines; blank lines are skipped, other lines that don't parse are rows of nulls.
+
+    With a name, of the files so called in all folders under path.
+    """
+    rows = spark.read.schema(_schema(schema))
+    return (rows.option("recursiveFileLookup", True).option("pathGlobFilter", name) if name else rows).json(path)
 
 
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -67,10 +71,11 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def session_folders(spark: SparkSession, path: str, meta: str, turns: str, ratings: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sessions, turns, ratings) of folders with meta.json, turns.jsonl and mos.jsonl; only sessions with consent.
 
-    The folder is the session; turns and ratings of others are dropped.
+    The folder is the session, at any depth under path; turns and ratings of others are dropped. With many sessions, folders of
+    folders keep a listing short.
     """
     folder = F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1)
-    read = lambda name, schema: jsonl(spark, f"{path}/*/{name}", schema).withColumn("folder", folder)
+    read = lambda name, schema: jsonl(spark, path, schema, name).withColumn("folder", folder)
     sessions = read("meta.json", meta).where("consent <=> true")
     ids = sessions.select("folder")
     return sessions, read("turns.jsonl", turns).join(ids, "folder", "left_semi"), read("mos.jsonl", ratings).join(ids, "folder", "left_semi")
