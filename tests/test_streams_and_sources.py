@@ -310,3 +310,17 @@ def test_a_session_scan_of_odd_rows(spark, tmp_path):
     duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     none = lambda r: sorted(map(repr, map(tuple, r)))
     assert none(got) == none(duck.sql(f"SELECT conv_id, turns, mos FROM ({ORACLE['session_log_scan']}) x").fetchall())
+
+
+def test_stages_of_many_values_have_no_median_in_one_task(spark, tmp_path):
+    """Odd and even counts, ties, nulls: equal to SQL; no aggregate keeps all values of a stage."""
+    for n in (1, 2, 501, 1000):
+        r = random.Random(n)
+        rows = [(i, r.randrange(9), r.choice(["click", "view"]), r.choice([None, 1.5, r.expovariate(0.02)])) for i in range(n)]
+        folder = tmp_path / str(n)
+        spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(folder / "events.parquet"))
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+        got = QUERIES["failure_stages"](spark, str(folder))
+        assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({ORACLE['failure_stages']}) x").fetchall())
+        assert " percentile(" not in got._jdf.queryExecution().toString()
