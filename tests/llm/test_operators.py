@@ -141,6 +141,32 @@ def test_encoder_takes_marks_and_unusual_letters_as_the_tokenizer_does():
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_takes_special_tokens_and_odd_neighbours_of_marks_as_the_tokenizer_does(monkeypatch):
+    """Special tokens that stand alone or in upper case, marks beside controls and beside signs among the letters; small windows."""
+    import random as r_
+
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.tokenizer_path())
+    texts = ["<|endoftext|>", "<|endoftext|>!!", "x <|ENDOFTEXT|> y", "Ab<|startoftext|>, CD", "(\x1f", "\x1c;", "a\x1e,", "a\u00d7,", "a\u00f7.", "a\u0387,", "H\u0331, T\u0308", "x" * 99]
+    letters = "abABÉéΣςİıK\u212a'.,;!%_<|>  \n\t\u0323\u0331²３中1\x1f\x1c\x0b\x85\u3000ﬀßŸ“ẖ😀"
+    texts += ["".join(r_.Random(i).choices(letters, k=1 + i % 9)) for i in range(3000)]
+    for together in (tokens.TOGETHER, 16):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        encode = tokens._Encoder(tokens.tokenizer_path())
+        for some in (texts, [" ".join(texts)]):
+            for text, got in zip(some, encode(some), strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_makes_no_word_of_python_for_each_occurrence(monkeypatch):
+    """Occurrences are coded as arrays: a window asks its memory once for each distinct word, whatever the case of A-Z."""
+    asked, encode = [], tokens._Encoder(tokens.tokenizer_path())
+    encode.known = type("Counted", (dict,), {"get": lambda self, w: asked.append(w) or dict.get(self, w)})()
+    assert len(list(encode(["Some words, SOME words!!! "] * 1_000))) == 1_000
+    assert sorted(asked) == ["!!!", ",", "some", "words"]
+
+
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_tokenizer(name):

@@ -51,7 +51,7 @@ _MARKS = '.,;:!?)]}"\u2026\u201d\u00bb'
 _BARE = "\0"
 
 
-def _alphabet() -> dict[str, int]:
+def alphabet() -> dict[str, int]:
     """The letter that byte-level vocabularies write for each byte: itself if it prints, else one from U+0100 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in prints]
@@ -73,7 +73,7 @@ def _merger(tokenizer, spec: dict):
     own = {t: i for t, i in vocab.items() if t not in special}
     if order != sorted(set(order)) or any([x.value for x in tokenizer.model.tokenize(t)] != [t] for t in own):
         return None
-    letters = _alphabet()
+    letters = alphabet()
     ranks = {bytes(letters[c] for c in t): i for t, i in own.items()}
     return tiktoken.Encoding("words", pat_str=r" \S+", mergeable_ranks=ranks, special_tokens={})
 

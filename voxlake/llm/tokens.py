@@ -22,30 +22,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column_udf, hold, map_pandas, scratch, table
+from .packing import alphabet
 
 #: Ids of a block; the last block of a shard is shorter.
 BLOCK_IDS = 32_768
 END_ID = 2
 #: Words of one generation of a worker's memory; the last generation is kept beside the new one.
 CACHED_WORDS = 300_000
-#: Characters of texts whose unknown words are encoded together, about.
+#: Bytes of texts that are taken apart together, about.
 TOGETHER = 1 << 20
-#: Words of a text that is parted again at the word ends.
-PARTED = 1_000
+#: The white space that parts words.
+BLANKS = b" ", b"\n", b"\t", b"\r"
+#: Words of a text that is parted again at the word ends; plain words of one.
+PARTED, PARTED_PLAIN = 1_000, 4_000
 #: Runs of these are words of their own to a tokenizer that splits off letters (an apostrophe may start one).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"IDP1"
 
 #: Letters that stay letters when composed and in lower case, so that a mark after one is a run of its own.
 PLAIN = "A-Za-z0-9\u00C0-\u012F\u0131-\u024F\u0386-\u03CE\u0400-\u0481\u048A-\u052F"
-#: Where a mark is not alone: after anything but plain letters and white space, or before another mark or symbol.
-_CROWDED = re.compile(rf"[^{PLAIN}\s][{re.escape(MARKS)}]|[{re.escape(MARKS)}](?:[^\w\s]|_)")
+#: Kinds of bytes.
+LETTER, BLANK, MARK = range(3)
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b"".join(BLANKS))] = BLANK
+_KIND[list(MARKS.encode())] = MARK
+
+
+def _table(pattern: str, size: int) -> np.ndarray:
+    """Which characters below `size` a pattern matches; the last entry, at -1, is False."""
+    out = np.zeros(0x10001, bool)
+    out[[m.start() for m in re.finditer(pattern, "".join(map(chr, range(size))))]] = True
+    return out
+
+
+#: White space to Python and the tokenizer.
+_SPACE = r"(?![\x1C-\x1F])\s"
+#: What a run of marks that is alone may follow, plain letters and white space (of two bytes at most), and what may follow it: no other symbol.
+_STANDS_AFTER, _STANDS_BEFORE = _table(rf"(?=\w)[{PLAIN}]|[{re.escape(MARKS)}]|{_SPACE}", 0x800), _table(rf"\w|[{re.escape(MARKS)}]|{_SPACE}", 0x10000)
 
 # ---- one block -----------------------------------------------------------------------------------
 
@@ -123,20 +143,103 @@ def _word_ends(tokenizer) -> np.ndarray | None:
     return ends
 
 
+def _crowded(data: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether the runs of the marks at these places of UTF-8 text don't stand alone, or it would take longer to tell."""
+    last, lead = data[marks - 1].astype(np.int32), data[marks - 2].astype(np.int32)  # a place below 0 is the blank at the end
+    two = (lead & 0x1F) << 6 | last & 0x3F
+    before = np.where(last < 0x80, last, np.where((lead >> 5 == 6) & (marks > 1), two, -1))
+    lead, mid, last = (data[np.minimum(marks + i, len(data) - 1)].astype(np.int32) for i in (1, 2, 3))
+    two, three = (lead & 0x1F) << 6 | mid & 0x3F, (lead & 0xF) << 12 | (mid & 0x3F) << 6 | last & 0x3F
+    after = np.where(lead < 0x80, lead, np.where(lead >> 5 == 6, two, np.where(lead >> 4 == 14, three, -1)))
+    return ~_STANDS_AFTER[before] | ~_STANDS_BEFORE[after]
+
+
+def _words(data: np.ndarray, apart: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of UTF-8 text that ends with a blank: where each starts, offsets (one more than words) and the letters of all.
+
+    Words stand between blanks; with `apart`, where all runs of marks of such a word stand alone, each of them and what lies between are words too.
+    """
+    kind = _KIND[data]
+    marks = np.flatnonzero(kind == MARK)
+    if not apart:
+        kind[marks] = LETTER
+    elif len(crowded := marks[_crowded(data, marks)]):
+        blanks = np.flatnonzero(kind == BLANK)
+        whole = np.zeros(len(blanks), bool)
+        whole[np.searchsorted(blanks, crowded)] = True
+        kind[marks[whole[np.searchsorted(blanks, marks)]]] = LETTER
+    solid, change = kind != BLANK, kind[1:] != kind[:-1]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= change
+    last[:-1] &= change
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    return starts, np.concatenate([[0], np.cumsum(sizes)]), data[solid]
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case but before a character beyond ASCII, which may join with the letter."""
+    upper = data - np.uint8(65) < 26
+    upper[:-1] &= data[1:] < 0x80
+    return data | upper.view(np.uint8) << np.uint8(5)
+
+
+def _windows(data: bytes) -> Iterator[tuple[int, int]]:
+    """Ranges of a text that ends with a blank, cut behind blanks, of TOGETHER bytes or of one longer word."""
+    low = 0
+    while low < len(data):
+        high = low + TOGETHER
+        if high >= len(data):
+            high = len(data)
+        elif cut := 1 + max(data.rfind(b, low, high) for b in BLANKS):
+            high = cut
+        else:
+            high = 1 + min(x for b in BLANKS if (x := data.find(b, high)) >= 0)
+        yield low, high
+        low = high
+
+
 def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _letter_ids(tokenizer, ends: np.ndarray, words: list[str]) -> Iterator[tuple[str, bytes]]:
-    """The ids of words of letters alone, as bytes.
+#: Words of Latin letters that are composed already and have one lower-case letter each.
+_LATIN = re.compile("[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch
+#: What the tokenizer does with words before it merges letters: for Latin words in lower case, nothing but to write their bytes as letters.
+_STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPELLED = {b: letter for letter, b in alphabet().items() if b >= 0x80}
+
+
+def _plain(tokenizer):
+    """The same tokenizer without its steps before merging, for lower-case words of Latin letters as `_spelled` writes them; None if it has other steps."""
+    spec = json.loads(tokenizer.to_str())
+    steps = [x for k, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (spec.get(k) or {}).get(many, [])]
+    if [x["type"] for x in steps] != _STEPS or any(x["content"].isalpha() for x in spec["added_tokens"]):
+        return None
+    _, blanks, _, split, spelling = steps
+    if (blanks["pattern"], blanks["content"], split["pattern"]) != ({"Regex": r"\s+"}, " ", {"Regex": _SPLIT}) or spelling["use_regex"] or spelling["add_prefix_space"]:
+        return None
+    spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}
+    return type(tokenizer).from_str(json.dumps(spec))
+
+
+def _spelled(text: str) -> str:
+    return text if text.isascii() else text.encode().decode("latin-1").translate(_SPELLED)
+
+
+def _letter_ids(tokenizer, ends: np.ndarray, words: list[str], plain=None) -> Iterator[tuple[str, bytes]]:
+    """The ids of words of letters alone, as bytes; `plain` takes lower-case Latin ones.
 
     They are encoded as one text and parted at the word ends: each gives one at
     least, so equal counts mean one for each. If a word was taken apart, those
     encoded along with it are encoded one by one.
     """
-    for low in range(0, len(words), PARTED):
-        some = words[low : low + PARTED]
-        ids = _ids(tokenizer, [" ".join(some)])[0]
+    step = PARTED_PLAIN if plain else PARTED
+    for low in range(0, len(words), step):
+        some = words[low : low + step]
+        text = " ".join(some)
+        ids = _ids(plain, [_spelled(text)])[0] if plain else _ids(tokenizer, [text])[0]
         stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
         if len(stops) == len(some):
             raw = ids.tobytes()
@@ -165,38 +268,49 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = _word_ends(self.tokenizer)
+        self.plain = _plain(self.tokenizer)
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def _learn(self, missing: set[str]) -> None:
-        known, before = self.known, self.before
-        for w in [w for w in missing if w in before]:
-            known[w] = before[w]
-            missing.discard(w)
-        letters, marked, others = set(), [], {""}
+    def _learn(self, missing: list[str]) -> None:
+        """Encode distinct words that aren't known."""
+        lower, latin, letters, others, cased = [], [], [], [], []
         for w in missing:
-            if w.isalpha():
-                letters.add(w)
-            elif (core := w.strip(MARKS)) and _all_letters(core):  # marks, letters, marks
-                at = w.index(core)
-                parts = w[:at], core, w[at + len(core) :]
-                marked.append((w, parts))
-                letters.add(core)
-                others.update(parts[::2])
+            if self.plain and _LATIN(w):
+                (cased if not w.islower() else lower if w.isascii() else latin).append(w)
             else:
-                others.add(w)
-        known.update(_letter_ids(self.tokenizer, self.ends, list(letters.difference(known))))
-        rest = list(others.difference(known))
-        known.update((w, x.tobytes()) for w, x in zip(rest, _ids(self.tokenizer, rest), strict=True))
-        known.update((w, known[a] + known[b] + known[c]) for w, (a, b, c) in marked)
-
-    def _chunks(self, text: str) -> list[str]:
-        """Words between white space; where all marks of a text stand alone, these are words too."""
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if not _CROWDED.search(text):
-            for mark in MARKS:
-                text = text.replace(mark, f" {mark} ")
-        return text.split(" ")
+                (letters if _all_letters(w) else others).append(w)
+        for some in lower, latin:
+            self.known.update(_letter_ids(self.tokenizer, self.ends, some, self.plain))
+        self.known.update(_letter_ids(self.tokenizer, self.ends, letters))
+        self.known.update((w, x.tobytes()) for w, x in zip(others, _ids(self.tokenizer, others), strict=True))
+        as_lower = [w.lower() for w in cased]
+        self.known.update(_letter_ids(self.tokenizer, self.ends, list(set(as_lower).difference(self.known)), self.plain))
+        self.known.update(zip(cased, [self.known[w] for w in as_lower], strict=True))
+
+    def _window(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of UTF-8 text that ends with a blank, and how many of them lie before each place of `cuts`."""
+        bare = not any(x in data.tobytes().lower() for x in self.special)  # special tokens are taken as they stand in a text
+        starts, offsets, letters = _words(_lowered(data) if bare and self.plain else data, bare)
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+        names, codes = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        if len(self.known) >= CACHED_WORDS:
+            self.known, self.before = {}, self.known
+        found = list(map(self.known.get, names))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            new = [names[i] for i in missing]
+            again = list(map(self.before.get, new))
+            self.known.update((w, x) for w, x in zip(new, again, strict=True) if x is not None)
+            self._learn([w for w, x in zip(new, again, strict=True) if x is None])
+            for i, w in zip(missing, map(self.known.__getitem__, new), strict=True):
+                found[i] = w
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], own)
+        places += np.arange(ends[-1])
+        return ids[places], ends[np.searchsorted(starts, cuts)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         low = 0
@@ -209,12 +323,19 @@ class _Encoder:
             if self.ends is None:
                 yield from (x.tobytes() for x in _ids(self.tokenizer, some))
                 continue
-            split = [self._chunks(t) for t in some]
-            words = set().union(*split)
-            if len(self.known) >= CACHED_WORDS:
-                self.known, self.before = {}, self.known
-            self._learn(words.difference(self.known))
-            yield from (b"".join(map(self.known.__getitem__, chunks)) for chunks in split)
+            raw = [t.encode() + b"\n" for t in some]
+            stops, data = np.cumsum([len(x) for x in raw]), b"".join(raw)
+            parts, counts, n = [], [], 0
+            for first, last in _windows(data):
+                cuts = stops[np.searchsorted(stops, first, "right") : np.searchsorted(stops, last, "right")] - first
+                ids, before = self._window(np.frombuffer(data, np.uint8)[first:last], cuts)
+                parts.append(ids.tobytes())
+                counts.append(4 * (n + before))
+                n += len(ids)
+            own, at = b"".join(parts), 0
+            for stop in np.concatenate(counts).tolist():
+                yield own[at:stop]
+                at = stop
 
 
 _known: dict[str, _Encoder] = {}
