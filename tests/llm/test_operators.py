@@ -490,6 +490,21 @@ def test_links_of_vectors_beyond_squares(spark):
     assert embeddings.recall(df, got, every=1) == 1.0
 
 
+def test_toxicity_is_fitted_without_texts_on_the_driver(spark):
+    import tracemalloc
+
+    r = random.Random(5)
+    plain = ["".join(r.choices("abdefgiklmnoprstu", k=7)) for _ in range(20_000)]
+    text = lambda toxic: " ".join(["vlamort"] * 3 * toxic + r.choices(plain, k=5_000))
+    docs = spark.createDataFrame([(i, text(i % 2)) for i in range(240)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, toxic int")
+    tracemalloc.start()
+    model = toxicity.train(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights["=vlamort"] > 0 and most < 5e6  # of 6 MB of texts, held out ones aside
+
+
 def test_toxic_words_count_in_any_case(spark):
     """Letters that grow in lower case elsewhere in a text change nothing about its other words."""
     r = random.Random(2)

@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_udf, hold, table
+from .common import column_udf, discard, give_back, hold, map_pandas, saved, table
 
 #: Labelled documents that the model is fitted on at most, of each label (those of least hash).
 FIT_DOCS = 2_500
@@ -127,47 +129,94 @@ def _chain(x: np.ndarray, bias: float, trans: np.ndarray):
     return p, np.exp(pair).sum(axis=(0, 1)), z
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """Fit on labelled documents: token labels from word odds, chain by gradient, score by logistic regression.
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each feature in a batch, the clean and the toxic documents that hold it."""
+    for batch in batches:
+        count: list[Counter] = [Counter(), Counter()]
+        for text, label in zip(batch["text"], batch["toxic"], strict=True):
+            count[label].update({f for w in set(TOKEN.findall(text.lower())) for f in features(w)})
+        both = list(count[0].keys() | count[1].keys())
+        yield pd.DataFrame({"f": both, "clean": [count[0][f] for f in both], "toxic": [count[1][f] for f in both]})
 
+
+def _windowed(index: dict[str, int], marks: set[str]):
+    """Training windows of each document: places and numbers of their features, places of toxic tokens.
+
+    A document without features gives one window, which is empty wherever it lies; one without words none.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text, label in zip(batch["doc_id"], batch["text"], batch["toxic"], strict=True):
+                words = TOKEN.findall(text.lower())
+                known = {w: own for w in set(words) if (own := [index[f] for f in features(w) if f in index])}
+                hits = list(islice((i for i, w in enumerate(words) if w in known), OWN_WINDOWS))
+                for number, i in enumerate(hits or [0] * bool(words)):
+                    low = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
+                    near = [(t, w) for t, w in enumerate(words[low : low + WINDOW]) if w in known]
+                    found = [(t, f) for t, w in near for f in known[w]]
+                    gold = [t for t, w in near if label and any(f in marks for f in features(w))]
+                    rows.append((doc, number, [t for t, _ in found], [f for _, f in found], gold))
+            yield pd.DataFrame(rows, columns=["doc_id", "number", "at", "feature", "gold"])
+
+    return run
+
+
+def _described(model: Model):
+    """`doc_features` of each document under a model."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict = {}
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                words = TOKEN.findall(text.lower())
+                rows.append((doc, doc_features(tagged(model, words, cache)[1], len(words))))
+            yield pd.DataFrame(rows, columns=["doc_id", "x"])
+
+    return run
+
+
+def fit(fitting: DataFrame) -> Model:
+    """Fit on labelled documents (doc_id, text, toxic): token labels from word odds, chain by gradient, score by logistic regression.
+
+    Tasks read the texts; the driver gets the strongest features, windows as numbers and four numbers a document.
     Without documents of both labels the model knows no words and scores all alike, low.
     """
-    docs = [TOKEN.findall(t.lower()) for t in texts]
-    y = np.array(toxic)
+    docs = sorted(tuple(r) for r in fitting.select("doc_id", "toxic").collect())
+    y = np.array([label for _, label in docs])
     model = Model()
-    if len(set(toxic)) < 2:
+    if len(set(y.tolist())) < 2:
         return model
-    count: list[Counter] = [Counter(), Counter()]
-    for words, label in zip(docs, toxic, strict=True):
-        count[label].update({f for w in set(words) for f in features(w)})
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
-    odds = {f: ((k + 0.5) / (n1 + 1)) / ((count[0][f] + 0.5) / (n0 + 1)) for f, k in count[1].items() if k >= LEAST_DOCS}
+    count = map_pandas(fitting.select("text", "toxic"), _counted, "f string, clean long, toxic long")
+    count = count.groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= LEAST_DOCS)
+    odds = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
     # single letters and stems that clean documents share tell nothing; only strong marks are features
-    known = sorted((f for f, o in odds.items() if o >= ODDS / 2), key=lambda f: (-odds[f], f))[:FEATURES]
+    strong = count.select("f", odds.alias("odds")).where(F.col("odds") >= ODDS / 2)
+    strong = strong.orderBy(F.desc("odds"), "f").limit(FEATURES).collect()
+    known = [r["f"] for r in strong]
     index = {f: i for i, f in enumerate(known)}
-    marks = {f for f in known if odds[f] >= ODDS}
-    rows, labels = [], []
-    rng = np.random.default_rng(0)
-    for d in rng.permutation(len(docs)):
-        words = docs[d]
-        own = [[index[f] for f in features(w) if f in index] for w in words]
-        tag = [int(bool(toxic[d]) and any(f in marks for f in features(w))) for w in words]
-        hits = [i for i, o in enumerate(own) if o][:OWN_WINDOWS]
-        for i in hits or ([int(rng.integers(len(words)))] if words else []):
-            low = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
-            rows.append((own[low : low + WINDOW], WINDOW))
-            labels.append(tag[low : low + WINDOW])
+    marks = {r["f"] for r in strong if r["odds"] >= ODDS}
+    id_type = fitting.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, number int, at array<int>, feature array<int>, gold array<int>"
+    windows: dict = {}
+    for r in map_pandas(fitting, _windowed(index, marks), schema).collect():
+        windows.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    rows: list[tuple] = []
+    for d in np.random.default_rng(0).permutation(len(docs)):
+        rows += sorted(windows.get(docs[d][0], ()))
         if len(rows) >= WINDOWS:
             break
     n = len(rows)
     gold = np.zeros((n, WINDOW))
-    at_row, at_tok, at_feat = [], [], []
-    for r, ((own, _), tag) in enumerate(zip(rows, labels, strict=True)):
-        gold[r, : len(tag)] = tag
-        for t, fs in enumerate(own):
-            for f in fs:
-                at_row.append(r), at_tok.append(t), at_feat.append(f)
-    at_row, at_tok, at_feat = map(np.array, (at_row, at_tok, at_feat))
+    at_row = np.repeat(np.arange(n), [len(at) for _, at, _, _ in rows])
+    at_tok = np.array([t for _, at, _, _ in rows for t in at], int)
+    at_feat = np.array([f for _, _, own, _ in rows for f in own], int)
+    for r, (_, _, _, toxic) in enumerate(rows):
+        gold[r, toxic] = 1
+    del windows, rows
     w, bias, trans = np.zeros(len(known)), -3.0, np.zeros((2, 2))
     seen = np.zeros((2, 2))
     g = gold.astype(int)
@@ -187,8 +236,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         w, bias, trans = w + move[: len(known)], bias + move[len(known)], np.clip(trans + move[len(known) + 1 :].reshape(2, 2), -6, 6)
     model.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
     model.bias, model.trans = float(min(bias, -1.0)), trans
-    own = [doc_features(tagged(model, d)[1], len(d)) for d in docs]
-    a, b = np.array(own), np.zeros(4)
+    own = dict(tuple(r) for r in map_pandas(fitting.select("doc_id", "text"), _described(model), f"doc_id {id_type}, x array<double>").collect())
+    a, b = np.array([own[d] for d, _ in docs]), np.zeros(4)
     for _ in range(60):  # Newton steps with a small ridge
         q = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         b = b + np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + 0.05 * np.eye(4), a.T @ (y - q) - 0.05 * b)
@@ -222,9 +271,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model
     least = [given.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs) for x in (0, 1)]
     chosen = F.broadcast(least[0].unionByName(least[1]))  # 2 x fit_docs rows at most
     got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
-    rows = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
+    got = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    fitting = saved(got, "fitting")
+    model = fit(fitting)
+    discard(fitting)
+    give_back()
+    return model
 
 
 def _tagger(model: Model, with_spans: bool):
