@@ -18,7 +18,7 @@ import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ QUADRATIC = 1 / 6144
 #: Words of one generation of a worker's memory; the last generation is kept beside the new one.
 CACHED_WORDS = 600_000
 #: Characters of texts whose unknown words are encoded together, about; words encoded as one text.
-TOGETHER, JOINED = 1 << 20, 64
+TOGETHER, JOINED = 1 << 22, 64
 #: Sequences of an output batch.
 BATCH = 256
 
@@ -46,7 +46,7 @@ _UNITS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space on which libraries differ.
 _ODD = re.compile(r"[^\S \n\t\r]")
 #: Marks after a word that make one token run and start no contraction.
-_MARKS = '.,;:!?)]}"\u2026\u201d\u00bb'
+_MARKS = '.,;:!?)]}"#$%&*+-/<=>@^_|~\u2026\u201d\u00bb'
 #: Begins the name of a part of a text that has no blank before it.
 _BARE = "\0"
 
@@ -58,6 +58,16 @@ def alphabet() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def laid_out(found: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words given as codes into `found`, their ids as bytes; and how many ids lie before each word, and in all."""
+    ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    own = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    places = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], own)
+    places += np.arange(ends[-1])
+    return ids[places], ends
+
+
 def _merger(tokenizer, spec: dict):
     """An encoder of words by the same merges, if it must give the tokenizer's ids; else None.
 
@@ -75,7 +85,7 @@ def _merger(tokenizer, spec: dict):
         return None
     letters = alphabet()
     ranks = {bytes(letters[c] for c in t): i for t, i in own.items()}
-    return tiktoken.Encoding("words", pat_str=r" \S+", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("words", pat_str=r" \S+|\n|\S+", mergeable_ranks=ranks, special_tokens={})
 
 
 class ByteEncoder:
@@ -99,6 +109,7 @@ class ByteEncoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
+        self.newline = self.tokenizer.token_to_id("Ċ")
         self.merger = _merger(self.tokenizer, spec) if self.by_word else None
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -106,57 +117,111 @@ class ByteEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, text: str) -> list[str] | None:
-        """What stands between blanks, without the blank before it; None if the text must be encoded whole."""
-        if not self.by_word or _BARE in text or any(x in text for x in self.special):
-            return None
-        if "  " not in text:
-            parts = text.split(" ")
-            parts[0] = _BARE + parts[0]
-            return parts
-        if _ODD.search(text):
+    def _units(self, text: str) -> list[str] | None:
+        """The parts of a text that isn't plain; None if it must be encoded whole."""
+        if not self._by_part(text) or _ODD.search(text):
             return None
         return [u[1:] if u[0] == " " and not u.isspace() else _BARE + u for u in _UNITS.findall(text)]
 
+    def _by_part(self, text: str) -> bool:
+        return bool(self.by_word) and _BARE not in text and not any(x in text for x in self.special)
+
     def _merged(self, texts: list[str]) -> list[np.ndarray]:
         return [self.merger.encode_to_numpy(t, disallowed_special=()) for t in texts]
 
-    def _together(self, words: list[str], ids_of) -> list[str]:
-        """Learn words that are encoded as one text and parted; returns those of texts that didn't part as expected."""
+    def _together(self, words: list[str], ids_of, bare: bool = False) -> list[str]:
+        """Learn words that are encoded as one text and parted, at blanks or line ends; returns those of texts that didn't part as expected."""
         groups, failed = [words[low : low + JOINED] for low in range(0, len(words), JOINED)], []
-        for some, ids in zip(groups, ids_of([" " + " ".join(g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.spaced[ids])
+        texts = ["\n".join(w[1:] for w in g) if bare else " " + " ".join(g) for g in groups]
+        for some, ids in zip(groups, ids_of(texts), strict=True):
+            starts = np.flatnonzero(ids == self.newline) + 1 if bare else np.flatnonzero(self.spaced[ids])
+            if bare:
+                starts = np.concatenate([[0], starts])
             if len(starts) == len(some) and starts[0] == 0:
-                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                self.known.update(zip(some, [raw[i:k] for i, k in zip(cuts, cuts[1:], strict=False)], strict=True))
+                raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids) + 4 * bare]
+                self.known.update(zip(some, [raw[i : k - 4 * bare] for i, k in zip(cuts, cuts[1:], strict=False)], strict=True))
             else:
                 failed += some
         return failed
 
-    def _learn(self, missing: set[str]) -> None:
+    def _made_of(self, part: str) -> list[str] | None:
+        """The parts that one of letters, marks after them and single line ends is made of: tokens end between them. None for other parts."""
+        lead = part[:1] if part[:1] == _BARE else ""
+        out: list[str] = []
+        for line in part[len(lead) :].split("\n"):
+            core = line.rstrip(_MARKS)
+            if not core.isalpha():
+                return None
+            out += [lead + core] if not out else [_BARE + "\n", _BARE + core]
+            if core != line:
+                out.append(_BARE + line[len(core) :])
+        return out if len(out) > 1 else None
+
+    def _learn(self, missing: Iterable[str]) -> None:
+        """Encode distinct parts that aren't known."""
         known, before = self.known, self.before
-        again = missing.intersection(before)
-        known.update((w, before[w]) for w in again)
-        fresh, marked = set(), []
-        for w in missing.difference(again):
-            core = w if w.isalpha() else w.rstrip(_MARKS)
-            if core is not w and core != w and core.isalpha():  # letters, then marks: a token ends between them
-                marked.append((w, core, _BARE + w[len(core) :]))
-            else:
+        fresh, made = set(), []
+        for w in missing:
+            if w.isalpha() or (of := self._made_of(w)) is None:
                 fresh.add(w)
-        for x in {x for _, *two in marked for x in two}.difference(known):
+            else:
+                made.append((w, of))
+        for x in {x for _, of in made for x in of}.difference(known):
             if x in before:
                 known[x] = before[x]
             else:
                 fresh.add(x)
-        letters, words, alone = [], [], []
+        letters, bare, words, alone = [], [], [], []
         for w in fresh:
-            (letters if w.isalpha() else alone if w[:1] in _BARE or w[0].isspace() else words).append(w)
-        alone += self._together(words, self._ids)
-        alone += self._together(letters, self._merged if self.merger else self._ids)
+            if w.isalpha():
+                letters.append(w)
+            elif w[:1] in _BARE or w[0].isspace():
+                (bare if self.newline is not None and w[1:].isalpha() and w[0] == _BARE else alone).append(w)
+            else:
+                words.append(w)
+        merged = self._merged if self.merger else self._ids
+        alone += self._together(words, self._ids) + self._together(letters, merged) + self._together(bare, merged, bare=True)
         whole = [w[1:] if w[:1] == _BARE else " " + w for w in alone]
         known.update((w, x.tobytes()) for w, x in zip(alone, self._ids(whole), strict=True))
-        known.update((w, known[core] + known[tail]) for w, core, tail in marked)
+        known.update((w, b"".join(map(known.__getitem__, of))) for w, of in made)
+
+    def _found(self, names: list[str]) -> list[bytes]:
+        """The ids of parts, those that aren't known being learned."""
+        if len(self.known) >= CACHED_WORDS:
+            self.known, self.before = {}, self.known
+        found = list(map(self.known.get, names))
+        if missing := [i for i, x in enumerate(found) if x is None]:
+            new = [names[i] for i in missing]
+            again = list(map(self.before.get, new))
+            self.known.update((w, x) for w, x in zip(new, again, strict=True) if x is not None)
+            self._learn({w for w, x in zip(new, again, strict=True) if x is None})
+            for i, x in zip(missing, map(self.known.__getitem__, new), strict=True):
+                found[i] = x
+        return found
+
+    def _plain(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts with single blanks only. Each distinct part of a window is looked up once."""
+        raw = [f"{_BARE}{t} ".encode() for t in texts]
+        stops, data = np.cumsum([len(x) for x in raw]), b"".join(raw)
+        parts, counts, n, low = [], [np.zeros(0, np.int64)], 0, 0
+        while low < len(data):
+            last = low + 2 * TOGETHER
+            high = 1 + (data.rfind(b" ", low, last) if last < len(data) else len(data) - 1)
+            high = high or 1 + data.index(b" ", low)
+            window = np.frombuffer(data, np.uint8)[low:high]
+            blank = window == 32
+            ends = np.flatnonzero(blank)
+            offsets = np.concatenate([[0], ends - np.arange(len(ends))])
+            words = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(window[~blank])).dictionary_encode()
+            ids, before = laid_out(self._found(words.dictionary.to_numpy(zero_copy_only=False).tolist()), words.indices.to_numpy())
+            cuts = stops[np.searchsorted(stops, low, "right") : np.searchsorted(stops, high, "right")] - low
+            parts.append(ids.tobytes())
+            counts.append(4 * (n + before[np.searchsorted(ends, cuts)]))
+            n, low = n + len(ids), high
+        own, at = b"".join(parts), 0
+        for stop in np.concatenate(counts).tolist():
+            yield own[at:stop]
+            at = stop
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         low = 0
@@ -166,13 +231,14 @@ class ByteEncoder:
                 size += len(texts[high])
                 high += 1
             some, low = texts[low:high], high
-            split = [self._parts(t) for t in some]
-            if len(self.known) >= CACHED_WORDS:
-                self.known, self.before = {}, self.known
-            self._learn(set().union(*[x for x in split if x is not None]).difference(self.known))
-            known = self.known.__getitem__
-            for text, parts in zip(some, split, strict=True):
-                yield self._ids([text])[0].tobytes() if parts is None else b"".join(map(known, parts))
+            plain = ["  " not in t and self._by_part(t) for t in some]
+            parted = self._plain([t for t, p in zip(some, plain, strict=True) if p])
+            for text, p in zip(some, plain, strict=True):
+                if p:
+                    yield next(parted)
+                else:
+                    units = self._units(text)
+                    yield self._ids([text])[0].tobytes() if units is None else b"".join(self._found(units))
 
 
 _encoders: dict[str, ByteEncoder] = {}

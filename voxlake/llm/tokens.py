@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column_udf, hold, map_pandas, scratch, table
-from .packing import alphabet
+from .common import column_udf, hold, map_pandas, scratch, stored, table
+from .packing import alphabet, laid_out
 
 #: Ids of a block; the last block of a shard is shorter.
 BLOCK_IDS = 32_768
@@ -305,12 +305,8 @@ class _Encoder:
             self._learn([w for w, x in zip(new, again, strict=True) if x is None])
             for i, w in zip(missing, map(self.known.__getitem__, new), strict=True):
                 found[i] = w
-        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
-        own = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], own)
-        places += np.arange(ends[-1])
-        return ids[places], ends[np.searchsorted(starts, cuts)]
+        ids, ends = laid_out(found, codes)
+        return ids, ends[np.searchsorted(starts, cuts)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         low = 0
@@ -460,7 +456,7 @@ def decode_documents(blocks: DataFrame) -> DataFrame:
 
 def write(docs: DataFrame, folder: str, path: str, **how) -> None:
     """Write the token ids of `docs` to `folder`, which must not exist; `path` is the tokenizer's file."""
-    encode_documents(docs, path, **how).write.parquet(f"{folder}/blocks")
+    stored(encode_documents(docs, path, **how), f"{folder}/blocks")
     blocks = docs.sparkSession.read.parquet(f"{folder}/blocks")
     index = blocks.select("shard", "chunk", "first", "n_ids", F.octet_length("data").alias("n_bytes"), F.size("doc_seq").alias("n_docs"))
     index = index.join(_bases(blocks), "shard").withColumn("start", F.col("base") + F.col("first"))
