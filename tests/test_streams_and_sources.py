@@ -13,7 +13,7 @@ from voxlake.functions.dialect import Duck, Spark
 from voxlake.functions.transducer import ROMAN, romanised
 from voxlake.operators.budget import budgeted
 from voxlake.plans.registry import ORACLE, QUERIES
-from voxlake.sources import fenced, pcm
+from voxlake.sources import fenced, pcm, readers
 from voxlake.streaming import batches, turns
 
 # ---- turns ------------------------------------------------------------------------------------------
@@ -324,3 +324,39 @@ def test_stages_of_many_values_have_no_median_in_one_task(spark, tmp_path):
         got = QUERIES["failure_stages"](spark, str(folder))
         assert sorted(map(tuple, got.collect())) == sorted(duck.sql(f"SELECT {', '.join(got.columns)} FROM ({ORACLE['failure_stages']}) x").fetchall())
         assert " percentile(" not in got._jdf.queryExecution().toString()
+
+
+# ---- session folders ----------------------------------------------------------------------------------
+
+
+def test_session_folders_are_listed_by_tasks(spark, tmp_path):
+    """No plan holds a list of files, nothing is broadcast unseen, and rows are those of Spark's reader: odd lines, hidden folders, any depth."""
+    odd = [b'{"a":1,"b":"x"}', b" \t", b'{"a":1', b'[{"a":1},{"a":2,"b":"y"}]', b"[]", b"null", b"{}", b'{"a":"x","b":2}', b'{"a":1}{"a":2}', b'{"a":1}\r{"a":3}\r', b"\x0c"]
+    odd += [b'{"b":"\xff"}', '{"b":"é😀"}'.encode(), b"3", b"[1]", b'\xef\xbb\xbf{"a":5}', b'{"a":99999999999999999999}', b'{"b":"' + b"z" * 200_000 + b'"}']
+    files = {f"s{i}": line + b"\n" for i, line in enumerate(odd)} | {"x/y/z/all +%é": b"\n".join(odd), "x/crlf": b"\r\n".join(odd), "empty": b"", "k=1/s": odd[0]}
+    for folder, data in files.items():
+        pcm.put(str(tmp_path / folder), "turns.jsonl", data)
+        pcm.put(str(tmp_path / folder), "meta.json", b'{"consent": true}\n')
+    for folder, meta in (("_hidden", b'{"consent": true}'), (".hidden/s", b'{"consent": true}'), ("no", b'{"consent": false}'), ("null", b"{}")):
+        pcm.put(str(tmp_path / folder), "turns.jsonl", odd[0])
+        pcm.put(str(tmp_path / folder), "meta.json", meta)
+    rows = lambda df: sorted(map(repr, map(tuple, df.select("a", "b").collect())))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.sessions.link./in", f"file://{tmp_path}")
+    for path in (str(tmp_path), f"{tmp_path}/*", "viewfs://sessions/in"):  # also a pattern, and a store that only Spark reaches
+        want = readers.jsonl(spark, path, "a long, b string", "turns.jsonl").where("NOT input_file_name() RLIKE '/(no|null)/[^/]+$'")
+        _, said, _ = readers.session_folders(spark, path, "consent boolean", "a long, b string", "mos long")
+        assert rows(said) == rows(want) and len(rows(want)) > 40
+        if path == str(tmp_path):
+            assert said.inputFiles() == [] and "Broadcast" not in said._jdf.queryExecution().sparkPlan().toString()
+        if "*" not in path:
+            assert {r["folder"] for r in said.collect()} == {x.rsplit("/", 1)[-1] for x in files} - {"empty", "s1", "s4"}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.session_folders(spark, f"{tmp_path}/nothing", "consent boolean", "a long, b string", "mos long")
+
+
+def test_a_session_scan_of_no_sessions_and_of_a_long_one(spark, tmp_path):
+    spark.range(0).selectExpr("id AS conv_id", "id AS turn").write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    assert QUERIES["session_log_scan"](spark, str(tmp_path / "none")).collect() == []
+    spark.range(50_000).selectExpr("id DIV 49990 AS conv_id", "id AS turn").withColumn("conv_id", F.col("conv_id") + 1).write.parquet(str(tmp_path / "one" / "conversations.parquet"))
+    got = QUERIES["session_log_scan"](spark, str(tmp_path / "one")).select("conv_id", "turns", "mos")
+    assert sorted(map(tuple, got.collect())) == [(1, 49_990, 4), (2, 10, 4)]

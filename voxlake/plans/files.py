@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -86,20 +88,31 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT conv_id, conv_id % 4 <> 0 AS consent FROM conversations GROUP BY conv_id)
 SELECT m.conv_id, count(*) AS turns, max(c.turn) % 5 AS mos FROM m JOIN conversations c ON m.conv_id = c.conv_id WHERE consent GROUP BY m.conv_id""")
 def session_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder per session with its three files, written by the tasks that hold the sessions, in folders of SHARDS."""
-    path, by = scratch(spark, "sessions"), Window.partitionBy("conv_id")
+    """A folder per session with its three files, written by the tasks that hold the sessions, in folders of SHARDS; read by tasks that list them."""
+    path, by, n = scratch(spark, "sessions"), Window.partitionBy("conv_id"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = path if "://" in path else f"file://{path}"
-    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") % 4 != 0).alias("consent"), (F.max("turn").over(by) % 5).alias("mos"))
-    talks = talks.withColumn("shard", F.pmod(F.xxhash64("conv_id"), F.lit(SHARDS)))
-
-    def write(session: pa.Table) -> pa.Table:
-        rows = session.to_pylist()
-        lines = lambda rows, *names: "".join(json.dumps({n: r[n] for n in names}) + "\n" for r in rows).encode()
-        for name, data in ("meta.json", lines(rows[:1], "conv_id", "consent")), ("turns.jsonl", lines(rows, "conv_id", "turn")), ("mos.jsonl", lines(rows[:1], "conv_id", "mos")):
-            pcm.put(f"{place}/{rows[0]['shard']}/{rows[0]['conv_id']}", name, data)
-        return session.select(["conv_id"]).slice(0, 1)
-
-    stored(talks.groupBy("conv_id").applyInArrow(write, "conv_id long"), "session-names")
+    talks = _table(spark, sf_dir, "conversations").repartition(n, "conv_id")
+    talks = talks.select("conv_id", "turn", (F.col("conv_id") % 4 != 0).alias("consent"), (F.max("turn").over(by) % 5).alias("mos"))
+    talks = talks.withColumn("shard", F.pmod(F.xxhash64("conv_id"), F.lit(SHARDS))).sortWithinPartitions("conv_id")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a task's sessions, which come one after the other; a session's turns are written as they come."""
+        store, top = pcm.opened(place)
+        line = lambda row, *names: (json.dumps({k: row[k] for k in names}) + "\n").encode()
+        done = 0
+        for conv_id, session in groupby((row for batch in batches for row in batch.to_pylist()), key=lambda row: row["conv_id"]):
+            first = next(session)
+            pcm.put(f"{place}/{first['shard']}/{conv_id}", "meta.json", line(first, "conv_id", "consent"))
+            pcm.put(f"{place}/{first['shard']}/{conv_id}", "mos.jsonl", line(first, "conv_id", "mos"))
+            with store.open_output_stream(f"{top}/{first['shard']}/{conv_id}/turns.jsonl", buffer_size=1 << 16) as f:
+                for row in chain([first], session):
+                    f.write(line(row, "conv_id", "turn"))
+            done += 1
+        yield pa.RecordBatch.from_pydict({"sessions": pa.array([done], pa.int64())})
+
+    store, top = pcm.opened(place)
+    store.create_dir(top)  # no sessions are an empty folder
+    stored(talks.mapInArrow(write, "sessions long"), "session-counts")
     _, turns, ratings = readers.session_folders(spark, path, "conv_id long, consent boolean", "conv_id long, turn long", "conv_id long, mos long")
     return turns.groupBy("conv_id").agg(F.count("*").alias("turns")).join(ratings.select("conv_id", "mos"), "conv_id")
 

@@ -9,11 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from . import pcm
 
 BAD = "_bad_line"
+#: Bytes of a batch of lines or paths, about, and of a file that are read at once.
+BATCH_BYTES, BLOCK = 1 << 20, 1 << 16
 
 
 def _schema(schema: str | StructType) -> StructType:
@@ -68,14 +74,95 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", "length", "modificationTime")
 
 
+def _roots(spark: SparkSession, path: str) -> list[str]:
+    """Addresses for pyarrow of the folders that a path or pattern names; none if there are none, or pyarrow doesn't know the store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    uris = [x.getPath().toUri().toASCIIString() for x in found or []]
+    uris = [f"file://{x.removeprefix('file:')}" if x.startswith("file:/") and not x.startswith("file://") else x for x in uris]
+    try:
+        for uri in uris[:1]:
+            pcm.opened(uri)
+    except (OSError, ValueError, NotImplementedError):
+        return []
+    return uris
+
+
+def _inside(store: fs.FileSystem, path: str, name: str) -> list[fs.FileInfo]:
+    """The folders in a folder that Spark's listings take, and its file of that name; a file is itself."""
+    info = store.get_file_info(path)
+    every = [info] if info.is_file else store.get_file_info(fs.FileSelector(path))
+    hidden = lambda x: x.startswith(".") or (x.startswith("_") and "=" not in x) or x.endswith("._COPYING_")
+    return [x for x in every if (x.is_file and x.base_name == name) or (x.type == fs.FileType.Directory and not hidden(x.base_name))]
+
+
+def _gathered(rows: Iterator[tuple], **types: pa.DataType) -> Iterator[pa.RecordBatch]:
+    some, n = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types.values(), strict=True)], list(types))
+    for row in rows:
+        some.append(row)
+        n += 64 + sum(map(len, row))
+        if n >= BATCH_BYTES:
+            yield batch()
+            some, n = [], 0
+    if some:
+        yield batch()
+
+
+def folder_lines(spark: SparkSession, roots: list[str], name: str) -> DataFrame:
+    """(folder, value): the lines of the files so called in all folders under the roots (of one store); blank lines are skipped.
+
+    Tasks list the folders and read the files: two levels are listed and dealt out, the folders below walked by the task that reads
+    them. The driver knows the roots alone, however many files there are. The planner takes the rows as of unknown size, so they
+    are joined by shuffles unless a run shows that they are few.
+    """
+    first, n = roots[0], int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = pcm.opened(first)
+        yield from _gathered(((x.path,) for batch in batches for path in batch["path"].to_pylist() for x in _inside(store, path, name)), path=pa.string())
+
+    def lines(store: fs.FileSystem, path: str) -> Iterator[tuple[str, bytes]]:
+        todo = [path]
+        while todo:
+            for x in _inside(store, todo.pop(), name):
+                if not x.is_file:
+                    todo.append(x.path)
+                    continue
+                folder = x.path.split("/")[-2]
+                with store.open_input_stream(x.path) as f:
+                    for part in (p.removeprefix(b"\xef\xbb\xbf") for line in io.BufferedReader(f, BLOCK) for p in line.splitlines()):
+                        if part.strip(b" \t"):
+                            yield folder, part
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = pcm.opened(first)
+        yield from _gathered((row for batch in batches for path in batch["path"].to_pylist() for row in lines(store, path)), folder=pa.string(), value=pa.binary())
+
+    folders = spark.createDataFrame([(pcm.opened(x)[1],) for x in roots], "path string")
+    for _ in range(2):
+        folders = folders.mapInArrow(listed, "path string").repartition(n, "path")
+    return folders.mapInArrow(read, "folder string, value binary")
+
+
 def session_folders(spark: SparkSession, path: str, meta: str, turns: str, ratings: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sessions, turns, ratings) of folders with meta.json, turns.jsonl and mos.jsonl; only sessions with consent.
 
-    The folder is the session, at any depth under path; turns and ratings of others are dropped. With many sessions, folders of
-    folders keep a listing short.
+    The folder is the session, at any depth under path; turns and ratings of others are dropped. Tasks list the folders; in a store
+    that only Spark reaches, the driver does, and needs memory for every file.
     """
-    folder = F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1)
-    read = lambda name, schema: jsonl(spark, path, schema, name).withColumn("folder", folder)
+    roots = _roots(spark, path)
+
+    def read(name: str, schema: str) -> DataFrame:
+        if not roots:
+            folder = F.replace(F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%2B"))
+            return jsonl(spark, path, schema, name).withColumn("folder", F.url_decode(folder))
+        # as with Spark's reader of JSON lines, an array has a row for each of its objects, and a line that doesn't parse is a row of nulls
+        kind = ArrayType(_schema(schema))
+        rows = F.coalesce(F.from_json(F.try_validate_utf8(F.col("value").cast("string")), kind), F.array(F.lit(None).cast(kind.elementType)))
+        rows = folder_lines(spark, roots, name).select(F.col("folder").alias("_folder"), F.explode(rows).alias("_row"))
+        return rows.select("_row.*", "_folder").withColumn("folder", F.col("_folder")).drop("_folder")
+
     sessions = read("meta.json", meta).where("consent <=> true")
     ids = sessions.select("folder")
     return sessions, read("turns.jsonl", turns).join(ids, "folder", "left_semi"), read("mos.jsonl", ratings).join(ids, "folder", "left_semi")
